@@ -6,6 +6,11 @@ import importlib
 
 #: Query name: module that has a function of that name, and SQL under the name in the third place.
 TABLE = {
+    "op10_minhash_dedup": ("minhash_dedup", "SQL"),
+    "op3_sentencepiece": ("piece_codec", None),
+    "op4_language_id": ("language_id", None),
+    "op5_mixing": ("mixing", "SQL"),
+    "op6_sharding": ("sharding", None),
     "op1_substring_dedup": ("substring_dedup", "SQL"),
 }
 

@@ -25,10 +25,10 @@ from tapeworks.llm.words import Words, mix, steps
 
 WINDOW = 13
 #: Documents that are looked at for names that many documents have, the share of them that makes a name a hot one, and the groups it is dealt to.
-SAMPLE, HOT_SHARE, HOT_GROUPS = 2000, 0.02, 64
+SAMPLE, HOT_SHARE, HOT_GROUPS = 4000, 0.01, 64
 HASH_BYTES = 6
-POSTS = "grp long, name long, doc long, pos int, hashes binary"
-MARKS = "doc long, pos int, bits binary, open boolean, name long, hashes binary"
+POSTS = "grp long, name long, doc long, places binary, hashes binary"
+MARKS = "doc long, places binary, bits binary, open boolean, name long, hashes binary"
 
 
 def rounds_for(window: int) -> int:
@@ -37,7 +37,9 @@ def rounds_for(window: int) -> int:
 
 
 def posts(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray, key: str, text: str) -> Iterator[pa.RecordBatch]:
-    """One row for each anchor occurrence: its group, its name, the document, the first of its windows and the hashes of all of them."""
+    """One row for each anchor name of a document and each set of windows that chose it: the name's group, the name, the document, the hashes of the
+    windows, and the places (first windows) of all occurrences. What a document repeats within itself so is one row.
+    """
     for batch in steps(batches, text):
         words = Words(batch.column(batch.schema.get_field_index(text)))
         if not len(words.hash):
@@ -48,26 +50,38 @@ def posts(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray, key:
         new[1:] |= windows[1:] != windows[:-1] + 1
         doc = np.searchsorted(words.first, windows, side="right") - 1
         ids = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        hashes = words.sums().of(windows, windows + window).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+        sums = words.sums()
+        hashes = sums.of(windows, windows + window).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
         head = np.flatnonzero(new)
         ends = np.append(head[1:], len(windows))
+        spans = sums.of(windows[head], windows[ends - 1] + window)
+        same = mix(spans ^ mix(names[head] + mix(doc[head].astype(np.uint64))))
+        order = np.argsort(same, kind="stable")
+        first = np.append(True, same[order][1:] != same[order][:-1])
+        places = (windows[head] - words.first[doc[head]]).astype(np.int32)[order]
+        head, ends = head[order[first]], ends[order[first]]
+        by_place = np.argsort(head)
+        cuts = np.append(np.flatnonzero(first), len(order)).astype(np.int32) * 4
         at = ids[doc[head]].astype(np.int64)
         name = names[head]
         group = name.copy()
         if len(hot):
             here = hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name
             group[here] = mix(name[here] + mix(at[here].astype(np.uint64)) % np.uint64(HOT_GROUPS) + np.uint64(1))
-        offsets = np.append(head, ends[-1]) * HASH_BYTES
-        yield pa.RecordBatch.from_arrays(
+        sizes = ends - head
+        rows = np.repeat(head, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        offsets = np.append(0, np.cumsum(sizes)) * HASH_BYTES
+        out = pa.RecordBatch.from_arrays(
             [
                 pa.array(group.view(np.int64)),
                 pa.array(name.view(np.int64)),
                 pa.array(at),
-                pa.array((windows[head] - words.first[doc[head]]).astype(np.int32)),
-                pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(hashes))]),
+                pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(cuts), pa.py_buffer(places)]),
+                pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(hashes[rows]))]),
             ],
-            names=["grp", "name", "doc", "pos", "hashes"],
+            names=["grp", "name", "doc", "places", "hashes"],
         )
+        yield out.take(pa.array(by_place))
 
 
 def settle(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -114,7 +128,7 @@ def settle(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.Re
         bits = [marked[starts[i] : starts[i] + counts[i]].astype(np.uint8).tobytes() for i in out]
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[out]), batch.column(3).take(pa.array(out)), pa.array(bits, pa.binary()), pa.array(still[out]), pa.array(name[out]), packed.take(pa.array(out)).cast(pa.binary()) if still.any() else pa.nulls(len(out), pa.binary())],
-            names=["doc", "pos", "bits", "open", "name", "hashes"],
+            names=["doc", "places", "bits", "open", "name", "hashes"],
         )
 
 
@@ -137,7 +151,7 @@ def hot_names(docs: DataFrame, window: int, key: str, text: str) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, marks: array of (pos, bits)): bit i of a mark is 1 where the window at word pos + i also starts in a smaller document.
+    """(doc, marks: array of (places, bits)): bit i of a mark is 1 where the windows at words place + i also start in a smaller document.
 
     Null and empty texts, and texts of fewer words than a window, have no windows. Rows without a key take no part. Rows that share a key count
     as one document: a window that only they share is no repeat, and each loses what any of them does.
@@ -150,23 +164,24 @@ def repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: st
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = found.repartition(n, "grp").sortWithinPartitions("grp", "doc").mapInArrow(lambda it: settle(it, hot), MARKS)
     marks = scratch.keep(marks, "marks")
-    settled = marks.select("doc", "pos", "bits")
+    settled = marks.select("doc", "places", "bits")
     if len(hot):
         none = np.zeros(0, np.uint64)
-        late = marks.where("open").select(F.col("name").alias("grp"), "name", "doc", "pos", "hashes")
+        late = marks.where("open").select(F.col("name").alias("grp"), "name", "doc", "places", "hashes")
         again = late.repartition(n, "grp").sortWithinPartitions("grp", "doc").mapInArrow(lambda it: settle(it, none), MARKS)
-        settled = settled.unionByName(again.select("doc", "pos", "bits"))
-    return settled.groupBy("doc").agg(F.collect_list(F.struct("pos", "bits")).alias("marks"))
+        settled = settled.unionByName(again.select("doc", "places", "bits"))
+    return settled.groupBy("doc").agg(F.collect_list(F.struct("places", "bits")).alias("marks"))
 
 
 def removed(n: int, window: int, marks: list) -> np.ndarray:
     """Which of n words a marked window covers."""
     change = np.zeros(n + 1, np.int32)
     for mark in marks or ():
-        at = mark["pos"] + np.flatnonzero(np.frombuffer(mark["bits"], np.uint8))
+        at = np.flatnonzero(np.frombuffer(mark["bits"], np.uint8))
+        at = (np.frombuffer(mark["places"], np.int32)[:, None] + at).ravel()
         at = at[at + window <= n]
-        change[at] += 1
-        change[at + window] -= 1
+        np.add.at(change, at, 1)
+        np.add.at(change, at + window, -1)
     return np.cumsum(change[:-1]) > 0
 
 
