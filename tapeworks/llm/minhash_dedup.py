@@ -3,8 +3,9 @@
 Documents with one shingle set form a class with one representative. A representative's signature has K coordinates; a document is posted under
 the pairs (coordinate, value). Two sets of similarity s agree in K * s coordinates on average; a pair is a candidate from MATCHES agreements on.
 Such a pair must meet in the first K - MATCHES + 1 pairs of any common order (prefix merging), so a document is posted only under that many of its
-pairs, the rarest in the corpus, and skips those that no other document has. In a list, everybody first meets one member, chosen anew for each pair;
-links so found join into components; after that all pairs of a list that lie in different components are counted, so that none is lost.
+pairs, the rarest in the corpus, and skips those that no other document has. In a list everybody first meets a few hosts: the member whose pairs are
+the most common ones, and some that a hash chooses. Links so found join into components. After that the members of a list are compared in blocks, on long
+sketches, wherever they lie in different components, each pair in one of its lists only; what agrees enough is counted on the full sets, so that none is lost.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from tapeworks.llm.words import Words, mix, steps
 WORDS, PERCENT = 4, 80
 #: Coordinates, and the agreements from which a pair is counted as a candidate: at similarity 0.8, 38 of 64 are missed with probability 3e-5.
 K, MATCHES = 64, 38
-BLOCK = 4096
-_SEEDS = mix(np.arange(1, 2 * K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-FACTORS, SHIFTS = _SEEDS[:K] | np.uint64(1), _SEEDS[K:]
+#: A sketch is a longer signature of bytes. At similarity 0.8, 372 of 512 agreements are missed with probability 3e-5.
+SKETCH, SKETCH_MATCHES = 512, 372
+BLOCK, MEMBERS = 4096, 128
+_SEEDS = mix(np.arange(1, 2 * (K + SKETCH) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+FACTORS, SHIFTS = _SEEDS[: K + SKETCH] | np.uint64(1), _SEEDS[K + SKETCH :]
 SIGNED = "doc_id long, n_shingles long, set_name binary, signature binary"
 
 
@@ -44,14 +47,18 @@ def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(K, np.uint64((1 << 64) - 1))
+def signature(hashes: np.ndarray, begin: int = 0, end: int = K) -> np.ndarray:
+    least = np.full(end - begin, np.uint64((1 << 64) - 1))
     for k in range(0, len(hashes), BLOCK):
-        x = hashes[k : k + BLOCK][:, None] * FACTORS + SHIFTS
+        x = hashes[k : k + BLOCK][:, None] * FACTORS[begin:end] + SHIFTS[begin:end]
         np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    return signature(hashes, K, K + SKETCH).astype(np.uint8).tobytes()
+
+
 def sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         counts, names, signatures = [], [], []
@@ -72,19 +79,67 @@ def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), K)), pa.array((values | place).ravel())], names=["doc", "pair"])
 
 
-def agreeing(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) whose signatures agree in enough coordinates."""
+def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sketches agree enough."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, K) for i in (2, 3))
-        good = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least))
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+        good = pa.array(np.flatnonzero((x == y).sum(axis=1) >= SKETCH_MATCHES))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], names=["a", "b"])
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(Words(batch.column(1), lower=True), size)], pa.binary())], names=["doc", "hashes"])
+        sets = list(shingle_sets(Words(batch.column(1), lower=True), size))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x) for x in sets], pa.binary())], names=["doc", "hashes", "sketch"])
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pair, doc, part, mask, signature, sketch) come sorted by pair and part; blocks of at most MEMBERS rows of one pair: (pair, number of the block, columns)."""
+    rows, pair, number = [], None, -1
+
+    def block():
+        docs, parts, masks, signatures, sketches = zip(*rows, strict=True)
+        data = [np.array(x, np.int64).tobytes() for x in (docs, parts, masks)] + [b"".join(signatures), b"".join(sketches)]
+        return pa.RecordBatch.from_arrays([pa.array([pair]), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], names=["pair", "block", "docs", "parts", "masks", "signatures", "sketches"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if rows and (row[0] != pair or len(rows) >= MEMBERS):
+                yield block()
+                rows = []
+            if not rows:
+                number = number + 1 if row[0] == pair else 0
+                pair = row[0]
+            rows.append(row[1:])
+    if rows:
+        yield block()
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows are two blocks of one list; the pairs (a, b) from different components whose sketches agree enough, in the first list that both are posted in."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            pair, i, j = (batch.column(c)[r].as_py() for c in range(3))
+            x, y = ([batch.column(c)[r].as_py() for c in range(at, at + 5)] for at in (3, 8))
+            a, b = (np.frombuffer(z[0], np.int64) for z in (x, y))
+            pa_, pb = (np.frombuffer(z[1], np.int64) for z in (x, y))
+            open_ = pa_[:, None] != pb[None, :]
+            open_ &= a[:, None] < b[None, :] if i == j else True
+            if not open_.any():
+                continue
+            p, q = np.nonzero(open_)
+            sx, sy = (np.frombuffer(z[4], np.uint8).reshape(-1, SKETCH) for z in (x, y))
+            cx, cy = (np.frombuffer(z[3], np.uint32).reshape(-1, K) for z in (x, y))
+            mx, my = (np.frombuffer(z[2], np.int64) for z in (x, y))
+            good = np.concatenate([(sx[p[k : k + BLOCK]] == sy[q[k : k + BLOCK]]).sum(axis=1) for k in range(0, len(p), BLOCK)]) >= SKETCH_MATCHES
+            p, q = p[good], q[good]
+            both = (cx[p] == cy[q]) & ((mx[p] & my[q])[:, None] >> np.arange(K) & 1 == 1)
+            first = both.argmax(axis=1) == pair >> 32
+            p, q = a[p[first]], b[q[first]]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
 
 def confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -115,46 +170,59 @@ class Job:
         self.heads = self.scratch.keep(mine.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "signature"), "heads")
 
     def lists(self) -> DataFrame:
-        """(pair, doc): under which pairs each representative is posted."""
+        """(pair, doc, common, mask): under which pairs each representative is posted, how common its pairs are, and the coordinates of its posts as bits."""
         posts = self.heads.mapInArrow(coordinates, "doc long, pair long")
         often = posts.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
         own = posts.join(often, "pair").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("pairs"))
         prefix = F.lit(K - self.matches + 1) - (F.lit(K) - F.size("pairs"))
-        return own.where(prefix > 0).select("doc", F.explode(F.slice("pairs", F.lit(1), prefix)).alias("post")).select("doc", F.col("post.pair").alias("pair"))
-
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that agree in enough coordinates and whose whole sets are similar enough."""
-        size, percent, matches = self.size, self.percent, self.matches
-        x, y = (self.heads.select(F.col("doc").alias(c), F.col("signature").alias(f"{c}_signature")) for c in "ab")
-        near = pairs.join(x, "a").join(y, "b").select("a", "b", "a_signature", "b_signature")
-        near = self.scratch.keep(near.mapInArrow(lambda it: agreeing(it, matches), "a long, b long"), f"{name}-candidates")
-        wanted = near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))).distinct()
-        some = self.docs.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])
-        sets = self.scratch.keep(some.mapInArrow(lambda it: sets_of(it, size), "doc long, hashes binary"), f"{name}-sets")
+        own = own.where(prefix > 0).select("doc", F.slice("pairs", F.lit(1), prefix).alias("posts"), F.aggregate("pairs", F.lit(0.0), lambda s, x: s + F.log2(x["n"])).alias("common"))
+        mask = F.aggregate("posts", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x["pair"], 32).cast("int"))))
+        return own.select("doc", "common", mask.alias("mask"), F.explode("posts.pair").alias("pair"))
+
+    def sets(self, members: DataFrame) -> DataFrame:
+        """(doc, hashes, sketch) of these documents. The texts are dealt out by a merge join at any size, so that what moves grows as the input does."""
+        mine = self.docs.join(members.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])
+        size = self.size
+        return self.scratch.keep(mine.mapInArrow(lambda it: sets_of(it, size), "doc long, hashes binary, sketch binary"), "sets")
+
+    def confirm(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose whole sets are similar enough."""
+        percent = self.percent
         x, y = (sets.select(F.col("doc").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
-        full = near.join(x, "a").join(y, "b").select("a", "b", "a_hashes", "b_hashes")
-        out = self.scratch.keep(full.mapInArrow(lambda it: confirmed(it, percent), "a long, b long"), f"{name}-links")
-        self.scratch.drop(sets, near)
-        return out
+        full = pairs.join(x, "a").join(y, "b").select("a", "b", "a_hashes", "b_hashes")
+        return self.scratch.keep(full.mapInArrow(lambda it: confirmed(it, percent), "a long, b long"), f"{name}-links")
+
+    def stars(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between members and hosts of their lists."""
+        chosen = [F.max_by("doc", F.struct("common", "doc")), *(F.min_by("doc", F.xxhash64(F.lit(k), "pair", "doc")) for k in range(2))]
+        hosts = lists.groupBy("pair").agg(F.array_distinct(F.array(*chosen)).alias("hosts"))
+        meets = lists.join(hosts, "pair").select("doc", F.explode("hosts").alias("host")).where("doc <> host")
+        pairs = meets.select(F.least("doc", "host").alias("a"), F.greatest("doc", "host").alias("b")).distinct()
+        x, y = (sets.select(F.col("doc").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+        near = pairs.join(x, "a").join(y, "b").select("a", "b", "a_sketch", "b_sketch")
+        return self.confirm(near.mapInArrow(agreeing, "a long, b long"), sets, "stars")
+
+    def rest(self, lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between members of a list that lie in different components."""
+        placed = lists.join(labels.withColumnRenamed("v", "doc"), "doc", "left").select("pair", "doc", "mask", F.coalesce("component", "doc").alias("part"))
+        split = placed.groupBy("pair").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("pair")
+        open_ = placed.join(split, "pair").join(self.heads, "doc").join(sets.select("doc", "sketch"), "doc")
+        n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = open_.select("pair", "doc", "part", "mask", "signature", "sketch").repartition(n, "pair").sortWithinPartitions("pair", "part", "doc")
+        blocks = self.scratch.keep(rows.mapInArrow(packed, "pair long, block long, docs binary, parts binary, masks binary, signatures binary, sketches binary"), "blocks")
+        x, y = (blocks.select(F.col("pair").alias(f"{c}_pair"), *(F.col(k).alias(f"{c}_{k}") for k in blocks.columns[1:])) for c in "xy")
+        both = x.join(y, (F.col("x_pair") == F.col("y_pair")) & (F.col("x_block") <= F.col("y_block")))
+        both = both.select(F.col("x_pair").alias("pair"), "x_block", "y_block", *(f"{c}_{k}" for c in "xy" for k in blocks.columns[2:]))
+        pairs = self.scratch.keep(both.mapInArrow(compared, "a long, b long"), "pairs")
+        return self.confirm(pairs, sets, "rest")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for each row of the documents."""
         lists = self.scratch.keep(self.lists(), "lists")
-        meets = lists.groupBy("pair").agg(F.min_by("doc", F.xxhash64("pair", "doc")).alias("host"))
-        stars = lists.join(meets, "pair").where("doc <> host").select(F.least("doc", "host").alias("a"), F.greatest("doc", "host").alias("b")).distinct()
-        links = self.links(stars, "stars")
+        sets = self.sets(lists.select("doc").distinct())
+        links = self.stars(lists, sets)
         labels = components(links, self.scratch)
-        # what is left: pairs of one list in different components
-        placed = lists.join(labels.withColumnRenamed("v", "doc"), "doc", "left").select("pair", "doc", F.coalesce("component", "doc").alias("part"))
-        parts = placed.groupBy("pair", "part").agg(F.count("*").alias("n"))
-        split = parts.groupBy("pair").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("largest")).where("parts > 1")
-        open_ = self.scratch.keep(placed.join(split, "pair").select("pair", "doc", "part", "largest"), "open")
-        x = open_.where("part <> largest").select("pair", F.col("doc").alias("x"), F.col("part").alias("x_part"))
-        y = open_.select("pair", F.col("doc").alias("y"), F.col("part").alias("y_part"), "largest")
-        # each pair once: a member of the largest part is only ever the y
-        rest = x.join(y, "pair").where((F.col("x_part") != F.col("y_part")) & ((F.col("x") < F.col("y")) | (F.col("y_part") == F.col("largest"))))
-        rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = self.links(rest, "rest")
+        more = self.rest(lists, sets, labels)
         if not more.isEmpty():
             labels = components(links.union(more), self.scratch)
         heads = self.classes.join(labels, F.col("head") == F.col("v"), "left").select("set_name", F.coalesce("component", "head").alias("component"))
