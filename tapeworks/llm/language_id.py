@@ -21,6 +21,8 @@ from tapeworks.llm.words import steps
 #: Bounds of the training sample: documents of each language, windows of each document.
 DOCS_EACH, WINDOWS_EACH = 500, 12
 UNKNOWN = "und"
+#: The score below which keep_languages() rejects a document.
+LEAST = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -91,6 +93,24 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, key: str = "doc
     return rows.mapInArrow(lambda it: predictions(it, net, languages), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_languages(docs: DataFrame, languages: list[str] | None = None, least: float = LEAST, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs, unchanged, whose text is predicted to be in one of the languages (None: any learned one) with a score of at least ``least``."""
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    net, learned = train(source.where(~held_out()))
+    wanted, place = set(learned if languages is None else languages), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin = 0
+            bare = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(place).cast(pa.string()), pa.nulls(batch.num_rows, pa.bool_())], names=["doc_id", "text", "held_out"])
+            for found in predictions(iter([bare]), net, learned):
+                good = [p in wanted and s >= least for p, s in zip(found.column(2).to_pylist(), found.column(3).to_pylist(), strict=True)]
+                yield batch.slice(begin, found.num_rows).filter(pa.array(good, pa.bool_()))
+                begin += found.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

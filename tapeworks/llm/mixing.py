@@ -103,6 +103,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     return out.select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them, with the same columns: whole copies, then where a part is taken its first words, joined by one space.
+
+    Rows of which the mix takes no word are left out. Rows that share a key share one document's number of words taken.
+    """
+    found = mix(docs, weights, most, block, key, text, source).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    found = found.where("_taken > 0").dropDuplicates(["_id"])
+    whole, part = F.floor(F.col("_taken") / F.col("_size")), F.pmod("_taken", F.col("_size"))
+    copies = whole + F.when(part > 0, 1).otherwise(0)
+    rows = docs.join(found, F.col(key).cast("long").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    cut = F.when(F.col("_copy") <= whole, F.col(text)).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), " "))
+    return rows.withColumn(text, cut).select(*docs.columns)
+
+
 def n_words_of(docs: DataFrame, text: str) -> Column:
     return n_words(text) if dict(docs.dtypes)[text] == "string" else F.lit(0).cast("long")
 

@@ -188,10 +188,7 @@ def encoded(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatc
     codec = codec_of(pieces.value)
     for batch in steps(batches):
         packed = [codec.encode(t) for t in batch.column(1).to_pylist()]
-        joined = b"".join(packed)
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(joined, "<i4")))
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), as_lists(packed)], names=["doc_id", "ids"])
 
 
 def decoded(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatch]:
@@ -201,15 +198,26 @@ def decoded(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
-def digests(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatch]:
+def digests(batches: Iterator[pa.RecordBatch], pieces, with_ids: bool) -> Iterator[pa.RecordBatch]:
     codec = codec_of(pieces.value)
     for batch in steps(batches):
-        rows = []
+        rows, all_ids = [], []
         for text in batch.column(1).to_pylist():
             packed = codec.encode(text)
+            if with_ids:
+                all_ids.append(packed)
             rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(codec.decode(packed).encode()).hexdigest()))
         n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        columns, names = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            columns.append(as_lists(all_ids))
+            names.append("ids")
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def as_lists(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
 
 def default_model() -> str:
@@ -239,9 +247,10 @@ def decode(rows: DataFrame, model: str | None = None, key: str = "doc_id", ids:
     return _run(rows, model, "doc_id", "ids", "array<int>", decoded, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of encode()'s ids and of what decode() makes of them."""
-    return _run(_as_text(docs, key, text), model, "doc_id", "text", "string", digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip(docs: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of encode()'s ids and of what decode() makes of them; if asked for, the ids too."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _run(_as_text(docs, key, text), model, "doc_id", "text", "string", lambda it, pieces: digests(it, pieces, with_ids), schema)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ TABLE = {
     "op4_language_id": ("language_id", None),
     "op5_mixing": ("mixing", "SQL"),
     "op6_sharding": ("sharding", None),
+    "op2_topk_search": ("mtree", "SQL"),
+    "op7_quality": ("weak_labels", None),
+    "op8_html_extraction": ("html_extract", None),
+    "op9_nearest": ("hilbert", None),
     "op1_substring_dedup": ("substring_dedup", "SQL"),
 }
 

@@ -208,6 +208,26 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
     return both.mapInArrow(lambda it: kept_rows(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+def strip_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with the text that dedup() keeps, and all other columns as they are."""
+    found = repeats(docs, window, key, text).select(F.col("doc").alias("_marks_doc"), F.col("marks").alias("_marks"))
+    both = docs.join(found, F.col(key).cast("long") == F.col("_marks_doc"), "left").select(*docs.columns, "_marks")
+    place, width = docs.columns.index(text), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            # only marked rows lose anything
+            for k in np.flatnonzero(batch.column(width).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                words = (texts[k] or "").encode("utf-8", "surrogatepass").split()
+                gone = removed(len(words), window, batch.column(width)[k].as_py()).tolist()
+                texts[k] = b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode("utf-8", "replace")
+            columns = [pa.array(texts, batch.schema.field(j).type) if j == place else batch.column(j) for j in range(width)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
+
+    return both.mapInArrow(run, docs.schema)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words over all documents."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
