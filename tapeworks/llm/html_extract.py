@@ -89,7 +89,8 @@ def fold(items: list[Item], longest: int = 6) -> list[Item]:
             n = 1
             while signs[k : k + size] == signs[k + n * size : k + (n + 1) * size] and k + (n + 1) * size <= len(items):
                 n += 1
-            if n > 1 and not (size == 1 and items[k].kind == "group"):
+            # a repeated piece begins with a tag
+            if n > 1 and items[k].kind == "tag":
                 body = items[k : k + size]
                 for r in range(1, n):
                     body = [merge_items(x, y) for x, y in zip(body, items[k + r * size : k + (r + 1) * size], strict=True)]

@@ -13,6 +13,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that end a block but whose end tags pages leave out.
 LOOSE = {"p", "li", "dt", "dd", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "option", "figcaption", "pre", "blockquote", "center", "html", "body", "head"}
+ENDED_BY_ANY = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that hold no part of an article.
 OUTSIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "datalist", "object", "svg", "canvas", "dialog", "menu", "audio", "video", "map", "math"} | RAW
 MAIN = {"article", "main"}
@@ -100,10 +101,12 @@ class Walk:
         self.open: list[tuple[str, str]] = []
 
     def step(self, kind: str, name: str, part: str) -> None:
-        if kind == "open" and name not in INLINE and name not in VOID and (name not in LOOSE or part):
-            if name in LOOSE:
-                self._close(name)
-            self.open.append((name, part))
+        if kind == "open" and name not in INLINE and name not in VOID:
+            # a block ends an unclosed paragraph or heading, an item the item before it
+            while self.open and (self.open[-1][0] in ENDED_BY_ANY or self.open[-1][0] == name in LOOSE):
+                self.open.pop()
+            if name not in LOOSE or part:
+                self.open.append((name, part))
         elif kind == "close" and name not in INLINE:
             self._close(name)
 

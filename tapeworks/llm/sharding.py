@@ -40,13 +40,14 @@ def propagate(groups: DataFrame, room: list[int], scratch: Scratch, rounds: int
     for _ in range(rounds):
         free = [r - x for r, x in zip(room, load, strict=True)]
         can = F.array(*(F.lit(f) for f in free))
-        # a group's goal: its fullest shard with room; members of a fuller shard without room stay
+        # a group's goal: its fullest shard with room; members of a fuller shard without room stay, unless the goal has room for the whole group
         best = groups.groupBy("g").agg(
-            F.max(F.when(F.element_at(can, F.col("shard") + 1) > 0, F.struct("n", (-F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 20))).alias("tie"), "shard"))).alias("goal")
-        ).where("goal is not null").select("g", F.col("goal.shard").alias("to"), F.col("goal.n").alias("there"), F.col("goal.tie").alias("tie"))
+            F.max(F.when(F.element_at(can, F.col("shard") + 1) > 0, F.struct("n", (-F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 20))).alias("tie"), "shard"))).alias("goal"),
+            F.sum("n").alias("all"),
+        ).where("goal is not null").select("g", "all", F.col("goal.shard").alias("to"), F.col("goal.n").alias("there"), F.col("goal.tie").alias("tie"))
         wish = groups.join(best, "g").where("shard <> to").withColumn("mine", -F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 20)))
         full = F.element_at(can, F.col("shard") + 1) <= 0
-        wish = wish.where((F.col("n") < F.col("there")) | ((F.col("n") == F.col("there")) & (F.col("mine") < F.col("tie"))) | (full & (F.col("n") < F.col("there"))))
+        wish = wish.where((F.col("n") < F.col("there")) | ((F.col("n") == F.col("there")) & (F.col("mine") < F.col("tie"))) | (full & ((F.col("n") == F.col("there")) | (F.col("all") <= F.element_at(can, F.col("to") + 1)))))
         wish = scratch.keep(wish.select("g", "shard", "n", "to", F.md5(F.concat(F.hex("g"), F.lit("-"), F.col("shard").cast("string"))).alias("turn")), "wishes")
         if wish.isEmpty():
             break

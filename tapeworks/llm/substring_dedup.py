@@ -191,8 +191,9 @@ def kept_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         for doc, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             words = (text or "").encode("utf-8", "surrogatepass").split()
             gone = removed(len(words), window, marks) if marks else None
+            gone = gone if gone is not None and gone.any() else None
             kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(joined := b" ".join(kept)).hexdigest(), joined.decode("utf-8", "replace") if marks else text))
+            out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(joined := b" ".join(kept)).hexdigest(), joined.decode("utf-8", "replace") if gone is not None else text))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
@@ -221,7 +222,8 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", te
             for k in np.flatnonzero(batch.column(width).is_valid().to_numpy(zero_copy_only=False)).tolist():
                 words = (texts[k] or "").encode("utf-8", "surrogatepass").split()
                 gone = removed(len(words), window, batch.column(width)[k].as_py()).tolist()
-                texts[k] = b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode("utf-8", "replace")
+                if any(gone):
+                    texts[k] = b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode("utf-8", "replace")
             columns = [pa.array(texts, batch.schema.field(j).type) if j == place else batch.column(j) for j in range(width)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 

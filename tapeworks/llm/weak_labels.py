@@ -1,7 +1,7 @@
 """A quality classifier from weak labels.
 
 Overlapping heuristic labellers look at a text and vote good, bad or nothing. Expectation-maximisation over the counts of all documents' vote patterns
-estimates how often each labeller gives each vote for good and for bad texts, and from that each pattern's posterior. The posteriors of a bounded sample
+estimates how often each labeller's votes are good and bad for good and for bad texts (a vote for nothing says nothing), and from that each pattern's posterior. The posteriors of a bounded sample
 of documents (about SAMPLE, by a hash of the key) train a linear scorer on hashed character-class trigrams, which scores every whole text. No
 given label is read.
 """
@@ -19,6 +19,9 @@ from tapeworks.llm.words import Words, mix, steps
 
 SAMPLE, SLOTS, THRESHOLD = 20000, 1 << 14, 0.5
 GOOD, BAD, NOTHING = 1, 0, 2
+#: The labellers are built to vote bad on good texts hardly ever; the estimate of that rate stays below this.
+FALSE_ALARMS = 0.002
+BINS = 10
 LABELLERS = ("symbols", "capitals", "exclamations", "repeats", "sentences", "letterless", "word_length", "length")
 
 
@@ -49,6 +52,19 @@ def _per_text(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (sums[first[1:]] - sums[first[:-1]]).astype(float)
 
 
+def distinct_share(words: Words) -> np.ndarray:
+    """The share of each text's three-word sequences, or of its words if there are fewer than 20, that are distinct; 1 without any."""
+    sums = words.sums()
+    three = sums.of(np.arange(max(0, len(words.hash) - 2)), np.arange(max(0, len(words.hash) - 2)) + 3)
+    out = np.ones(len(words.first) - 1)
+    for t, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+        if b - a >= 20:
+            out[t] = len(np.unique(three[a : b - 2])) / (b - a - 2)
+        elif b > a:
+            out[t] = len(np.unique(words.hash[a:b])) / (b - a)
+    return out
+
+
 def votes(words: Words) -> np.ndarray:
     """A row of votes, one for each labeller, for each text."""
     data, n_texts = words.data, len(words.offsets) - 1
@@ -62,31 +78,27 @@ def votes(words: Words) -> np.ndarray:
         ends = np.concatenate([[0], np.cumsum(_LETTERS[data])])
         has_letter = ends[words.end] > ends[words.start]
     stop = _STOPS[data[words.end - 1]] if len(words.start) else np.zeros(0, bool)
-    distinct = np.ones(n_texts)
-    sums = words.sums()
-    three = sums.of(np.arange(max(0, len(words.hash) - 2)), np.arange(max(0, len(words.hash) - 2)) + 3)
-    for t, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-        if b - a >= 20:
-            distinct[t] = len(np.unique(three[a : b - 2])) / (b - a - 2)
+    distinct = distinct_share(words)
 
     def by(x, bad, good, when=True):
         return np.where(when, np.where(bad(x), BAD, np.where(good(x), GOOD, NOTHING)), NOTHING)
 
     out = [
         by(_per_text(_SIGNS[data], words.offsets) / size, lambda x: x > 0.04, lambda x: x < 0.01),
-        by(capitals / np.maximum(1, letters), lambda x: x > 0.35, lambda x: x < 0.12, letters > 0),
+        by(capitals / np.maximum(1, letters), lambda x: x > 0.35, lambda x: x < 0.12, letters >= 20),
         by(_per_text(data == 33, words.offsets) / some, lambda x: x > 0.15, lambda x: x < 0.02),
-        by(distinct, lambda x: x < 0.6, lambda x: x > 0.9, n >= 20),
+        by(distinct, lambda x: x < 0.6, lambda x: x > 0.9, n >= 8),
         by(_per_text(stop, words.first) / some, lambda x: (x < 0.01) | (x > 0.6), lambda x: (x > 0.03) & (x < 0.35), n >= 20),
-        by(_per_text(~has_letter, words.first) / some, lambda x: x > 0.2, lambda x: x < 0.05),
+        by(_per_text(~has_letter, words.first) / some, lambda x: x > 0.2, lambda x: x < 0.05, n >= 10),
         by(letters / some, lambda x: (x < 2) | (x > 14), lambda x: (x > 3) & (x < 9)),
-        by(n, lambda x: x < 3, lambda x: x > 30),
+        by(n, lambda x: x < 1, lambda x: x > 30),
     ]
     return np.stack(out, axis=1).astype(np.int8)
 
 
 def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's (slots, values): hashed trigrams of character classes, runs of one class as one, their counts damped and scaled to length 1."""
+    """Each text's (slots, values): hashed trigrams of character classes, runs of one class as one, their counts damped and scaled to length 1; and one
+    slot of weight 1 for how much of the text repeats itself."""
     classes = CLASSES[words.data]
     new = np.ones(len(classes), bool)
     new[1:] = classes[1:] != classes[:-1]
@@ -96,35 +108,41 @@ def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     first = np.concatenate([[0], np.cumsum(new)])[words.offsets]
     codes = kept[:-2] * np.uint64(4096) + kept[1:-1] * np.uint64(64) + kept[2:] if len(kept) > 2 else np.zeros(0, np.uint64)
     slots = (mix(codes) % np.uint64(SLOTS)).astype(np.int64)
+    share = np.minimum(BINS - 1, distinct_share(words) * BINS).astype(np.int64)
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+    for a, b, bin_ in zip(first[:-1].tolist(), first[1:].tolist(), share.tolist(), strict=True):
         at, count = np.unique(slots[a : max(a, b - 2)], return_counts=True)
         value = np.log1p(count)
-        out.append((at, value / max(1e-9, float(np.sqrt((value * value).sum())))))
+        value = value / max(1e-9, float(np.sqrt((value * value).sum())))
+        out.append((np.append(at, SLOTS + bin_), np.append(value, 1.0)))
     return out
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Each pattern's probability of good, and tables[labeller, class, vote], by expectation-maximisation. Starts from labellers that are right 4 times of 5."""
+    """Each pattern's probability of good, and tables[labeller, class, vote], by expectation-maximisation. No labeller's false alarms are put above FALSE_ALARMS."""
     m = patterns.shape[1] if patterns.size else len(LABELLERS)
     tables = np.empty((m, 2, 3))
-    tables[:, GOOD], tables[:, BAD] = [0.1, 0.6, 0.3], [0.6, 0.1, 0.3]
+    tables[:, GOOD], tables[:, BAD] = [FALSE_ALARMS, 1 - FALSE_ALARMS, 1.0], [0.3, 0.7, 1.0]
     prior = 0.8
     posterior = np.full(len(patterns), prior)
     for _ in range(rounds):
-        log = np.array([[np.log(tables[np.arange(m), c, p]).sum() for c in (BAD, GOOD)] for p in patterns]).reshape(-1, 2) + np.log([1 - prior, prior])
+        log = np.array([[np.log(tables[np.arange(m), c, p]).sum() for c in (BAD, GOOD)] for p in patterns]).reshape(-1, 2) + np.log([1 - prior, prior])  # a vote for nothing adds log 1
         posterior = 1 / (1 + np.exp(np.clip(log[:, BAD] - log[:, GOOD], -500, 500)))
         weight = np.stack([counts * (1 - posterior), counts * posterior])
         for j in range(m):
             for c in (BAD, GOOD):
-                tables[j, c] = (np.bincount(patterns[:, j], weights=weight[c], minlength=3) + 1) / (weight[c].sum() + 3)
+                votes_ = np.bincount(patterns[:, j], weights=weight[c], minlength=3)[:2] + 1
+                tables[j, c] = [*(votes_ / votes_.sum()), 1.0]
+        over = np.maximum(0, tables[:, GOOD, BAD] - FALSE_ALARMS)
+        tables[:, GOOD, BAD] -= over
+        tables[:, GOOD, GOOD] += over
         prior = float(np.clip(weight[GOOD].sum() / max(1e-9, counts.sum()), 0.01, 0.99))
     return posterior, tables
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, rate: float = 0.5) -> np.ndarray:
     """Weights of logistic regression on soft labels, by stochastic steps with per-slot rates; the last weight is the constant."""
-    weights, seen = np.zeros(SLOTS + 1), np.full(SLOTS + 1, 1e-6)
+    weights, seen = np.zeros(SLOTS + BINS + 1), np.full(SLOTS + BINS + 1, 1e-6)
     rng = np.random.default_rng(11)
     good, bad = max(1e-9, labels.sum()), max(1e-9, (1 - labels).sum())
     balance = labels * (len(labels) / (2 * good)) + (1 - labels) * (len(labels) / (2 * bad))
