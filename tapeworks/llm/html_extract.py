@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.llm.html_tokens import INLINE, Walk, tokens
+from tapeworks.llm.scratch import bounded_batches
 
 PAGES_EACH, COPIES = 8, 16
 #: Of a sampled page, tokens that take part in the alignment; the wrapper still is applied to whole pages.
@@ -236,6 +237,7 @@ def main_texts(pages: DataFrame, pages_each: int = PAGES_EACH, key: str = "page_
     A null or empty page gives an empty text. Pages without a host in their url share one wrapper. A host's pages are dealt to COPIES groups by key, each with a
     copy of its wrapper, so a host with many pages isn't one task's work. Other columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"), host.alias("host"))
     turn = Window.partitionBy("host").orderBy(F.xxhash64(F.lit(5), "page_id"), "page_id")

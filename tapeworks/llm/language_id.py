@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.llm import byte_cnn
+from tapeworks.llm.scratch import bounded_batches
 from tapeworks.llm.words import steps
 
 #: Bounds of the training sample: documents of each language, windows of each document.
@@ -50,6 +51,7 @@ def examples(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
 def train(labelled: DataFrame, docs_each: int = DOCS_EACH, windows_each: int = WINDOWS_EACH) -> tuple[byte_cnn.Network | None, list[str]]:
     """The network and its languages, from rows (doc_id, text, lang); none without a usable row. The same rows give the same network."""
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
     counts = labelled.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(float(docs_each)) / F.col("count"))

@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.llm.scratch import bounded_batches
 from tapeworks.llm.words import steps
 
 START = "▁"
 #: Words that a worker remembers in each of two generations, and token pairs.
-WORDS_KEPT, PAIRS_KEPT, WORD_LIMIT = 300_000, 1_000_000, 64
+WORDS_KEPT, PAIRS_KEPT, WORD_LIMIT = 80_000, 200_000, 64
 NORMAL, UNKNOWN, CONTROL, BYTE, OTHER = range(5)
 _UNIT = re.compile(f"{START}*[^{START}]+|{START}+")
 
@@ -227,6 +228,7 @@ def default_model() -> str:
 
 
 def _run(docs: DataFrame, model: str | None, key: str, column: str, kind: str, function, schema: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     # The vocabulary is the only thing sent to all workers; its size is the model's, whatever the corpus.
     pieces = docs.sparkSession.sparkContext.broadcast(model_pieces(model or default_model()))
     return docs.select(F.col(key).alias("doc_id"), F.col(column).cast(kind).alias(column)).mapInArrow(lambda it: function(it, pieces), schema)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.llm.scratch import bounded_batches
 from tapeworks.llm.words import Words, mix, steps
 
 SAMPLE, SLOTS, THRESHOLD = 20000, 1 << 14, 0.5
@@ -163,6 +164,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
     """(doc_id, votes, weak_score, score, kept), a row for each row of docs: the votes as a string of 0 (bad), 1 (good), 2 (nothing), the pattern's
     posterior, the scorer's probability of good, and whether it reaches the threshold. A null or empty text has score 0 and isn't kept; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
