@@ -21,6 +21,9 @@ SPECIAL = frozenset({EPSILON, UNKNOWN, IDENTITY, DEFAULT})
 WILD = frozenset({UNKNOWN, IDENTITY})
 FLAG = re.compile(r"^@([PNDRCU])\.([^.@]+)(?:\.([^@]+))?@$")
 
+#: Symbols of this form are actions of a pattern (tags, calls, conditions); no wildcard means them.
+MARKER = "@:"
+
 Arc = tuple[str, str, float, int]
 
 
