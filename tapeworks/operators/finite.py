@@ -93,9 +93,7 @@ def path_sizes(a: DataFrame) -> DataFrame:
 
 def of_extreme_length(a: DataFrame, longest: bool) -> DataFrame:
     size = F.greatest(F.length("upper"), F.length("lower"))
-    rank = F.rank().over(Window.orderBy(F.col("_size").desc() if longest else F.col("_size")))
     top = a.withColumn("_size", size).agg((F.max if longest else F.min)("_size").alias("_top"))
-    del rank
     return a.withColumn("_size", size).join(F.broadcast(top), F.col("_size") == F.col("_top")).drop("_size", "_top")
 
 
