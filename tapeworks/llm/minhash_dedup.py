@@ -4,7 +4,7 @@ Documents with one shingle set form a class with one representative. A represent
 the pairs (coordinate, value). Two sets of similarity s agree in K * s coordinates on average; a pair is a candidate from MATCHES agreements on.
 Such a pair must meet in the first K - MATCHES + 1 pairs of any common order (prefix merging), so a document is posted only under that many of its
 pairs, the rarest in the corpus, and skips those that no other document has. In a list everybody first meets a few hosts: the member whose pairs are
-the most common ones, and some that a hash chooses. Links so found join into components. After that the members of a list are compared in blocks, on long
+the most common ones, and one that a hash chooses. Links so found join into components. After that the members of a list are compared in blocks, on long
 sketches, wherever they lie in different components, each pair in one of its lists only; what agrees enough is counted on the full sets, so that none is lost.
 """
 
@@ -27,7 +27,7 @@ WORDS, PERCENT = 4, 80
 K, MATCHES = 64, 38
 #: A sketch is a longer signature of bytes. At similarity 0.8, 372 of 512 agreements are missed with probability 3e-5.
 SKETCH, SKETCH_MATCHES = 512, 372
-BLOCK, MEMBERS = 4096, 128
+BLOCK, MEMBERS, ORDERS = 4096, 128, 8
 _SEEDS = mix(np.arange(1, 2 * (K + SKETCH) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _SEEDS[: K + SKETCH] | np.uint64(1), _SEEDS[K + SKETCH :]
 SIGNED = "doc_id long, n_shingles long, set_name binary, signature binary"
@@ -194,7 +194,9 @@ class Job:
 
     def stars(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between members and hosts of their lists."""
-        chosen = [F.max_by("doc", F.struct("common", "doc")), *(F.min_by("doc", F.xxhash64(F.lit(k), "pair", "doc")) for k in range(2))]
+        # the chosen order is one of ORDERS for all lists, so that a member meets the same few hosts in its lists
+        order = F.pmod(F.shiftright("pair", 32), F.lit(ORDERS))
+        chosen = [F.max_by("doc", F.struct("common", "doc")), F.min_by("doc", F.xxhash64(order, "doc"))]
         hosts = lists.groupBy("pair").agg(F.array_distinct(F.array(*chosen)).alias("hosts"))
         meets = lists.join(hosts, "pair").select("doc", F.explode("hosts").alias("host")).where("doc <> host")
         pairs = meets.select(F.least("doc", "host").alias("a"), F.greatest("doc", "host").alias("b")).distinct()
