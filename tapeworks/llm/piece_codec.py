@@ -23,7 +23,7 @@ from tapeworks.llm.words import steps
 
 START = "▁"
 #: Words that a worker remembers in each of two generations, and token pairs.
-WORDS_KEPT, PAIRS_KEPT, WORD_LIMIT = 80_000, 200_000, 64
+WORDS_KEPT, PAIRS_KEPT, WORD_LIMIT = 200_000, 300_000, 64
 NORMAL, UNKNOWN, CONTROL, BYTE, OTHER = range(5)
 _UNIT = re.compile(f"{START}*[^{START}]+|{START}+")
 
@@ -54,11 +54,18 @@ class Codec:
         self.begin, self.end = controls["<s>"], controls["</s>"]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id_of.items():
-            self.automaton.add_word(p, (i, len(p)))
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
+        self.sizes = [len(p) for p, _, _ in pieces]
+        self.packed = [np.uint32(i).tobytes() for i in range(len(pieces))]
+        # signs that follow a letter in no piece: no token lies across a letter and such a sign, so a word may be cut there
+        joined = {(a, b) for p in self.id_of for a, b in zip(p, p[1:], strict=False)}
+        after = {b for a, b in joined if a.isalpha()}
+        signs = [c for c in map(chr, [10, *range(33, 127)]) if not c.isalnum() and c not in after]
+        self.cut = re.compile(f"(?<=[^\\W\\d_])[{re.escape(''.join(signs))}]") if signs else None
         self.surface = [b"" if kind == CONTROL else bytes([int(p[1:-1], 16)]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else p.replace(START, " ").encode() for p, _, kind in pieces]
         self.is_byte = np.array([kind == BYTE for _, _, kind in pieces])
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words = _Memory(self)
 
     def merged(self, text: str) -> list[int]:
@@ -77,39 +84,36 @@ class Codec:
 
     def compatible(self, before: int, token: int) -> bool:
         """Whether the two tokens' text encodes to just them; -1 before: whether the token's own text encodes to it."""
-        found = self.pairs.get((before, token))
-        if found is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            ids = [token] if before < 0 else [before, token]
-            found = self.pairs[before, token] = self.merged("".join(self.pieces[i][0] for i in ids)) == ids
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
+        ids = [token] if before < 0 else [before, token]
+        found = self.pairs[before + 1 << 20 | token] = self.merged("".join(self.pieces[i][0] for i in ids)) == ids
         return found
 
     def unit(self, text: str) -> bytes:
         """The ids of one word with its word starts, as little-endian unsigned 32-bit integers."""
-        n = len(text)
-        last, length = [-1] * (n + 1), [1] * (n + 1)
-        known = [False] * (n + 1)
-        pairs = self.pairs
-        for at, (token, size) in self.automaton.iter(text):
+        n, sizes, pairs = len(text), self.sizes, self.pairs
+        last = [0] * (n + 1)  # of each prefix the last token and 1 more; 0: its last character is in no piece
+        for at, token in self.automaton.iter(text):
             end = at + 1
-            if known[end]:
+            if last[end]:
                 continue
-            start = end - size
-            before = last[start]
-            good = pairs.get((before, token))
-            if self.compatible(before, token) if good is None else good:
-                last[end], length[end], known[end] = token, size, True
-        ids: list[int] = []
-        end = n
+            before = last[end - sizes[token]]
+            good = pairs.get(before << 20 | token)
+            if self.compatible(before - 1, token) if good is None else good:
+                last[end] = token + 1
+        out, end = [], n
         while end:
-            if known[end]:
-                ids.append(last[end])
+            token = last[end] - 1
+            if token >= 0:
+                out.append(self.packed[token])
+                end -= sizes[token]
             else:
                 raw = text[end - 1].encode("utf-8", "replace")
-                ids += [self.byte_id[b] for b in reversed(raw)] if self.byte_id else [self.unknown]
-            end -= length[end]
-        return np.array(ids[::-1], "<u4").tobytes()
+                out += [self.packed[self.byte_id[b]] for b in reversed(raw)] if self.byte_id else [self.packed[self.unknown]]
+                end -= 1
+        out.reverse()
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """The ids with begin and end, packed; a null text counts as empty."""
@@ -163,6 +167,9 @@ class _Memory(dict):
     def __missing__(self, text: str) -> bytes:
         found = self.old.get(text)
         if found is None:
+            cut = self.codec.cut and self.codec.cut.search(text)
+            if cut:
+                return self[text[: cut.start()]] + self[text[cut.start() :]]
             found = self.codec.unit(text)
             if len(text) > WORD_LIMIT:
                 return found
