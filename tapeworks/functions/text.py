@@ -35,7 +35,7 @@ def java_pattern(expression: str | Node, definitions: dict[str, str] | None = No
     def words(n: Node) -> list[str] | None:
         if n.kind == "group":
             return words(n.args[0])
-        if n.kind in ("symbol", "literal", "string") and n.args[0] not in CLASSES and n.args[0] not in definitions:
+        if n.kind in ("symbol", "literal", "string") and n.args[0] not in CLASSES and n.args[0] not in definitions and not (n.kind == "literal" and re.fullmatch(r".-.", n.args[0], re.S)):
             return [n.args[0]]
         if n.kind == "|":
             a, b = words(n.args[0]), words(n.args[1])

@@ -39,27 +39,27 @@ def reachable(arcs: DataFrame, spark=None) -> DataFrame:
     )
 
 
+END, STAY, DONE = "@_END_@", "@_STAY_@", -1
+
+
 def lookup_by_joins(words: DataFrame, arcs: DataFrame, finals: DataFrame, alphabet: DataFrame, most_rounds: int, word: str = "word") -> DataFrame:
-    """(word, output, weight) of every result, for transducers without flags and without input epsilons but at the end of a rule: each round joins the frontier with the arcs.
+    """(word, output, weight) of every result, for transducers without flags: each round is one join of the frontier with the arcs.
 
-    A symbol that the alphabet lacks takes identity and unknown arcs. Rounds are bounded by the longest word and most_rounds; words should be short.
+    A final state is an arc that is taken at the end of the word to a state that stays. A symbol that the alphabet lacks takes identity and unknown arcs. So many rounds read as
+    many symbols and input epsilons, less one for the end; words should be short. Arcs are a grammar's, so they are broadcast.
     """
-    known = F.broadcast(alphabet.select("sym").distinct().withColumn("_known", F.lit(True)))
+    known = F.broadcast(alphabet.select(F.col("sym").alias("_sym")).distinct())
+    moves = arcs.select("src", "dst", "isym", "osym", F.col("weight").alias("_w"))
+    ends = finals.select(F.col("state").alias("src"), F.lit(DONE).alias("dst"), F.lit(END).alias("isym"), F.lit(EPSILON).alias("osym"), F.col("weight").alias("_w"))
+    stay = moves.sparkSession.createDataFrame([(DONE, DONE, STAY, EPSILON, 0.0)], "src int, dst int, isym string, osym string, _w float")
+    moves = F.broadcast(moves.unionByName(ends).unionByName(stay))
     front = words.select(word).where(F.col(word).isNotNull()).distinct().select(F.col(word), F.lit(0).alias("state"), F.lit(0).alias("pos"), F.lit("").alias("output"), F.lit(0.0).cast("float").alias("weight"))
-    plain = arcs.where(F.col("isym") != EPSILON).select("src", "dst", "isym", "osym", F.col("weight").alias("_w"))
-    silent = arcs.where(F.col("isym") == EPSILON).select("src", "dst", "osym", F.col("weight").alias("_w"))
-    done = None
+    here, inside = F.col("isym"), F.col("pos") < F.length(word)
     for _ in range(most_rounds + 1):
-        at_end = front.where(F.col("pos") == F.length(word)).join(F.broadcast(finals.select("state", F.col("weight").alias("_f"))), "state")
-        at_end = at_end.select(word, "output", (F.col("weight") + F.col("_f")).cast("float").alias("weight"))
-        done = at_end if done is None else done.unionByName(at_end)
-        c = front.where(F.col("pos") < F.length(word)).withColumn("_c", F.expr(f"substring({word}, pos + 1, 1)"))
-        c = c.join(known, F.col("_c") == F.col("sym"), "left").drop("sym")
-        fits = F.when(F.col("_known"), F.col("isym") == F.col("_c")).otherwise(F.col("isym").isin(IDENTITY, UNKNOWN))
-        step = c.join(F.broadcast(plain), (F.col("state") == F.col("src")) & fits)
+        c = front.withColumn("_c", F.expr(f"substring({word}, pos + 1, 1)")).join(known, F.col("_c") == F.col("_sym"), "left")
+        read = inside & F.when(F.col("_sym").isNotNull(), here == F.col("_c")).otherwise(here.isin(IDENTITY, UNKNOWN))
+        step = c.join(moves, (F.col("state") == F.col("src")) & (here.isin(EPSILON, STAY) | ((here == END) & ~inside) | read))
+        silent = here.isin(EPSILON, STAY, END)
         out = F.when(F.col("osym") == EPSILON, F.lit("")).when(F.col("osym").isin(IDENTITY, UNKNOWN), F.col("_c")).otherwise(F.col("osym"))
-        moved = step.select(word, F.col("dst").alias("state"), (F.col("pos") + 1).alias("pos"), F.concat("output", out).alias("output"), (F.col("weight") + F.col("_w")).cast("float").alias("weight"))
-        quiet = front.join(F.broadcast(silent), F.col("state") == F.col("src"))
-        quiet = quiet.select(word, F.col("dst").alias("state"), "pos", F.concat("output", F.when(F.col("osym") == EPSILON, F.lit("")).otherwise(F.col("osym"))).alias("output"), (F.col("weight") + F.col("_w")).cast("float").alias("weight"))
-        front = moved.unionByName(quiet)
-    return done.groupBy(word, "output").agg(F.min("weight").alias("weight"))
+        front = step.select(word, F.col("dst").alias("state"), (F.col("pos") + F.when(silent, 0).otherwise(1)).alias("pos"), F.concat("output", out).alias("output"), (F.col("weight") + F.col("_w")).cast("float").alias("weight"))
+    return front.where(F.col("state") == DONE).groupBy(word, "output").agg(F.min("weight").alias("weight"))
