@@ -19,8 +19,9 @@ from tapeworks.llm.vectors import best, fewest_copies, usable
 
 K, EVERY = 20, 20
 #: Curves, directions of each, bits of each direction; vectors of a chunk; the share of all vectors that a window reaches to either side, and the least reach in vectors.
-CURVES, DIRECTIONS, BITS, CHUNK, REACH, LEAST = 8, 2, 10, 512, 0.12, 512
+CURVES, DIRECTIONS, BITS, CHUNK, REACH, LEAST = 8, 2, 10, 2048, 0.12, 512
 SAMPLE = 4096
+FOUND = "query_id long, vec_id long, score double"
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -96,45 +97,64 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
         yield chunk()
 
 
-def reranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (dim, curve, number of the asking chunk, its queries' ids and vectors, a chunk's ids and vectors) come sorted by the asking chunk.
+def top_rows(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Which entries are among the k best of their row, in order of row, score and id."""
+    order = np.lexsort((ids, -scores, rows))
+    starts = np.searchsorted(rows[order], np.arange(n))
+    return order[np.arange(len(order)) - starts[rows[order]] < k]
+
+
+def candidates(own: np.ndarray, ask: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the k best vectors for each query that reach the query's least score."""
+    near = ask @ x.T
+    near[own[:, None] == ids[None, :]] = -np.inf
+    if len(ids) > k:
+        least = np.maximum(least, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+    # products from matrix arithmetic only sort out; what may be among the best is summed anew, in one order for all
+    q, i = np.nonzero((near >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0.0))))[:, None]) & np.isfinite(near))
+    scores = inner(ask[q], x[i])
+    keep = top_rows(q, ids[i], scores, k, len(own))
+    return q[keep], ids[i][keep], scores[keep]
+
+
+def found_batch(own, q, ids, scores) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+
+def own_chunks(batches: Iterator[pa.RecordBatch], k: int, every: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query's own chunk."""
+    for batch in batches:
+        at = {n: batch.schema.get_field_index(n) for n in ("dim", "ids", "vectors")}
+        for r in range(batch.num_rows):
+            ids = np.frombuffer(batch.column(at["ids"])[r].as_buffer(), "<i8")
+            x = np.frombuffer(batch.column(at["vectors"])[r].as_buffer(), "<f8").reshape(len(ids), -1)
+            asks = np.flatnonzero(ids % every == 0)
+            if len(asks):
+                yield found_batch(ids[asks], *candidates(ids[asks], x[asks], np.full(len(asks), -np.inf), ids, x, k))
 
-    Of all chunks that one asking chunk meets here, each of its queries keeps the k highest.
-    """
-    now, own, ask, rows, ids, scores = None, None, None, None, None, None
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+def asked(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:
+    """Each query of a chunk: (dim, curve, number, of, all, query_id, vector)."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            ids = np.frombuffer(batch.column(5)[r].as_buffer(), "<i8")
+            x = np.frombuffer(batch.column(6)[r].as_buffer(), "<f8").reshape(len(ids), -1)
+            asks = np.flatnonzero(ids % every == 0)
+            head = [pa.array([batch.column(j)[r].as_py()] * len(asks), batch.schema.field(j).type) for j in range(5)]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(ids[asks]), pa.array([v.tobytes() for v in x[asks]], pa.binary())], names=[*batch.schema.names[:5], "query_id", "vector"])
 
+
+def reranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (queries of one chunk, another chunk's ids and vectors): what reaches the queries' k-th best so far."""
     for batch in batches:
         for r in range(batch.num_rows):
-            dim, c, number = (batch.column(j)[r].as_py() for j in range(3))
-            if (dim, c, number) != now:
-                if now is not None:
-                    yield out()
-                now = (dim, c, number)
-                own = np.frombuffer(batch.column(3)[r].as_buffer(), "<i8")
-                ask = np.frombuffer(batch.column(4)[r].as_buffer(), "<f8").reshape(len(own), dim)
-                rows, ids, scores, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(len(own), -np.inf)
-            other = np.frombuffer(batch.column(5)[r].as_buffer(), "<i8")
-            x = np.frombuffer(batch.column(6)[r].as_buffer(), "<f8").reshape(len(other), dim)
-            near = ask @ x.T
-            near[own[:, None] == other[None, :]] = -np.inf
-            if len(other) > k:
-                least = np.maximum(least, np.partition(near, len(other) - k, axis=1)[:, len(other) - k])
-            # products from matrix arithmetic only sort out; what may be among the best is summed anew, in one order for all
-            q, i = np.nonzero((near >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & np.isfinite(near))
-            rows, ids, scores = np.append(rows, q), np.append(ids, other[i]), np.append(scores, inner(ask[q], x[i]))
-            order = np.lexsort((ids, -scores, rows))
-            rows, ids, scores = rows[order], ids[order], scores[order]
-            starts = np.searchsorted(rows, np.arange(len(own)))
-            keep = np.arange(len(rows)) - starts[rows] < k
-            rows, ids, scores = rows[keep], ids[keep], scores[keep]
-            counts = np.bincount(rows, minlength=len(own))
-            full = np.flatnonzero(counts == k)
-            least[full] = np.maximum(least[full], scores[np.cumsum(counts)[full] - 1])
-    if now is not None:
-        yield out()
+            asks = batch.column(0)[r].as_py()
+            own = np.array([a["query_id"] for a in asks], np.int64)
+            ask = np.frombuffer(b"".join(a["vector"] for a in asks), "<f8").reshape(len(own), -1)
+            least = np.array([-np.inf if a["least"] is None else a["least"] for a in asks])
+            ids = np.frombuffer(batch.column(1)[r].as_buffer(), "<i8")
+            x = np.frombuffer(batch.column(2)[r].as_buffer(), "<f8").reshape(len(ids), -1)
+            yield found_batch(own, *candidates(own, ask, least, ids, x, k))
 
 
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -174,33 +194,24 @@ def neighbours(rows: DataFrame, k: int = K, every: int = EVERY, curves: int = CU
     numbers = cut.select("dim", "curve", "place", "head", (F.octet_length("ids") / 8).alias("n"))
     turn = Window.partitionBy("dim", "curve").orderBy("place", "head")
     before = turn.rowsBetween(Window.unboundedPreceding, -1)
-    numbers = numbers.select(*(F.col(c).alias(f"_{c}") for c in ("dim", "curve", "place", "head")), (F.row_number().over(turn) - 1).alias("number"), F.count("*").over(Window.partitionBy("dim", "curve")).alias("of"), F.sum("n").over(Window.partitionBy("dim", "curve")).alias("all"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
+    numbers = numbers.select(*(F.col(c).alias(f"_{c}") for c in ("dim", "curve", "place", "head")), (F.row_number().over(turn) - 1).cast("int").alias("number"), F.count("*").over(Window.partitionBy("dim", "curve")).alias("of"), F.sum("n").over(Window.partitionBy("dim", "curve")).alias("all"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
     same = F.lit(True)
     for c in ("dim", "curve", "place", "head"):
         same = same & (F.col(c) == F.col(f"_{c}"))
-    cut = scratch.keep(cut.join(numbers, same).select("dim", "curve", "number", "of", "all", "ids", "vectors"), "numbered")
+    numbered = scratch.keep(cut.join(numbers, same).select("dim", "curve", "number", "of", "all", "ids", "vectors"), "numbered")
+    scratch.drop(cut)
+    cut = numbered
+    # first each query's own chunk of every curve; then the rest of its windows, of which only what reaches the k-th best so far comes out
+    first = scratch.keep(cut.mapInArrow(lambda it: own_chunks(it, k, every), FOUND).dropDuplicates(["query_id", "vec_id"]), "first")
+    so_far = best(first, k).groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
     wide = F.greatest(F.lit(1), F.ceil(F.greatest(F.lit(least), F.lit(reach) * F.col("all")) / (F.col("all") / F.col("of")))).cast("int")
-    asks = cut.where(F.octet_length("ids") > 0).mapInArrow(lambda it: asking(it, every), cut.schema)
-    asks = asks.withColumn("to", F.explode(F.sequence(F.greatest(F.lit(0), F.col("number") - wide), F.least(F.col("of") - 1, F.col("number") + wide))))
-    asks = asks.select(F.col("dim").alias("d"), F.col("curve").alias("c"), F.col("number").alias("asking"), "to", F.col("ids").alias("own"), F.col("vectors").alias("ask"))
-    met = asks.join(cut, (F.col("d") == F.col("dim")) & (F.col("c") == F.col("curve")) & (F.col("to") == F.col("number")))
-    met = met.select("dim", "curve", "asking", "own", "ask", "ids", "vectors").repartition(parts, "dim", "curve", "asking").sortWithinPartitions("dim", "curve", "asking")
-    found = met.mapInArrow(lambda it: reranked(it, k), "query_id long, vec_id long, score double")
-    return best(found.dropDuplicates(["query_id", "vec_id"]), k)
-
-
-def asking(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:
-    """The chunks that hold queries, cut down to these."""
-    for batch in batches:
-        out = []
-        for r in range(batch.num_rows):
-            ids = np.frombuffer(batch.column(5)[r].as_buffer(), "<i8")
-            asks = ids % every == 0
-            if asks.any():
-                x = np.frombuffer(batch.column(6)[r].as_buffer(), "<f8").reshape(len(ids), -1)
-                out.append((*(batch.column(j)[r].as_py() for j in range(5)), ids[asks].tobytes(), x[asks].tobytes()))
-        cols = list(zip(*out, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(j).type) for j, c in enumerate(cols)], names=batch.schema.names)
+    asks = cut.mapInArrow(lambda it: asked(it, every), "dim int, curve int, number int, of long, all double, query_id long, vector binary")
+    asks = asks.join(so_far, F.col("query_id") == F.col("_q"), "left").groupBy("dim", "curve", "number", "of", "all").agg(F.collect_list(F.struct("query_id", "vector", "least")).alias("asks"))
+    asks = asks.withColumn("to", F.explode(F.sequence(F.greatest(F.lit(0), F.col("number") - wide), F.least(F.col("of") - 1, F.col("number") + wide)).cast("array<int>"))).where("to <> number")
+    asks = asks.select(F.col("dim").alias("d"), F.col("curve").alias("c"), "to", "asks")
+    met = asks.join(cut, (F.col("d") == F.col("dim")) & (F.col("c") == F.col("curve")) & (F.col("to") == F.col("number"))).select("asks", "ids", "vectors")
+    rest = met.mapInArrow(lambda it: reranked(it, k), FOUND)
+    return best(first.unionByName(rest).dropDuplicates(["query_id", "vec_id"]), k)
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
