@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.llm.html_tokens import INLINE, Walk, tokens
-from tapeworks.llm.scratch import bounded_batches
+from tapeworks.llm.scratch import Scratch
 
 PAGES_EACH, COPIES = 8, 16
 #: Of a sampled page, tokens that take part in the alignment; the wrapper still is applied to whole pages.
@@ -237,13 +237,16 @@ def main_texts(pages: DataFrame, pages_each: int = PAGES_EACH, key: str = "page_
     A null or empty page gives an empty text. Pages without a host in their url share one wrapper. A host's pages are dealt to COPIES groups by key, each with a
     copy of its wrapper, so a host with many pages isn't one task's work. Other columns are ignored.
     """
-    bounded_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"), host.alias("host"))
     turn = Window.partitionBy("host").orderBy(F.xxhash64(F.lit(5), "page_id"), "page_id")
-    some = rows.select("page_id", "host", "html").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pages_each)
+    # the sample's keys first, then their pages, then the wrappers: small tables, whose size is known before pages are read to meet them
+    scratch = Scratch(pages.sparkSession, "wrappers")
+    chosen = rows.select("page_id", "host").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pages_each)
+    chosen = scratch.keep(chosen.select(F.col("page_id").alias("i"), F.col("host").alias("h"), "turn"), "sample")
+    some = rows.select("page_id", "host", "html").join(chosen, F.col("page_id").eqNullSafe(F.col("i")) & (F.col("host") == F.col("h")))
     found = some.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "html"))), lambda x: x["html"]).alias("pages"))
-    found = found.mapInArrow(wrappers, "host string, wrapper string")
+    found = scratch.keep(found.mapInArrow(wrappers, "host string, wrapper string"), "wrappers")
     copies = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).withColumnRenamed("host", "h").withColumnRenamed("part", "p")
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(COPIES)).cast("int"))
     both = dealt.join(copies, (F.col("host") == F.col("h")) & (F.col("part") == F.col("p")), "left")

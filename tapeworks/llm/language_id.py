@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.llm import byte_cnn
-from tapeworks.llm.scratch import bounded_batches
+from tapeworks.llm.scratch import Scratch, bounded_batches
 from tapeworks.llm.words import steps
 
 #: Bounds of the training sample: documents of each language, windows of each document.
@@ -53,7 +53,8 @@ def train(labelled: DataFrame, docs_each: int = DOCS_EACH, windows_each: int = W
     """The network and its languages, from rows (doc_id, text, lang); none without a usable row. The same rows give the same network."""
     bounded_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").count()
+    # a table of one row for each language: its size is known before the texts are read, so no text is dealt out to meet it
+    counts = Scratch(labelled.sparkSession, "languages").keep(labelled.groupBy("lang").count(), "counts")
     share = F.least(F.lit(1.0), F.lit(float(docs_each)) / F.col("count"))
     chosen = labelled.join(counts, "lang").where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     rows = chosen.select("doc_id", "text", "lang").mapInArrow(lambda it: examples(it, windows_each), "doc_id long, lang string, place long, cut binary").toArrow()
