@@ -17,6 +17,8 @@ from tapeworks.plans.xre import Compiler
 
 BOUNDARY = ".#."
 NON_MATCHING = "@_NONMATCHING_@"
+#: Symbols of analyses: where a part of the form begins, and where the form may be cut and analysed again.
+INPUT_MARK, BACKTRACK = "@PMATCH_INPUT_MARK@", "@PMATCH_BACKTRACK@"
 #: The options and their defaults.
 DEFAULTS = {
     "count-patterns": "off", "delete-patterns": "off", "extract-patterns": "off", "locate-patterns": "off", "mark-patterns": "on", "max-context-length": "254",
@@ -43,7 +45,10 @@ class Location:
     output: str
     tag: str
     weight: float
+    #: Where parts of the form begin, and after how many output symbols.
     parts: tuple[int, ...] = ()
+    oparts: tuple[int, ...] = ()
+    osyms: tuple[str, ...] = ()
 
 
 class PatternCompiler(Compiler):
@@ -183,9 +188,23 @@ class PatternCompiler(Compiler):
     def _boundary(self, node: Node, local: dict) -> Fst:
         return symbol(f"{MARKER}EDGE@")
 
+    def _concat(self, node: Node, local: dict) -> Fst:
+        """A left context is one of the beginning of what it stands in, wherever it is written."""
+
+        def is_left(n: Node) -> bool:
+            if n.kind in ("group", "|"):
+                return all(is_left(x) for x in n.args)
+            return n.kind == "call" and (n.args[0] in ("LC", "NLC") or (n.args[0] in ("OR", "AND") and all(map(is_left, n.args[1]))))
+
+        lefts = [n for n in node.args if is_left(n)]
+        return A.concat(*(self.of(n, local) for n in [*lefts, *(n for n in node.args if n not in lefts)]))
+
     def _tagged(self, node: Node, local: dict) -> Fst:
         return A.concat(symbol(f"{MARKER}ENTRY@"), self.of(node.args[0], local), symbol(f"{MARKER}TAG:{node.args[1]}@"), symbol(f"{MARKER}EXIT@"))
 
+    def defined(self, name: str, local: dict) -> bool:
+        return name in self.nodes or name in CLASSES or super().defined(name, local)
+
     def _text(self, node: Node) -> str:
         while node.kind == "group":
             node = node.args[0]
@@ -368,7 +387,7 @@ class Matcher:
             for (state, out, registers, caps), w in closed.items():
                 for o, v, d in arcs[state].get(c, []) if c in known else arcs[state].get(IDENTITY, []) + arcs[state].get(UNKNOWN, []):
                     o = c if o in (IDENTITY, UNKNOWN) else o
-                    key = (d, out + ((o,) if o != EPSILON else ()), registers, caps)
+                    key = (d, out + _given(o, at + step), registers, caps)
                     if layer.get(key, float("inf")) > w + v:
                         layer[key] = w + v
                 for label, o, v, d in silent[state]:
@@ -392,7 +411,7 @@ class Matcher:
     def _act(self, label, o, text, at, step, out, registers, caps, depth, limit):
         """What an action does: (place, output, registers, captures) for each way that it allows."""
         if label is None:
-            yield at, ((o,) if o != EPSILON else ()), registers, caps
+            yield at, _given(o, at), registers, caps
             return
         if is_flag(label):
             got = A.apply_flag(label, dict(registers))
@@ -491,8 +510,9 @@ class Matcher:
             seen = {}
             for w, o in ways:
                 tags = [x[1] for x in o if isinstance(x, tuple) and x[0] == "TAG"]
-                form = "".join(x for x in o if isinstance(x, str))
-                loc = Location(start, end - start, text[start:end], form, tags[-1] if tags else "", w, _parts(o, start))
+                symbols = tuple(x for x in o if isinstance(x, str))
+                form = "".join(s for s in symbols if s != BACKTRACK)
+                loc = Location(start, end - start, text[start:end], form, tags[-1] if tags else "", w, *_parts(o, start), symbols)
                 seen.setdefault((loc.output, loc.tag, loc.weight), loc)
             out.append(sorted(seen.values(), key=lambda x: (x.weight, x.tag, x.output)))
             last = end
@@ -537,15 +557,21 @@ def _capture_start(out: tuple) -> str:
     return "".join(reversed(text))
 
 
-def _parts(out: tuple, start: int) -> tuple[int, ...]:
-    at, parts = start, []
+def _given(o: str, at: int) -> tuple:
+    """What an arc gives: nothing, a mark of the place in the input, or a symbol."""
+    return () if o == EPSILON else (("PART", at),) if o == INPUT_MARK else (o,)
+
+
+def _parts(out: tuple, start: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Where the parts that marks begin are: in the form, and in the output's symbols."""
+    inputs, outputs, n = [], [], 0
     for x in out:
-        if isinstance(x, tuple):
-            if x[0] == "ENTRY":
-                parts.append(at)
-        else:
-            at += len(x)
-    return tuple(parts)
+        if isinstance(x, str):
+            n += 1
+        elif x[0] == "PART":
+            inputs.append(x[1] - start)
+            outputs.append(n)
+    return tuple(inputs), tuple(outputs)
 
 
 def _render(out: tuple, mark: bool) -> str:
@@ -553,7 +579,7 @@ def _render(out: tuple, mark: bool) -> str:
     stack: list[list] = [[]]
     for x in out:
         if isinstance(x, str):
-            stack[-1].append(x)
+            stack[-1].append(x if x != BACKTRACK else "")
         elif x[0] == "ENTRY":
             stack.append([])
         elif x[0] == "TAG" and len(stack) > 1:

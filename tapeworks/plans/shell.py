@@ -294,7 +294,6 @@ class Shell:
     do_show_variables = do_show_variable
 
     def do_echo(self, rest): self.say(rest)
-    def do_hfst(self, rest): self.say(rest)
     def do_help(self, rest): self.say("\n".join(sorted({n[3:].replace("_", " ") for n in dir(self) if n.startswith("do_") and rest.strip() in n.replace("_", " ")})))
     do_apropos = do_help
     def do_system(self, rest): raise UnsupportedError("other programs aren't run")

@@ -125,45 +125,45 @@ def nested_networks(spark, sf_dir):
     return c.select("c_custkey", "text", ops.tag_counts(m)(wrapped)["T"].alias("n"))
 
 
-@query("SELECT p_partkey, replace(p_name, ' ', chr(10)) || chr(10) AS tokens FROM part")
+@query("SELECT p_partkey, replace(p_name, ' ', chr(10)) || chr(10) || chr(10) AS tokens FROM part")
 def tokenize_lines(spark, sf_dir):
     """One token a line."""
     m = compile_script("Define TOP Alpha+;")
     return table(spark, sf_dir, "part").select("p_partkey", ops.tokenized(m)("p_name").alias("tokens"))
 
 
-@query("SELECT p_partkey, p_name AS tokens FROM part")
+@query("SELECT p_partkey, p_name || ' ' AS tokens FROM part")
 def tokenize_spaced(spark, sf_dir):
     m = compile_script("Define TOP Alpha+;")
     return table(spark, sf_dir, "part").select("p_partkey", ops.tokenized(m, "space_separated")("p_name").alias("tokens"))
 
 
-@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: '\"<' || w || '>\"' || chr(10) || chr(9) || '\"' || w || '\"' || ' W' || chr(10)), 'string_agg', ': ' || chr(10)) AS tokens FROM part")
+@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: '\"<' || w || '>\"' || chr(10) || chr(9) || '\"' || w || '\" <W:0.0>' || chr(10)), 'string_agg', ': ' || chr(10)) AS tokens FROM part")
 def tokenize_giella(spark, sf_dir):
     """Cohorts with readings; the blank between tokens is a line of its own."""
     m = compile_script("Define TOP Alpha+ EndTag(W);")
     return table(spark, sf_dir, "part").select("p_partkey", ops.tokenized(m, "giellacg")("p_name").alias("tokens"))
 
 
-@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: w || chr(9) || w || chr(10) || chr(10)), 'string_agg', '') AS tokens FROM part")
+@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: w || chr(9) || w || chr(10) || chr(10)), 'string_agg', '') || chr(10) AS tokens FROM part")
 def tokenize_xerox(spark, sf_dir):
     m = compile_script("Define TOP Alpha+;")
     return table(spark, sf_dir, "part").select("p_partkey", ops.tokenized(m, "xerox")("p_name").alias("tokens"))
 
 
-@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: '_' || chr(9) || w || chr(9) || w || repeat(chr(9) || '_', 7) || chr(10)), 'string_agg', '') || chr(10) AS tokens FROM part")
+@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w, i: i || chr(9) || w || repeat(chr(9) || '_', 7) || chr(9) || w || chr(10)), 'string_agg', '') AS tokens FROM part")
 def tokenize_conllu(spark, sf_dir):
     m = compile_script("Define TOP Alpha+;")
     return table(spark, sf_dir, "part").select("p_partkey", ops.tokenized(m, "conllu")("p_name").alias("tokens"))
 
 
-@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: '\"<' || w || '>\"' || chr(10) || chr(9) || '\"' || w || '\"' || chr(10)), 'string_agg', '') AS tokens FROM part")
+@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: '\"<' || w || '>\"' || chr(10) || chr(9) || '\"' || w || '\"' || chr(10) || chr(10)), 'string_agg', '') AS tokens FROM part")
 def tokenize_cg(spark, sf_dir):
     m = compile_script("Define TOP Alpha+;")
     return table(spark, sf_dir, "part").select("p_partkey", ops.tokenized(m, "cg")("p_name").alias("tokens"))
 
 
-@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: w || chr(9) || '_' || chr(9) || w || chr(9) || '_' || chr(9) || '_' || chr(10)), 'string_agg', '') || chr(10) AS tokens FROM part")
+@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: w || repeat(chr(9) || '_', 4) || chr(10)), 'string_agg', '') || chr(10) AS tokens FROM part")
 def tokenize_finnpos(spark, sf_dir):
     m = compile_script("Define TOP Alpha+;")
     return table(spark, sf_dir, "part").select("p_partkey", ops.tokenized(m, "finnpos")("p_name").alias("tokens"))

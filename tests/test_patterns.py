@@ -1,8 +1,10 @@
 import pytest
 
 from tapeworks.operators import tokens as T
+from tapeworks.plans import algebra as A
+from tapeworks.plans import lexc
 from tapeworks.plans.fst import FormatError, FstError, UnsupportedError
-from tapeworks.plans.pmatch import NON_MATCHING, Location, compile_script
+from tapeworks.plans.pmatch import NON_MATCHING, Location, Matcher, PatternCompiler, compile_script
 
 OFF = "set need-separators off "
 
@@ -75,20 +77,75 @@ def test_neighbours():
     assert m.match("dog cat") == "<L>dog</L> cat"
 
 
-def loc(output, weight=0.0, tag="", start=0, length=3, text="abc"):
-    return Location(start, length, text, output, tag, weight)
+def loc(output, weight=0.0, tag="", text="abc", symbols=None):
+    return Location(0, len(text), text, output, tag, weight, (), (), tuple(symbols or output))
 
 
-def test_token_forms():
-    group = [loc("abc+N+Sg", 1.0), loc("abc+V", 2.0), loc("abc+V", 2.0), loc("a#bc+N", 3.0)]
-    m = compile_script("Define TOP Alpha+;")
-    p = T.Printer("cg")
-    assert p.group(p.pick(group), m) == '"<abc>"\n\t"abc" N Sg\n\t"abc" V\n\t"a#bc" N\n'
-    assert T.Printer("giellacg", weights=1).group([group[3]], m) == '"<abc>"\n\t"bc" N <W:3.0>\n\t\t"a"\n'
-    assert T.Printer("xerox", beam=1.0).group(T.Printer("xerox", beam=1.0).pick(group), m) == "abc\tabc+N+Sg\nabc\tabc+V\n\n"
-    assert [x.output for x in T.lightest_classes(group, 2)] == ["abc+N+Sg", "abc+V", "abc+V"] and len(T.lightest_classes([loc("", 0.0), *group], 1)) == 2
-    assert T.Printer("conllu").group([loc("x[UPOS=NOUN][XPOS=N][WORD_ID=w][CASE=NOM]")], m) == "_\tabc\tw\tNOUN\tN\tCASE=NOM\t_\t_\t_\t_\n"
-    assert T.Printer("finnpos").group(group, m) == "abc\t_\ta#bc abc\tN N|Sg V\t_\n"
-    assert T.Printer("tokenize").text(m, "ab cd") == "ab\ncd\n" and T.Printer("space_separated").text(m, "ab  cd") == "ab cd"
+def test_picking():
+    group = [loc("abc+N", 1.0), loc("abc+V", 2.0), loc("abc+V", 2.0), loc("a#bc", 3.0)]
+    assert len(T.deduped(group)) == 3 and len(T.deduped([loc("x", 1.0), loc("x", 2.0)], weights=False)) == 1
+    assert [x.output for x in T.lightest_classes(group, 2)] == ["abc+N", "abc+V", "abc+V"] and len(T.lightest_classes([loc("", 0.0), *group], 1)) == 2
+    assert len(T.within(group, 1.0)) == 3
+    assert T.is_tag("+N") and not T.is_tag("a") and not T.is_tag("é") and not T.is_tag("tʰ") and T.is_tag("tʰx")
     with pytest.raises(ValueError):
         T.Printer("other")
+
+
+LEXICON = """Multichar_Symbols
+% N % V % Cmp % Es @PMATCH_INPUT_MARK@ @PMATCH_BACKTRACK@
+LEXICON Root
+fox% N:fox # ;
+den% N% Cmp%#:den FOX ;
+go% V:go SPACED ;
+gofox% V:go% fox # ;
+ring% N:ring # ;
+rings% V:ring # ;
+hut% N:hut # ;
+< {hut} "@PMATCH_BACKTRACK@":0 "@PMATCH_INPUT_MARK@":" " {ring} " N":0 " Es":0 > # ;
+LEXICON FOX
+fox% N:fox # ;
+LEXICON SPACED
+@PMATCH_INPUT_MARK@:%  FOX ;
+"""
+SCRIPT = """Define morphology @bin"m" ;
+Define blank Whitespace | Punct ;
+Define known morphology LC([blank | #]) RC([blank | #]) ;
+Define word ["a-z"]+ ;
+Define form [[word].u - [morphology].u] ;
+Define unknown form:0 LC([blank | #]) RC([blank | #]) ;
+Define token [known | unknown] EndTag(token) ;
+Define TOP token ;"""
+
+
+@pytest.fixture(scope="module")
+def analyser():
+    f = A.invert(lexc.compile_lexc(LEXICON))
+    c = PatternCompiler(reader=lambda kind, name: f)
+    c.script(SCRIPT)
+    return Matcher.of(c)
+
+
+TEXT = "test fox go fox denfox жук"
+
+
+def test_lines_and_columns(analyser):
+    show = lambda form, text=TEXT, **o: T.Printer(form, **o).text(analyser, text)
+    assert show("tokenize") == "test\nfox\ngo fox\ndenfox\n\n" and show("space_separated") == "test fox go fox denfox "
+    assert show("tokenize", "fox", weights=True) == "fox\t0\n\n" and show("tokenize", "fox !", everything=True) == "fox\n !\n\n"
+    assert show("cg", "test go fox") == '"<test>"\n\t\n\n"<go fox>"\n\tgo Vfox N\n\tgofox V\n\n' and show("cg", "fox") == '"<fox>"\n\t"fox" N\n\n'
+    assert show("xerox", "test go fox") == "test\t\n\ngo fox\tgo Vfox N\ngo fox\tgofox V\n\n\n"
+    assert show("finnpos", "go fox") == "go fox\t_\tgofox\tN V\t_\n\n"
+    assert show("conllu", "fox fox") == "1\tfox\t_\t_\t_\t_\t_\t_\t_\tfox N\n2\tfox\t_\t_\t_\t_\t_\t_\t_\tfox N\n"
+    x = loc("x[UPOS=NOUN][XPOS=N][WORD_ID=w][NUM=SG][CASE=NOM]", 1.0)
+    assert T.Printer("conllu").group([x], analyser) == "1\tabc\tw\tNOUN\tN\tCase=NOM|Number=SG\t_\t_\t_\tx\n"
+    assert T.Printer("xerox", beam=0.5).group([loc("p", 1.0), loc("q", 2.0)], analyser) == "abc\tp\n\n" and T.Printer("xerox").group([loc("abc")], analyser) == "abc\tabc\n\n"
+
+
+def test_cohorts(analyser):
+    show = lambda text, **o: T.Printer("giellacg", **o).text(analyser, text)
+    assert show("test fox") == '"<test>"\n\t"test" ?\n: \n"<fox>"\n\t"fox" N <W:0.0>\n'
+    assert show("go fox") == '"<go fox>"\n\t"fox" N <W:0.0> "<fox>"\n\t\t"go" V <W:0.0> "<go >"\n\t"gofox" V <W:0.0>\n'
+    assert show("denfox жук\n") == '"<denfox>"\n\t"fox" N <W:0.0>\n\t\t"den" N Cmp <W:0.0>\n: жук\\n\n'
+    assert show("hut ring") == '"<hut ring>"\n\t"hutring" N Es <W:0.0>\n\t"rings" V <W:0.0> "<ring>"\n\t\t"hut" N <W:0.0> "<hut >"\n\t"ring" N <W:0.0> "<ring>"\n\t\t"hut" N <W:0.0> "<hut >"\n'
+    assert show("fox", weights=False) == '"<fox>"\n\t"fox" N\n' and T.Printer()._line(1, ("a", "+N"), 0.25, None) == '\t"a"+N\n'
+    assert T.Printer("visl").text(analyser, "fox ") == '"<fox>"\n\t"fox" N <W:0.0>\n \n'

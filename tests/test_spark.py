@@ -60,7 +60,7 @@ def test_patterns(spark):
     df = spark.createDataFrame([(1, "a1 b22"), (2, None), (3, "")], "id int, t string")
     m = compile_script('set need-separators off Define TOP "0-9"+ EndTag(N);')
     got = df.orderBy("id").select(ops.matched(m)("t").alias("m"), ops.tag_counts(m)("t").alias("c"), ops.tokenized(m)("t").alias("k")).collect()
-    assert [r.m for r in got] == ["a<N>1</N> b<N>22</N>", None, ""] and got[0].c == {"N": 2} and got[0].k == "a\n1\nb\n22\n"
+    assert [r.m for r in got] == ["a<N>1</N> b<N>22</N>", None, ""] and got[0].c == {"N": 2} and got[0].k == "1\n22\n\n"
     spans = sorted((r.start, r.length, r.input, r.tag) for r in ops.locate(df, "t", m).collect())
     assert spans == [(1, 1, "1", "N"), (4, 2, "22", "N")] and ops.locate(df, "t", m, gaps=True).count() == 4
     fixes = spark.createDataFrame([("caat",)], "w string").select(ops.corrections(from_words(["cat", "dog"]), edit_model(2, "catdog"))("w").alias("f")).first().f
