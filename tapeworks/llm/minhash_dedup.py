@@ -218,6 +218,16 @@ class Job:
         pairs = self.scratch.keep(both.mapInArrow(compared, "a long, b long"), "pairs")
         return self.confirm(pairs, sets, "rest")
 
+    def merged(self, labels: DataFrame, more: DataFrame) -> DataFrame:
+        """(v, component) after more links: only the links between components are followed again."""
+        x, y = (labels.select(F.col("v").alias(f"v_{c}"), F.col("component").alias(f"part_{c}")) for c in "ab")
+        drawn = more.join(x, F.col("a") == F.col("v_a"), "left").join(y, F.col("b") == F.col("v_b"), "left")
+        joined = components(drawn.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")), self.scratch)
+        new = more.select(F.col("a").alias("v")).union(more.select("b")).distinct().join(labels, "v", "left_anti")
+        every = labels.select("v", "component").union(new.select("v", F.col("v").alias("component")))
+        joined = joined.select(F.col("v").alias("part"), F.col("component").alias("to"))
+        return every.join(joined, F.col("component") == F.col("part"), "left").select("v", F.coalesce("to", "component").alias("component"))
+
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for each row of the documents."""
         lists = self.scratch.keep(self.lists(), "lists")
@@ -226,7 +236,7 @@ class Job:
         labels = components(links, self.scratch)
         more = self.rest(lists, sets, labels)
         if not more.isEmpty():
-            labels = components(links.union(more), self.scratch)
+            labels = self.scratch.keep(self.merged(labels, more), "labels")
         heads = self.classes.join(labels, F.col("head") == F.col("v"), "left").select("set_name", F.coalesce("component", "head").alias("component"))
         out = self.signed.select("doc_id", "n_shingles", "set_name").join(heads, "set_name", "left")
         return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
