@@ -38,6 +38,11 @@ def times(a: Column | str, factor: float) -> Column:
     return F.transform(_c(a), lambda x: x.cast("double") * F.lit(factor))
 
 
+def neighbours(words: DataFrame, word: str = "word", vector: str = "embedding"):
+    """What a pattern script's Like and Unlike ask: (wanted words, how many, nearest or farthest) to a list of words."""
+    return lambda wanted, n, nearest: [r[0] for r in like(words, wanted, n, word, vector, unlike=not nearest).collect()]
+
+
 def like(words: DataFrame, wanted: list, n: int = 10, word: str = "word", vector: str = "embedding", unlike: bool = False) -> DataFrame:
     """The n words nearest to the sum of the wanted words' vectors by cosine (unlike: farthest), with ``score``; the wanted ones aren't among them.
 

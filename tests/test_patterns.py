@@ -148,4 +148,7 @@ def test_cohorts(analyser):
     assert show("denfox жук\n") == '"<denfox>"\n\t"fox" N <W:0.0>\n\t\t"den" N Cmp <W:0.0>\n: жук\\n\n'
     assert show("hut ring") == '"<hut ring>"\n\t"hutring" N Es <W:0.0>\n\t"rings" V <W:0.0> "<ring>"\n\t\t"hut" N <W:0.0> "<hut >"\n\t"ring" N <W:0.0> "<ring>"\n\t\t"hut" N <W:0.0> "<hut >"\n'
     assert show("fox", weights=False) == '"<fox>"\n\t"fox" N\n' and T.Printer()._line(1, ("a", "+N"), 0.25, None) == '\t"a"+N\n'
+    blanks = 'fox[\\\n<\\\\>]ring !fox \nfox[][\n]'
+    want = '"<fox>"\n\t"fox" N <W:0.0>\n:[\\\\n<\\\\>]\n"<ring>"\n\t"ring" N <W:0.0>\n\t"rings" V <W:0.0>\n: !\n"<fox>"\n\t"fox" N <W:0.0>\n: \\n\n"<fox>"\n\t"fox" N <W:0.0>\n:[][\\n]\n'
+    assert show(blanks, superblanks=True) == want and show("fox\0", superblanks=True).endswith("\n<STREAMCMD:FLUSH>\n")
     assert T.Printer("visl").text(analyser, "fox ") == '"<fox>"\n\t"fox" N <W:0.0>\n \n'

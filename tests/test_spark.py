@@ -123,6 +123,7 @@ def test_column_functions(spark):
     assert tuple(row) == ("b<X>an</X><X>an</X>a", "ba", "an-an", True, False, "banAna", ["Banana", "banana"], "b-anana", True, ["BANANA", "banana"], "banana")
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "word string, embedding array<float>")
     assert [r.word for r in V.like(v, ["a"], 1).collect()] == ["b"] and [r.word for r in V.like(v, ["a"], 1, unlike=True).collect()] == ["c"] and V.like(v, ["zz"]).count() == 0
+    assert compile_script("Define TOP Like(a, 1) EndTag(L);", neighbours=V.neighbours(v)).match("b c") == "<L>b</L> c"
     got = v.where("word = 'a'").select(V.dot("embedding", "embedding").alias("d"), V.norm("embedding").alias("n"), V.plus("embedding", "embedding").alias("p"), V.minus("embedding", "embedding").alias("m"), V.times("embedding", 3.0).alias("t")).first()
     assert tuple(got) == (1.0, 1.0, [2.0, 0.0], [0.0, 0.0], [3.0, 0.0])
 
