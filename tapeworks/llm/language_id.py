@@ -22,8 +22,8 @@ from tapeworks.llm.words import steps
 #: Bounds of the training sample: documents of each language, windows of each document.
 DOCS_EACH, WINDOWS_EACH = 500, 12
 UNKNOWN = "und"
-#: The score below which keep_languages() rejects a document.
-LEAST = 0.5
+#: The score below which keep_languages() rejects a document; 0: only what has no letter, or none of the wanted languages, goes. Short clean texts have low scores.
+LEAST = 0.0
 _LETTER = re.compile(r"[^\W\d_]")
 
 
