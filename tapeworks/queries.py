@@ -488,13 +488,13 @@ def lookup_default(spark, sf_dir):
     return ops.lookup(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", f).select("event_id", "output")
 
 
-@query("SELECT DISTINCT event_type, ['KIND.A'] AS tags FROM events WHERE event_type = 'click'")
+@query("SELECT DISTINCT event_type, 'KIND.A' AS tags FROM events WHERE event_type = 'click'")
 def lookup_tags(spark, sf_dir):
     """Only the flags of the results."""
     f = regex('"@P.KIND.A@" {click}')
     e = table(spark, sf_dir, "events").select("event_type").distinct()
     t = F.transform(ops.tags(f, True)("event_type"), lambda x: F.regexp_extract(x, r"^@P\.(.*)@$", 1))
-    return e.select("event_type", t.alias("tags")).where(F.size("tags") > 0)
+    return e.select("event_type", F.array_join(t, " ").alias("tags")).where("tags <> ''")
 
 
 @query("WITH v AS (SELECT DISTINCT word FROM (" + W + ") WHERE length(word) BETWEEN 5 AND 6 AND starts_with(word, 'th')), q AS (SELECT word, 'x' || word[2:] AS bad FROM v) "
@@ -573,9 +573,9 @@ def att_round_trip(spark, sf_dir):
 # case, vectors, statistics, text tools, streams
 
 
-@query("SELECT p_partkey, upper(p_name[1]) || p_name[2:] AS cap, upper(p_name) AS up, list_sort(list_distinct([p_name, upper(p_name[1]) || p_name[2:]])) AS opt_cap FROM part")
+@query("SELECT p_partkey, upper(p_name[1]) || p_name[2:] AS cap, upper(p_name) AS up, array_to_string(list_sort(list_distinct([p_name, upper(p_name[1]) || p_name[2:]])), '|') AS opt_cap FROM part")
 def casing(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", X.cap("p_name").alias("cap"), F.upper("p_name").alias("up"), X.variants("p_name", "OptCap").alias("opt_cap"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.cap("p_name").alias("cap"), F.upper("p_name").alias("up"), F.array_join(X.variants("p_name", "OptCap"), "|").alias("opt_cap"))
 
 
 @query("SELECT p_partkey, p_type IN ('SMALL', 'small', 'Small', 'SmAlL') AS any_case, p_type = 'SMALL' AS up_case FROM part")
