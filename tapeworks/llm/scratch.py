@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="tapeworks-"))
+        path = tempfile.mkdtemp(prefix="tapeworks-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own.append("file://" + path)
     return _own[0]
 
 
