@@ -179,3 +179,10 @@ def tokenized(m: Matcher, form: str = "tokenize", **options) -> Callable[[Column
     """The text's tokens in one of the output forms."""
     printer = T.Printer(form, **options)
     return _by_value(lambda text: printer.text(m, text), StringType())
+
+
+def running_text(f: Fst, **options) -> Callable[[Column | str], Column]:
+    """Running text with its words analysed, or its analyses generated; the options are those of a Stream."""
+    from tapeworks.operators.running_text import Stream
+
+    return _by_value(Stream(f, **options).text, StringType())

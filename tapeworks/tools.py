@@ -286,35 +286,11 @@ def flookup(fsts, text="", **options) -> str:
 
 
 @tool("proc")
-def proc(fsts, text="", mode="analysis", form="apertium", **options) -> str:
-    """A stream of text: analyses of words, or the forms of analyses between ^ and $; what stands in square brackets passes as it is."""
-    import re
-
-    c = L.compile_fst(fsts[0] if mode == "analysis" else A.invert(fsts[0]))
-
-    def results(word: str) -> list[str]:
-        for w in dict.fromkeys([word, word.lower()]):
-            got = ["".join(x for x in out if x != EPSILON and not is_flag(x)) for _, out in L.lookup(c, w)]
-            if got:
-                return list(dict.fromkeys(got))
-        return []
-
-    def analysed(m: re.Match) -> str:
-        word = m[0]
-        if word.startswith("["):
-            return word
-        got = results(word)
-        if form == "xerox":
-            return "\n".join(f"{word}\t{a}" for a in got or [f"{word}+?"]) + "\n"
-        if form == "cg":
-            return "\n".join([f'"<{word}>"', *(f'\t"{a}"' for a in got or [f"*{word}"])]) + "\n"
-        return f"^{word}/{'/'.join(got) if got else '*' + word}$"
-
-    if mode == "tokenize":
-        return re.sub(r"\[[^\]]*\]|\w+", lambda m: m[0] if m[0].startswith("[") else f"^{m[0]}$", text)
-    if mode == "analysis":
-        return re.sub(r"\[[^\]]*\]|\w+", analysed, text)
-    return re.sub(r"\^([^$]*)\$", lambda m: (results(m[1].lstrip("*")) or [("#" if mode == "generation" else "") + m[1].lstrip("*")])[0], text)
+def proc(fsts, text="", mode="analysis", form="plain", case="ignore", weights=False, classes=None, **options) -> str:
+    """Running text: words with their analyses, or analyses between ^ and $ with their forms."""
+    from tapeworks.operators.running_text import Stream
+
+    return Stream(fsts[0], mode, case, form, bool(weights), None if classes is None else int(classes)).text(text)
 
 
 @tool("pmatch", "pmatch2fst")

@@ -34,7 +34,7 @@ def test_tools(tmp_path):
     assert len(t("multiply", CAT, n="3")) == 3 and len(t("head", CAT, up, n="1")) == 1 and t("tail", CAT, up, n="1")[0] is up
     assert P.strings(t("reweight", api.fsa(("a", 2)), multiplier="2", addition="1")[0])[0][2] == 6.0
     assert P.strings(t("substitute", api.fsa("ab"), old="a", new="x")[0]) == [("xb", "xb", 0.0)] and {u for u, _, _ in P.strings(t("expand-equivalences", api.fsa("ab"), classes=[["a", "c"]])[0])} == {"ab", "cb"}
-    assert t("proc", up, text="Cats [b x] zz") == "^Cats/cat+N+Pl$ [b x] ^zz/*zz$" and t("proc", up, text="^cat+N+Pl$ ^q$", mode="generation") == "cats #q"
+    assert t("proc", up, text="Cats [b x] zz") == "^Cats/Cat+N+Pl$ [b x] ^zz/*zz$" and t("proc", up, text="^cat+N+Pl$ ^q$", mode="generation") == "cats #q"
     assert t("grep", pattern="a b", text="xab\nb\nab") == "xab\nab" and t("grep", pattern="a b", text="xab\nb", count=True) == "1" and t("grep", pattern="a b", text="xab\nb", only=True, number=True) == "1:ab"
     assert t("pmatch", script="Define TOP {a} EndTag(A);", text="a b") == "<A>a</A> b" and t("tokenize", script="Define TOP Alpha+;", text="a b") == "a\nb\n\n"
     assert t("guess", CAT, text="bats").startswith("bats\tbat+N+Pl") and t("traverse", up, text="cat") == "s #"
