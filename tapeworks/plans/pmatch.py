@@ -391,7 +391,7 @@ class Matcher:
                     if layer.get(key, float("inf")) > w + v:
                         layer[key] = w + v
                 for label, o, v, d in silent[state]:
-                    if label is not None and label.startswith(f"{MARKER}CLS:") and CLASSES[label[len(MARKER) + 4 : -1]](c):
+                    if label is not None and _reads(label, c):
                         key = (d, (*out, c), registers, caps)
                         if layer.get(key, float("inf")) > w + v:
                             layer[key] = w + v
@@ -453,7 +453,7 @@ class Matcher:
                 return None
             out |= set(arcs[s])
             for label, _, _, d in silent[s]:
-                if label is not None and label[len(MARKER) :].startswith(("CLS", "INS", "SAME")):
+                if label is not None and label[len(MARKER) :].startswith(("CLS", "NOT", "INS", "SAME")):
                     return None
                 if d not in seen:
                     seen.add(d)
@@ -557,6 +557,12 @@ def _capture_start(out: tuple) -> str:
     return "".join(reversed(text))
 
 
+def _reads(label: str, c: str) -> bool:
+    """Whether a class arc reads a character."""
+    kind, _, name = label[len(MARKER) : -1].partition(":")
+    return CLASSES[name](c) if kind == "CLS" else c not in name if kind == "NOT" else False
+
+
 def _given(o: str, at: int) -> tuple:
     """What an arc gives: nothing, a mark of the place in the input, or a symbol."""
     return () if o == EPSILON else (("PART", at),) if o == INPUT_MARK else (o,)
@@ -608,6 +614,82 @@ def _table(f: Fst) -> list:
     return [arcs, silent, dict(f.finals), frozenset(s for s in f.alphabet if len(s) == 1)]
 
 
+# The action symbols of stored networks.
+_ACTIONS = {
+    "@PMATCH_ENTRY@": "ENTRY", "@PMATCH_EXIT@": "EXIT", "@BOUNDARY@": "EDGE", "@UNICODE_ALPHA@": "CLS:Alpha", "@UNICODE_UPPERALPHA@": "CLS:UppercaseAlpha", "@UNICODE_LOWERALPHA@": "CLS:LowercaseAlpha",
+    "@UNICODE_WHITESPACE@": "CLS:Whitespace",
+}
+_PREFIXES = {"@PMATCH_ENDTAG_": "TAG", "@PMATCH_CAPTURED_": "SAME", "@PMATCH_CAPTURE_": "CAP", "@PMATCH_COUNTER_": "COUNT", "@I.": "INS"}
+_SILENT = ("@PMATCH_PASSTHROUGH@", "@PMATCH_GUARD_")
+
+
+def _action(s: str) -> str:
+    if s in _ACTIONS:
+        return f"{MARKER}{_ACTIONS[s]}@"
+    for prefix, kind in _PREFIXES.items():
+        if s.startswith(prefix):
+            return f"{MARKER}{kind}:{s[len(prefix) : -1]}@"
+    return EPSILON if s.startswith(_SILENT) else s
+
+
+def _contexts_out(f: Fst, guards: list[tuple[str, Fst]]) -> Fst:
+    """Contexts that stand in a network between their entry and exit symbols become conditions; left ones are stored as they are read, backwards."""
+    out = f.copy()
+    for kind in ("NLC", "NRC", "LC", "RC"):
+        enter, leave = f"@PMATCH_{kind}_ENTRY@", f"@PMATCH_{kind}_EXIT@"
+        for s, row in enumerate(out.arcs):
+            for arc in [a for a in row if a[0] == enter]:
+                row.remove(arc)
+                seen, todo, ends = {arc[3]}, [arc[3]], {}
+                while todo:
+                    x = todo.pop()
+                    for i, _, _, d in out.arcs[x]:
+                        if i == leave:
+                            ends.setdefault(d, set()).add(x)
+                        elif d not in seen:
+                            seen.add(d)
+                            todo.append(d)
+                for d, sources in sorted(ends.items()):
+                    number = {x: k for k, x in enumerate([arc[3], *sorted(seen - {arc[3]})])}
+                    inner = out.like([[(i, o, w, number[t]) for i, o, w, t in out.arcs[x] if i != leave and t in number] for x in number], {number[x]: 0.0 for x in sources})
+                    guards.append((kind, A.trim(inner)))
+                    label = f"{MARKER}IF:{len(guards) - 1}@"
+                    out.arcs[s].append((label, label, arc[2], d))
+                    out.alphabet.add(label)
+    return out
+
+
+def from_networks(networks: list[Fst], **options: str) -> Matcher:
+    """The matcher of stored networks, of which one is called TOP; the options come from its properties."""
+    by_name = {f.name: f for f in networks}
+    if "TOP" not in by_name:
+        raise FormatError("no network is called TOP")
+    guards: list[tuple[str, Fst]] = []
+    tables = {}
+    for name, f in by_name.items():
+        f = _contexts_out(f, guards)
+        arcs = []
+        for row in f.arcs:
+            new = []
+            for i, o, w, d in row:
+                if i.startswith("@L.") or i.startswith("@X."):
+                    members = [m for m in i[3:-1].split("_") if m]
+                    new += [(m, m if o == i else o, w, d) for m in members] if i.startswith("@L.") else [(f"{MARKER}NOT:{''.join(members)}@", EPSILON, w, d)]
+                else:
+                    i, o = _action(i), _action(o)
+                    # an action on one side only is one all the same
+                    new.append((o, EPSILON, w, d) if i == EPSILON and o.startswith(MARKER) else (i, o, w, d))
+            arcs.append(new)
+        g = f.like(arcs, dict(f.finals), {s for row in arcs for a in row for s in a[:2]} | f.alphabet)
+        tables[name] = _table(g)
+    props = DEFAULTS | {k: v for k, v in by_name["TOP"].props.items() if k in DEFAULTS} | {k.replace("_", "-"): v for k, v in options.items()}
+    wrapped = []
+    for kind, g in guards:
+        arcs = [[(_action(i), _action(o), w, d) for i, o, w, d in row] for row in g.arcs]
+        wrapped.append((kind, _table(g.like(arcs, dict(g.finals)))))
+    return Matcher(tables, wrapped, props)
+
+
 def compile_script(script: str, reader=None, neighbours=None, **options: str) -> Matcher:
     c = PatternCompiler(reader, neighbours)
     c.script(script)

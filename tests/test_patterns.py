@@ -4,7 +4,9 @@ from tapeworks.operators import tokens as T
 from tapeworks.plans import algebra as A
 from tapeworks.plans import lexc
 from tapeworks.plans.fst import FormatError, FstError, UnsupportedError
-from tapeworks.plans.pmatch import NON_MATCHING, Location, Matcher, PatternCompiler, compile_script
+from tapeworks.plans.pmatch import NON_MATCHING, Location, Matcher, PatternCompiler, compile_script, from_networks
+from tapeworks.plans.xre import regex
+from tapeworks.sources import formats
 
 OFF = "set need-separators off "
 
@@ -152,3 +154,18 @@ def test_cohorts(analyser):
     want = '"<fox>"\n\t"fox" N <W:0.0>\n:[\\\\n<\\\\>]\n"<ring>"\n\t"ring" N <W:0.0>\n\t"rings" V <W:0.0>\n: !\n"<fox>"\n\t"fox" N <W:0.0>\n: \\n\n"<fox>"\n\t"fox" N <W:0.0>\n:[][\\n]\n'
     assert show(blanks, superblanks=True) == want and show("fox\0", superblanks=True).endswith("\n<STREAMCMD:FLUSH>\n")
     assert T.Printer("visl").text(analyser, "fox ") == '"<fox>"\n\t"fox" N <W:0.0>\n \n'
+
+
+def test_stored_networks():
+    def net(name, expression):
+        f = regex(expression)
+        f.name = name
+        return f
+
+    word = net("W", '"@PMATCH_ENTRY@" "@L.a_b@" "@L.a_b@"* "@PMATCH_ENDTAG_A@" "@PMATCH_EXIT@"')
+    top = net("TOP", '"@I.W@" | "@PMATCH_ENTRY@" c "@PMATCH_RC_ENTRY@" d "@PMATCH_RC_EXIT@" "@PMATCH_ENDTAG_C@" "@PMATCH_EXIT@" | "@PMATCH_ENTRY@" "@X.a_b_c@" "@PMATCH_NLC_ENTRY@" e "@PMATCH_NLC_EXIT@":"@PMATCH_NLC_EXIT@" 0:"@PMATCH_ENDTAG_X@" "@PMATCH_EXIT@"')
+    m = from_networks([top, word], need_separators="off")
+    assert m.match("abc cd") == "<A>ab</A>c<X> </X><C>c</C><X>d</X>"
+    assert from_networks(formats.read_archive(formats.write_lookup(top) + formats.write_lookup(word)), need_separators="off").match("ab") == "<A>ab</A>"
+    with pytest.raises(FormatError):
+        from_networks([word])
