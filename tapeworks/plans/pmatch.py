@@ -443,6 +443,15 @@ class Matcher:
 
     # scanning
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_fast"}
+
+    def fast(self) -> _Automaton | None:
+        """The automaton of a plain pattern, built on first use in each process; None for others."""
+        if "_fast" not in self.__dict__:
+            self.__dict__["_fast"] = _Automaton.of(self.networks["TOP"])
+        return self.__dict__["_fast"]
+
     def firsts(self) -> set[str] | None:
         """Characters that a match can begin with; None: any."""
         arcs, silent, _, known = self.networks["TOP"]
@@ -468,11 +477,17 @@ class Matcher:
         def apart(k: int) -> bool:
             return k in (0, n) or _separates(text[k - 1]) or _separates(text[k])
 
-        top = self.networks["TOP"]
+        top, fast = self.networks["TOP"], self.fast()
         while at < n:
             if (firsts is not None and text[at] not in firsts) or (separators and not apart(at)):
                 at += 1
                 continue
+            if fast:
+                end, ways = fast.longest(text, at, apart if separators else None)
+                if end > at:
+                    yield at, end, [(0.0, way) for way in sorted(ways, key=lambda x: _render(x, True))]
+                at = max(end, at + 1)
+                continue
             found = [x for x in self.ends(top, text, at) if x[0] > at and (not separators or apart(x[0]))]
             if not found:
                 at += 1
@@ -537,6 +552,128 @@ class Matcher:
         return found
 
 
+class _Automaton:
+    """A deterministic automaton, built state by state as texts ask for it, of a pattern without weights, conditions, calls, captures, flags or changes of the text, whose tags stand before
+    its first symbol or after its last. A state is a set of (network state, marks before)."""
+
+    def __init__(self, table: list):
+        self.arcs, self.silent, self.finals, self.known = table
+        self.numbers: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.moves: list[dict[str, int]] = []
+        self.ways: list[list[tuple[tuple, tuple]]] = []
+        self.start = self._number(frozenset(self._before()))
+
+    @staticmethod
+    def of(table: list) -> _Automaton | None:
+        arcs, silent, finals, _ = table
+        if any(w for w in finals.values()):
+            return None
+        consuming = [any(row.values()) for row in arcs]
+        to: list[set[int]] = [set() for _ in arcs]
+        for s in range(len(arcs)):
+            for i, moves in arcs[s].items():
+                for o, w, d in moves:
+                    if w or o != i or i == UNKNOWN:
+                        return None
+                    to[s].add(d)
+            for label, o, w, d in silent[s]:
+                if w or o not in (EPSILON, label):
+                    return None
+                kind = None if label is None else "" if is_flag(label) else label[len(MARKER) : -1].partition(":")[0]
+                if kind not in (None, "ENTRY", "EXIT", "TAG", "COUNT", "CLS", "NOT"):
+                    return None
+                consuming[s] |= kind in ("CLS", "NOT")
+                to[s].add(d)
+
+        def reach(begin: set[int]) -> set[int]:
+            seen, todo = set(begin), list(begin)
+            while todo:
+                for d in to[todo.pop()] - seen:
+                    seen.add(d)
+                    todo.append(d)
+            return seen
+
+        read = {d for s in range(len(arcs)) for moves in arcs[s].values() for *_, d in moves} | {d for row in silent for label, _, _, d in row if label is not None and label[len(MARKER) :].startswith(("CLS", "NOT"))}
+        inside = reach(read)
+        for s in inside:
+            for label, _, _, d in silent[s]:
+                if label is not None and not label[len(MARKER) :].startswith(("CLS", "NOT")) and any(consuming[x] for x in reach({d})):
+                    return None
+        return _Automaton(table)
+
+    def _mark(self, label: str | None) -> tuple:
+        if label is None:
+            return ()
+        kind, _, name = label[len(MARKER) : -1].partition(":")
+        return ((kind, name),)
+
+    def _before(self) -> set:
+        seen, todo = {(0, ())}, [(0, ())]
+        while todo:
+            s, marks = todo.pop()
+            for label, _, _, d in self.silent[s]:
+                if label is None or not label[len(MARKER) :].startswith(("CLS", "NOT")):
+                    x = (d, marks + self._mark(label))
+                    if x not in seen and len(x[1]) < 50:
+                        seen.add(x)
+                        todo.append(x)
+        return seen
+
+    def _number(self, states: frozenset) -> int:
+        if states not in self.numbers:
+            self.numbers[states] = len(self.sets)
+            self.sets.append(states)
+            self.moves.append({})
+            ways = set()
+            for s, marks in states:
+                todo, seen = [(s, ())], {(s, ())}
+                while todo:
+                    x, after = todo.pop()
+                    if x in self.finals:
+                        ways.add((marks, after))
+                    for label, _, _, d in self.silent[x]:
+                        if label is None or not label[len(MARKER) :].startswith(("CLS", "NOT")):
+                            y = (d, after + self._mark(label))
+                            if y not in seen and len(y[1]) < 50:
+                                seen.add(y)
+                                todo.append(y)
+            self.ways.append(sorted(ways))
+        return self.numbers[states]
+
+    def _move(self, state: int, c: str) -> int:
+        """The state after a character; -1: none."""
+        out = set()
+        for s, marks in self.sets[state]:
+            moves = self.arcs[s].get(c, []) if c in self.known else self.arcs[s].get(IDENTITY, [])
+            todo = [d for *_, d in moves] + [d for label, _, _, d in self.silent[s] if label is not None and _reads(label, c)]
+            while todo:
+                d = todo.pop()
+                if (d, marks) not in out:
+                    out.add((d, marks))
+                    todo += [x for label, _, _, x in self.silent[d] if label is None]
+        found = self._number(frozenset(out)) if out else -1
+        if len(self.moves[state]) < 100_000:
+            self.moves[state][c] = found
+        return found
+
+    def longest(self, text: str, at: int, good=None) -> tuple[int, list[tuple]]:
+        """(end, outputs) of the longest match that ends at a good place; the end is at where there is none."""
+        state, end, best = self.start, at, -1
+        for k in range(at, len(text)):
+            c = text[k]
+            follow = self.moves[state].get(c)
+            state = self._move(state, c) if follow is None else follow
+            if state < 0:
+                break
+            if self.ways[state] and (good is None or good(k + 1)):
+                end, best = k + 1, state
+        if best < 0:
+            return at, []
+        letters = tuple(text[at:end])
+        return end, [before + letters + after for before, after in self.ways[best]]
+
+
 def _separates(c: str) -> bool:
     return CLASSES["Whitespace"](c) or CLASSES["Punct"](c)
 

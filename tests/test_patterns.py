@@ -169,3 +169,18 @@ def test_stored_networks():
     assert from_networks(formats.read_archive(formats.write_lookup(top) + formats.write_lookup(word)), need_separators="off").match("ab") == "<A>ab</A>"
     with pytest.raises(FormatError):
         from_networks([word])
+
+
+@pytest.mark.parametrize(
+    ("script", "plain"),
+    [
+        ("Define TOP Alpha+ EndTag(W);", True), ('Define W Alpha+; Define TOP [W EndTag(A)] | ["0-9"+ EndTag(N)] | [{the} EndTag(T)];', True), (OFF + "Define TOP [[{a}|{ab}|{abc}] EndTag(X)] | [? - Whitespace];", True),
+        (OFF + "set unicode-character-classes on Define TOP [Alpha+ EndTag(A)] | \\Alpha;", True), (OFF + "Define TOP Define([{a} EndTag(A)]) {b} Define([{c} EndTag(C)]);", False), ("Define TOP {a}:{b};", False), ("Define TOP {a} RC({b});", False), ("Define TOP {a}::1;", False),
+    ],
+)
+def test_the_automaton_of_plain_patterns_finds_the_same(script, plain):
+    a, b = compile_script(script), compile_script(script)
+    assert (a.fast() is not None) == plain
+    b.__dict__["_fast"] = None
+    for text in ("the ab1 abcabd  12 xé the", "", "a", "abc ab a b c", "жуки 3 the"):
+        assert a.locate(text) == b.locate(text) and a.match(text) == b.match(text) and a.tag_counts(text) == b.tag_counts(text)
