@@ -22,6 +22,7 @@ _WORDS = re.compile(
     r"ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|nav|navbar|navigation|menu|sidebar|sidenav|footer|masthead|site-?header|page-?header|header|topbar"
     r"|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|breadcrumbs?|popup|modal|overlay|login|signup|paywall|disclaimer|widget|pagination|pager|skip-?link|toolbar"
 )
+_CONTENT = {"article", "post", "entry", "content", "story", "main", "body", "text", "page", "title"}
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _QUOTE = re.compile(r"[\"'>]")
@@ -89,11 +90,18 @@ def role(name: str, attributes: str) -> str:
         return "out"
     if name in MAIN or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody":
         return "main"
-    if name not in INLINE and name not in ("html", "body") and any(_WORDS.fullmatch(part) for k in ("class", "id") for word in found.get(k, "").split() for part in {word, *re.split(r"[-_]+", word)}):
+    if name not in INLINE and name not in ("html", "body") and any(_named_out(word) for k in ("class", "id") for word in found.get(k, "").split()):
         return "out"
     return "header" if name == "header" else ""
 
 
+def _named_out(word: str) -> bool:
+    """Whether a class or id names something that no article holds, as a whole or by a part; the header of an article is a part of it."""
+    parts = re.split(r"[-_]+", word)
+    own = not _CONTENT.isdisjoint(parts)
+    return any(_WORDS.fullmatch(p) and not (own and p == "header") for p in {word, *parts})
+
+
 class Walk:
     """The open elements of a page while its tokens go by; each is (element, role)."""
 

@@ -27,6 +27,11 @@ def test_unclosed_advert_ends_with_the_next_block():
     assert extract("<article><p class=ad>Buy<p>Text</article>", None) == "Text"
 
 
+def test_named_parts():
+    page = '<div class="post"><div class="post-header"><h1>T</h1></div><p>a</p><div class="post-comments"><p>c</p></div><div class="site-header">s</div><div id="sidebar-left">x</div><p hidden>h</p><span class="share">ok</span></div>'
+    assert extract(page, None) == "T\na\nok"
+
+
 def test_wrapper_finds_the_varying_part_of_unmarked_pages():
     def page(k):
         rows = "".join(f"<p>paragraph {k} {i} with words of its own</p>" for i in range(2 + k % 3))
