@@ -22,7 +22,7 @@ _WORDS = re.compile(
     r"ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|nav|navbar|navigation|menu|sidebar|sidenav|footer|masthead|site-?header|page-?header|header|topbar"
     r"|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|breadcrumbs?|popup|modal|overlay|login|signup|paywall|disclaimer|widget|pagination|pager|skip-?link|toolbar"
 )
-_CONTENT = {"article", "post", "entry", "content", "story", "main", "body", "text", "page", "title"}
+_CONTENT = {"article", "post", "entry", "content", "story"}
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _QUOTE = re.compile(r"[\"'>]")
