@@ -25,8 +25,8 @@ from tapeworks.llm.words import Words, mix, steps
 WORDS, PERCENT = 4, 80
 #: Coordinates, and the agreements from which a pair is counted as a candidate: at similarity 0.8, 38 of 64 are missed with probability 3e-5.
 K, MATCHES = 64, 38
-#: A sketch is a longer signature of bytes. At similarity 0.8, 372 of 512 agreements are missed with probability 3e-5.
-SKETCH, SKETCH_MATCHES = 512, 372
+#: A sketch is a longer signature of bytes. At similarity 0.8, 768 of 1024 agreements are missed with probability 3e-5.
+SKETCH, SKETCH_MATCHES = 1024, 768
 BLOCK, MEMBERS, ORDERS = 4096, 128, 8
 _SEEDS = mix(np.arange(1, 2 * (K + SKETCH) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _SEEDS[: K + SKETCH] | np.uint64(1), _SEEDS[K + SKETCH :]
