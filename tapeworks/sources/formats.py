@@ -214,16 +214,22 @@ def write_words(f: Fst, most: int | None = None, cycles: int | None = None, spac
     return "".join(x + "\n" for x in lines)
 
 
-# the container and the optimized-lookup tables; the numbers below are fixed values of that format
+# the container and the optimized-lookup tables; the numbers below are fixed values of that format. A container begins with four capital letters, which
+# programs choose; any are read, and what is written has these or the caller's.
 
-MAGIC = b"HFST\0"
+MAGIC = b"TAPE\0"
+_HEADER = re.compile(rb"[A-Z]{4}\0")
 NO_SYMBOL, NO_TABLE, TARGET_TABLE = 0xFFFF, 0xFFFFFFFF, 0x80000000
 INF_WEIGHT = float("inf")
 
 
+def is_container(data: bytes) -> bool:
+    return _HEADER.match(data) is not None
+
+
 def read_container(data: bytes) -> tuple[dict[str, str], int]:
     """(properties, length) of the header at the beginning of data."""
-    if not data.startswith(MAGIC):
+    if not is_container(data):
         raise FormatError("no container header")
     (size,) = struct.unpack_from("<H", data, len(MAGIC))
     begin = len(MAGIC) + 3
@@ -232,13 +238,13 @@ def read_container(data: bytes) -> tuple[dict[str, str], int]:
     return props, begin + size
 
 
-def write_container(props: dict[str, str]) -> bytes:
+def write_container(props: dict[str, str], magic: bytes = MAGIC) -> bytes:
     body = b"".join(k.encode() + b"\0" + v.encode() + b"\0" for k, v in props.items())
-    return MAGIC + struct.pack("<H", len(body)) + b"\0" + body
+    return magic + struct.pack("<H", len(body)) + b"\0" + body
 
 
-def write_lookup(f: Fst, weighted: bool | None = None) -> bytes:
-    """The index and transition tables of a transducer, after a container header. Every state has an index row, so nothing overlaps."""
+def write_lookup(f: Fst, weighted: bool | None = None, magic: bytes = MAGIC) -> bytes:
+    """The index and transition tables of a transducer, after a container header. Every state has an index row, so nothing overlaps. Other programs want their own magic letters."""
     weighted = f.has_weights() if weighted is None else weighted
     f = A.sort_arcs(f)
     inputs = sorted({i for _, i, _, _, _ in f if i != EPSILON and not is_flag(i)})
@@ -273,15 +279,16 @@ def write_lookup(f: Fst, weighted: bool | None = None) -> bytes:
     names = "".join(s + "\0" for s in symbols).encode()
     bits = [weighted, *([0] * 8)]
     header = struct.pack("<HHIIII", len(inputs) + 1, len(symbols), width * len(rows), len(transitions), f.n_states, f.n_arcs) + struct.pack("<9I", *bits)
-    props = {"version": "3.3", "type": "HFST_OLW" if weighted else "HFST_OL", "name": f.name}
-    return write_container(props) + header + names + bytes(index) + bytes(table)
+    kind = magic[:4].decode() + ("_OLW" if weighted else "_OL")
+    props = {"version": "3.3", "type": kind, "name": f.name}
+    return write_container(props, magic) + header + names + bytes(index) + bytes(table)
 
 
 def read_lookup(data: bytes) -> Fst:
     """The transducer of index and transition tables, with or without a container header."""
     props: dict[str, str] = {}
     at = 0
-    if data.startswith(MAGIC):
+    if is_container(data):
         props, at = read_container(data)
     n_inputs, n_symbols, n_index, n_transitions, _, _ = struct.unpack_from("<HHIIII", data, at)
     at += 20
@@ -334,9 +341,9 @@ def read_lookup(data: bytes) -> Fst:
 
 def read_archive(data: bytes) -> list[Fst]:
     """All transducers of a stream of containers."""
-    starts = [m.start() for m in re.finditer(re.escape(MAGIC), data)]
-    if not starts or starts[0] != 0:
+    if not is_container(data):
         raise FormatError("no container header")
+    starts = [m.start() for m in re.finditer(re.escape(data[:5]), data)]
     return [read_lookup(data[a:b]) for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
 
 

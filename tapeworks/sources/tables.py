@@ -87,7 +87,7 @@ def read_file(spark: SparkSession, path: str, kind: str | None = None) -> list[F
         raise FormatError(f"nothing at {path}")
     data = bytes(rows[0].content)
     if kind is None:
-        kind = "lookup" if data.startswith(formats.MAGIC) else "prolog" if data.lstrip().startswith(b"network(") else "words" if path.endswith((".strings", ".words")) else "att"
+        kind = "lookup" if formats.is_container(data) else "prolog" if data.lstrip().startswith(b"network(") else "words" if path.endswith((".strings", ".words")) else "att"
     if kind == "lookup":
         return formats.read_archive(data)
     text = data.decode("utf-8")

@@ -371,7 +371,7 @@ def traverse(fsts, text="", **options) -> str:
 
 def read(path: str) -> list[Fst]:
     data = Path(path).read_bytes()
-    if data.startswith(formats.MAGIC):
+    if formats.is_container(data):
         return formats.read_archive(data)
     text = data.decode()
     if text.lstrip().startswith("network("):

@@ -86,6 +86,7 @@ def test_formats():
     g = lexc.compile_lexc(LEXICON)
     for weighted in (True, None):
         assert A.equivalent(formats.read_lookup(formats.write_lookup(g, weighted)), g)
+    assert A.equivalent(formats.read_lookup(formats.write_lookup(g, magic=b"ABCD\0")), g) and formats.read_container(formats.write_lookup(g, magic=b"ABCD\0"))[0]["type"].startswith("ABCD_OL")
     u = A.without_weights(g)
     u.name = "TOP"
     back = formats.read_archive(formats.write_lookup(u) + formats.write_lookup(f))
