@@ -124,7 +124,7 @@ def found_batch(own, q, ids, scores) -> pa.RecordBatch:
 def own_chunks(batches: Iterator[pa.RecordBatch], k: int, every: int) -> Iterator[pa.RecordBatch]:
     """The k best of each query's own chunk."""
     for batch in batches:
-        at = {n: batch.schema.get_field_index(n) for n in ("dim", "ids", "vectors")}
+        at = {n: batch.schema.get_field_index(n) for n in ("ids", "vectors")}
         for r in range(batch.num_rows):
             ids = np.frombuffer(batch.column(at["ids"])[r].as_buffer(), "<i8")
             x = np.frombuffer(batch.column(at["vectors"])[r].as_buffer(), "<f8").reshape(len(ids), -1)
@@ -193,8 +193,7 @@ def neighbours(rows: DataFrame, k: int = K, every: int = EVERY, curves: int = CU
     # chunks in order along each curve; one row for each chunk is all that this window holds
     numbers = cut.select("dim", "curve", "place", "head", (F.octet_length("ids") / 8).alias("n"))
     turn = Window.partitionBy("dim", "curve").orderBy("place", "head")
-    before = turn.rowsBetween(Window.unboundedPreceding, -1)
-    numbers = numbers.select(*(F.col(c).alias(f"_{c}") for c in ("dim", "curve", "place", "head")), (F.row_number().over(turn) - 1).cast("int").alias("number"), F.count("*").over(Window.partitionBy("dim", "curve")).alias("of"), F.sum("n").over(Window.partitionBy("dim", "curve")).alias("all"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
+    numbers = numbers.select(*(F.col(c).alias(f"_{c}") for c in ("dim", "curve", "place", "head")), (F.row_number().over(turn) - 1).cast("int").alias("number"), F.count("*").over(Window.partitionBy("dim", "curve")).alias("of"), F.sum("n").over(Window.partitionBy("dim", "curve")).alias("all"))
     same = F.lit(True)
     for c in ("dim", "curve", "place", "head"):
         same = same & (F.col(c) == F.col(f"_{c}"))
