@@ -23,7 +23,7 @@ from tapeworks.llm.words import steps
 
 START = "▁"
 #: Words that a worker remembers in each of two generations, and token pairs.
-WORDS_KEPT, PAIRS_KEPT, WORD_LIMIT = 200_000, 300_000, 64
+WORDS_KEPT, PAIRS_KEPT, WORD_LIMIT = 200_000, 200_000, 64
 NORMAL, UNKNOWN, CONTROL, BYTE, OTHER = range(5)
 _UNIT = re.compile(f"{START}*[^{START}]+|{START}+")
 
@@ -115,6 +115,11 @@ class Codec:
         out.reverse()
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Gives the memory of words back; workers live on after a task."""
+        self.words.clear()
+        self.words.old = {}
+
     def encode(self, text: str | None) -> bytes:
         """The ids with begin and end, packed; a null text counts as empty."""
         if not text:
@@ -197,6 +202,7 @@ def encoded(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatc
     for batch in steps(batches):
         packed = [codec.encode(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), as_lists(packed)], names=["doc_id", "ids"])
+    codec.forget()
 
 
 def decoded(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatch]:
@@ -221,6 +227,7 @@ def digests(batches: Iterator[pa.RecordBatch], pieces, with_ids: bool) -> Iterat
             columns.append(as_lists(all_ids))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(columns, names=names)
+    codec.forget()
 
 
 def as_lists(packed: list[bytes]) -> pa.ListArray:
