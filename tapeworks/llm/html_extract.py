@@ -1,32 +1,33 @@
-"""Main-text extraction with wrappers inferred as union-free regular expressions.
+"""Main-text extraction with wrappers inferred from the pages of each host.
 
-The pages of one host share templates. Of each host a bounded sample of pages (PAGES_EACH, by a hash) is read as token streams. Within a stream, what repeats
-side by side becomes a repeated group; then the streams are aligned one after the other with the wrapper so far: equal tokens stay, texts that differ become
-slots, what only one side has becomes an optional group. The wrapper tells where a host's pages have their varying text and which texts never vary. It is
-applied to every page: text in the marked article, or else in the part that the wrapper finds, is kept, without the roles that no article holds and
-without texts that the wrapper fixes outside of it.
+Every page is read once as blocks: texts with the path of the elements around them. Pages of a host with text at the same paths have one template. Over all
+pages, copies of a page counted once, texts are counted by host, template and path. What nearly every page of a template, or nearly every page of the host with
+text at that path, has is fixed; the other texts vary, and the deepest element that has most of them is the template's root. A page's text in the
+marked article is kept, or else in the root without fixed texts, unless these are most of it; both without the roles that no article holds.
+
+``infer`` makes a wrapper of a few pages at hand as a union-free regular expression: within a token stream, what repeats side by side becomes a repeated
+group; then the streams are aligned one after the other: equal tokens stay, texts that differ become slots, what only one side has becomes an optional group.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.llm.html_tokens import INLINE, Walk, tokens
 from tapeworks.llm.scratch import Scratch
 
-PAGES_EACH, COPIES = 8, 16
-#: Of a sampled page, tokens that take part in the alignment; the wrapper still is applied to whole pages.
+COPIES = 16
+#: A text is fixed from so many different pages on, if this share of a template's pages has it.
+FIXED_PAGES, FIXED_SHARE = 3, 0.8
+#: Of a page given to infer(), tokens that take part in the alignment.
 TOKENS_MOST = 4000
-#: Fixed texts that a wrapper remembers.
-FIXED_MOST = 500
 
 
 @dataclass
@@ -135,7 +136,7 @@ def align(wrapper: list[Item], page: list[Item]) -> list[Item]:
 
 
 def infer(pages: list[str | None]) -> dict:
-    """What applying a wrapper needs: the path of its varying text, and hashes of the texts that it fixes."""
+    """The wrapper of a few pages by alignment: the path of their varying text, and marks of the texts that it fixes."""
     streams = [s for s in map(stream, pages) if s]
     if not streams:
         return {"root": None, "fixed": []}
@@ -143,7 +144,7 @@ def infer(pages: list[str | None]) -> dict:
     for s in streams[1:]:
         wrapper = align(wrapper, s)
     chars: dict[str, int] = {}
-    fixed: list[str] = []
+    fixed: set[int] = set()
 
     def visit(items: list[Item]) -> None:
         for i in items:
@@ -152,12 +153,16 @@ def infer(pages: list[str | None]) -> dict:
                 if i.value is None or len(streams) == 1:
                     chars[i.path] = chars.get(i.path, 0) + i.chars
                 elif not i.optional:
-                    fixed.append(digest(i.value))
+                    fixed.add(mark(i.path, i.value))
 
     visit(wrapper)
+    return {"root": root_of(chars), "fixed": sorted(fixed)}
+
+
+def root_of(chars: dict[str, int]) -> str | None:
+    """The deepest element that has most of the varying text, from its characters by path."""
     total = sum(chars.values())
     root, size = "", total
-    # the deepest element that has most of the varying text
     while total:
         below: dict[str, int] = {}
         for path, n in chars.items():
@@ -168,17 +173,15 @@ def infer(pages: list[str | None]) -> dict:
         if child is None or below[child] < 0.8 * size:
             break
         root, size = child, below[child]
-    return {"root": root or None, "fixed": sorted(set(fixed))[:FIXED_MOST]}
+    return root or None
 
 
-def digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+def mark(path: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def extract(page: str | None, wrapper: dict | None) -> str:
-    """The main text: white space inside a block is one space, blocks are lines. A page without any gives an empty text."""
-    wrapper = wrapper or {"root": None, "fixed": []}
-    fixed, root = set(wrapper["fixed"]), wrapper["root"]
+def blocks_of(page: str | None) -> list[tuple[bool, str, str]]:
+    """(in a marked article, path, text) of each block without the roles that no article holds; white space is one space."""
     blocks: list[tuple[bool, str, str]] = []
     walk, text, hidden = Walk(), [], []
 
@@ -198,11 +201,28 @@ def extract(page: str | None, wrapper: dict | None) -> str:
             hidden = []
             walk.step(kind, name, part)
     flush()
-    marked = [t for main, _, t in blocks if main]
-    if marked:
-        return "\n".join(marked)
-    inside = [t for _, path, t in blocks if root is None or path == root or path.startswith(root + "/")]
-    return "\n".join(t for t in inside or [t for _, _, t in blocks] if digest(t) not in fixed)
+    return blocks
+
+
+def extract(page: str | None, wrapper: dict | None) -> str:
+    """The main text: white space inside a block is one space, blocks are lines. A page without any gives an empty text."""
+    wrapper = wrapper or {"root": None, "fixed": []}
+    blocks = blocks_of(page)
+    return chosen(blocks, [mark(path, t) for _, path, t in blocks], wrapper["root"], set(wrapper["fixed"]))
+
+
+def chosen(blocks: list[tuple[bool, str, str]], marks: list[int], root: str | None, fixed: set[int]) -> str:
+    """The text of the marked article, or of the root, or of all; without fixed texts, unless these have most of its characters, as in a page of versions of one text."""
+    both = list(zip(blocks, marks, strict=True))
+    part = [(t, m) for (main, _, t), m in both if main]
+    if part:
+        return "\n".join(t for t, _ in part)
+    part = [(t, m) for (_, path, t), m in both if root is None or path == root or path.startswith(root + "/")]
+    part = part or [(t, m) for (_, _, t), m in both]
+    rest = [t for t, m in part if m not in fixed]
+    if 2 * sum(map(len, rest)) < sum(len(t) for t, _ in part):
+        rest = [t for t, _ in part]
+    return "\n".join(rest)
 
 
 def _hide(hidden: list[str], kind: str, name: str, part: str) -> list[str]:
@@ -212,45 +232,87 @@ def _hide(hidden: list[str], kind: str, name: str, part: str) -> list[str]:
     return hidden[:-1] if kind == "close" and hidden and hidden[-1] == name else hidden
 
 
-def wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+READ = pa.schema(
+    [
+        ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("template", pa.int64()), ("sign", pa.binary()), ("mains", pa.list_(pa.bool_())), ("paths", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("marks", pa.list_(pa.int64())),
+        ("kinds", pa.list_(pa.struct([("mark", pa.int64()), ("path", pa.string()), ("chars", pa.int64())]))), ("places", pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64())]))),
+    ]
+)
+READ_DDL = (
+    "page_id long, url string, host string, template long, sign binary, mains array<boolean>, paths array<string>, texts array<string>, marks array<long>, "
+    "kinds array<struct<mark: long, path: string, chars: long>>, places array<struct<path: string, chars: long>>"
+)
+
+
+def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's blocks; besides, for counting, its different texts (kinds) and paths (places) with their characters, and a digest that copies share."""
+    for batch in batches:
+        rows: list[list] = [[] for _ in READ.names[3:]]
+        for page in batch.column(2).to_pylist():
+            blocks = blocks_of(page)
+            marks = [mark(path, t) for _, path, t in blocks]
+            kinds: dict[int, dict] = {}
+            places: dict[str, int] = {}
+            for (_, path, t), m in zip(blocks, marks, strict=True):
+                kinds.setdefault(m, {"mark": m, "path": path, "chars": 0})["chars"] += len(t)
+                places[path] = places.get(path, 0) + len(t)
+            sign = hashlib.blake2b(repr(marks).encode(), digest_size=16).digest()
+            made = (mark("", "\n".join(sorted(places))), sign, *([b[k] for b in blocks] for k in range(3)), marks, list(kinds.values()), [{"path": p, "chars": n} for p, n in places.items()])
+            for column, value in zip(rows, made, strict=True):
+                column.append(value)
+        head = [batch.column(0), batch.column(1), batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*head, *(pa.array(c, f.type) for c, f in zip(rows, list(READ)[3:], strict=True))], schema=pa.schema([f.with_type(head[k].type) if k < 3 else f for k, f in enumerate(READ)]))
+
+
+def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rules = [json.dumps(infer(pages)) for pages in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rules, pa.string())], names=["host", "wrapper"])
+        found = [root_of({p["path"]: p["chars"] for p in places}) for places in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), batch.column(3)], names=["host", "template", "root", "fixed"])
 
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[str | None, dict | None] = {None: None}
     for batch in batches:
-        out = []
-        for page, rule in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if rule not in seen:
-                if len(seen) > 1000:
-                    seen = {None: None}
-                seen[rule] = json.loads(rule)
-            out.append(extract(page, seen[rule]))
+        mains, paths, parts, marks, found, fixed = (batch.column(k).to_pylist() for k in range(2, 8))
+        out = [chosen(list(zip(*b, strict=True)), m, root, set(f or ())) for *b, m, root, f in zip(mains, paths, parts, marks, found, fixed, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def main_texts(pages: DataFrame, pages_each: int = PAGES_EACH, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+def infer_all(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, template, root, fixed) of every template, from the blocks of all pages. A template's fixed texts are among its own pages' texts, so a row is about as long as a page's."""
+    once = scratch.keep(pages.where(F.size("marks") > 0).select("host", "template", "sign", "kinds", "places").dropDuplicates(["host", "sign"]), "once")
+    kinds = once.select("host", "template", F.explode("kinds").alias("k")).groupBy("host", "template", F.col("k.mark").alias("mark"))
+    kinds = scratch.keep(kinds.agg(F.count("*").alias("n"), F.first("k.path").alias("path"), F.sum("k.chars").alias("chars")), "kinds")
+    places = once.select("host", "template", F.explode("places").alias("p")).groupBy("host", "template", F.col("p.path").alias("path"))
+    places = scratch.keep(places.agg(F.count("*").alias("n"), F.sum("p.chars").alias("chars")), "places")
+    # on nearly every page of a template, or on nearly every page of the host with text at the path
+    own = kinds.where(F.col("n") >= FIXED_PAGES).join(once.groupBy("host", "template").agg(F.count("*").alias("of")), ["host", "template"])
+    all_over = kinds.groupBy("host", "mark").agg(F.sum("n").alias("n"), F.first("path").alias("path")).where(F.col("n") >= FIXED_PAGES)
+    all_over = all_over.join(places.groupBy("host", "path").agg(F.sum("n").alias("of")), ["host", "path"])
+    often = F.col("n") >= F.lit(FIXED_SHARE) * F.col("of")
+    fixed = scratch.keep(own.where(often).select("host", "mark").unionByName(all_over.where(often).select("host", "mark")).distinct(), "fixed")
+    fixed = scratch.keep(kinds.join(fixed, ["host", "mark"], "left_semi"), "fixed-kinds")
+    less = fixed.groupBy("host", "template", "path").agg(F.sum("chars").alias("less"))
+    varying = places.join(less, ["host", "template", "path"], "left").select("host", "template", F.struct("path", (F.col("chars") - F.coalesce("less", F.lit(0))).alias("chars")).alias("p"))
+    varying = varying.groupBy("host", "template").agg(F.array_sort(F.collect_list("p")).alias("places"))
+    found = varying.join(fixed.groupBy("host", "template").agg(F.array_sort(F.collect_list("mark")).alias("fixed")), ["host", "template"], "left")
+    return scratch.keep(found.select("host", "template", "places", "fixed").mapInArrow(roots, "host string, template long, root string, fixed array<long>"), "wrappers")
+
+
+def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages.
 
-    A null or empty page gives an empty text. Pages without a host in their url share one wrapper. A host's pages are dealt to COPIES groups by key, each with a
+    A null or empty page gives an empty text. Pages without a host in their url count as one host's. A template's pages are dealt to COPIES groups by key, each with a
     copy of its wrapper, so a host with many pages isn't one task's work. Other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"), host.alias("host"))
-    turn = Window.partitionBy("host").orderBy(F.xxhash64(F.lit(5), "page_id"), "page_id")
-    # the sample's keys first, then their pages, then the wrappers: small tables, whose size is known before pages are read to meet them
     scratch = Scratch(pages.sparkSession, "wrappers")
-    chosen = rows.select("page_id", "host").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pages_each)
-    chosen = scratch.keep(chosen.select(F.col("page_id").alias("i"), F.col("host").alias("h"), "turn"), "sample")
-    some = rows.select("page_id", "host", "html").join(chosen, F.col("page_id").eqNullSafe(F.col("i")) & (F.col("host") == F.col("h")))
-    found = some.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "html"))), lambda x: x["html"]).alias("pages"))
-    found = scratch.keep(found.mapInArrow(wrappers, "host string, wrapper string"), "wrappers")
-    copies = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).withColumnRenamed("host", "h").withColumnRenamed("part", "p")
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(COPIES)).cast("int"))
-    both = dealt.join(copies, (F.col("host") == F.col("h")) & (F.col("part") == F.col("p")), "left")
-    return both.select("page_id", "url", "html", "wrapper").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    blocks = scratch.keep(rows.mapInArrow(read, READ_DDL), "blocks")
+    found = infer_all(blocks, scratch)
+    copies = found.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).withColumnRenamed("host", "h").withColumnRenamed("template", "t")
+    dealt = blocks.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(COPIES)).cast("int"))
+    both = dealt.join(copies, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("part") == F.col("p")), "left")
+    return both.select("page_id", "url", "mains", "paths", "texts", "marks", "root", "fixed").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,24 @@ def test_table(spark):
     assert (5, "T5\ntext 5") in by and (90, "") in by and (92, "x" + "y" * 200000) in by and (None, "z") in by
     assert all(r.n_chars == len(r.text) for r in rows)
     assert html_extract.main_texts(df.where("page_id < -5")).count() == 0
+
+
+def _pages(spark, rows):
+    df = spark.createDataFrame([(k, f"http://one.example/{k}", p) for k, p in enumerate(rows)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.main_texts(df).collect()}
+
+
+def test_copies_of_an_unmarked_page_keep_their_text(spark):
+    page = "<html><body><div><h1>The one title</h1><p>The one paragraph</p></div></body></html>"
+    assert set(_pages(spark, [page] * 9).values()) == {"The one title\nThe one paragraph"}
+    versions = [page.replace("</p>", f" in version {k}</p><p>and much more that all of the versions have, word for word</p>") for k in range(4)]
+    assert all(t.startswith("The one title\n") and t.endswith("word for word") for t in _pages(spark, versions).values())
+
+
+def test_rare_templates_and_many_fixed_texts(spark):
+    lines = "".join(f"<p>fixed line {k}</p>" for k in range(700))
+    often = "<html><body><section><h1>A{0}</h1><p>" + "words {0} of the first template " * 3 + "</p></section><div>" + lines + "</div></body></html>"
+    rare = "<html><body><div><ul><li>Rare home</ul><div><h1>B{0}</h1><p>" + "words {0} of the second template " * 3 + "</p></div></div></body></html>"
+    got = _pages(spark, [often.format(k) for k in range(60)] + [rare.format(k) for k in range(60, 64)])
+    assert all(got[k] == f"A{k}\n" + " ".join([f"words {k} of the first template"] * 3) for k in range(60))
+    assert all(got[k] == f"B{k}\n" + " ".join([f"words {k} of the second template"] * 3) for k in range(60, 64))
