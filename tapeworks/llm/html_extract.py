@@ -3,7 +3,7 @@
 Every page is read once as blocks: texts with the path of the elements around them. Pages of a host with text at the same paths have one template. Over all
 pages, copies of a page counted once, texts are counted by host, template and path. What nearly every page of a template, or nearly every page of the host with
 text at that path, has is fixed; the other texts vary, and the deepest element that has most of them is the template's root. A page's text in the
-marked article is kept, or else in the root without fixed texts, unless these are most of it; both without the roles that no article holds.
+marked article, or else in the root, is kept, without the roles that no article holds and without fixed texts, unless these are most of it.
 
 ``infer`` makes a wrapper of a few pages at hand as a union-free regular expression: within a token stream, what repeats side by side becomes a repeated
 group; then the streams are aligned one after the other: equal tokens stay, texts that differ become slots, what only one side has becomes an optional group.
@@ -215,9 +215,7 @@ def chosen(blocks: list[tuple[bool, str, str]], marks: list[int], root: str | No
     """The text of the marked article, or of the root, or of all; without fixed texts, unless these have most of its characters, as in a page of versions of one text."""
     both = list(zip(blocks, marks, strict=True))
     part = [(t, m) for (main, _, t), m in both if main]
-    if part:
-        return "\n".join(t for t, _ in part)
-    part = [(t, m) for (_, path, t), m in both if root is None or path == root or path.startswith(root + "/")]
+    part = part or [(t, m) for (_, path, t), m in both if root is None or path == root or path.startswith(root + "/")]
     part = part or [(t, m) for (_, _, t), m in both]
     rest = [t for t, m in part if m not in fixed]
     if 2 * sum(map(len, rest)) < sum(len(t) for t, _ in part):

@@ -67,6 +67,12 @@ def _pages(spark, rows):
     return {r.page_id: r.text for r in html_extract.main_texts(df).collect()}
 
 
+def test_fixed_texts_go_from_marked_articles_too(spark):
+    page = "<html><body><article><h1>Title {0}</h1><div class=x7><p>Tell your friends about us</p></div><p>All the words of article {0} and some more</p></article></body></html>"
+    got = _pages(spark, [page.format(k) for k in range(12)])
+    assert got == {k: f"Title {k}\nAll the words of article {k} and some more" for k in range(12)}
+
+
 def test_copies_of_an_unmarked_page_keep_their_text(spark):
     page = "<html><body><div><h1>The one title</h1><p>The one paragraph</p></div></body></html>"
     assert set(_pages(spark, [page] * 9).values()) == {"The one title\nThe one paragraph"}
