@@ -3,7 +3,7 @@
 A source's documents, shuffled by a hash, form a stream of words that is cut into blocks of equally many words and repeats endlessly. Slot n of the
 schedule has the golden-ratio point n * 0.618... mod 1; the cumulative targets map it to a source. A slot's rank among its source's
 slots says which block, in which pass of the stream, it takes. The words that fall to a document are the sum over its blocks; a source's last slot is
-cut at the target.
+cut at the target. Ranks that a source's target needs beyond its slots are added.
 """
 
 from __future__ import annotations
@@ -81,14 +81,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     aims = scratch.keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     # two numbers: all words, and how many sources there are
     words, sources, count = aims.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first() + (rows.count(),)
-    # slots beyond the words make up for the schedule's discrepancy and for short last blocks; what is over a target is cut
+    # slots beyond the words make up for most of the schedule's discrepancy and short last blocks; what is over a target is cut
     slots = -(-words // block) + words // (block * 16) + 64 * sources
     streams = running(rows, ["source"], "turn", "doc_id", F.col("size"), count)
     streams = streams.withColumn("pieces", F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     streams = scratch.keep(streams.withColumn("row", F.monotonically_increasing_id()), "streams")
     sized = aims.where("target > 0").select(F.col("source").alias("s"), F.col("source_size").alias("length"), F.floor("target").alias("most"))
-    plan = schedule(spark, aims, slots).join(sized, F.col("source").eqNullSafe(F.col("s")))
     blocks = F.ceil(F.col("length") / block)
+    # a small source may get too few slots for its short last blocks and its repeats: the ranks that its target needs beyond them follow
+    dealt = scratch.keep(schedule(spark, aims, slots).select("source", "rank"), "schedule")
+    had = dealt.groupBy(F.col("source").alias("h")).agg(F.count("*").alias("had"))
+    needs = F.floor(F.col("most") / F.col("length")) * blocks + F.ceil(F.pmod("most", "length") / block)
+    short = sized.where("length > 0").join(had, F.col("s").eqNullSafe(F.col("h")), "left").select("s", F.coalesce("had", F.lit(0).cast("long")).alias("had"), needs.alias("needs")).where("needs > had")
+    dealt = dealt.unionByName(short.select(F.col("s").alias("source"), F.explode(F.sequence("had", F.col("needs") - 1)).alias("rank")))
+    plan = dealt.join(sized, F.col("source").eqNullSafe(F.col("s")))
     plan = plan.withColumn("b", F.pmod(F.col("rank"), blocks)).withColumn("at", F.floor(F.col("rank") / blocks) * F.col("length") + F.col("b") * block)
     whole = F.least(F.lit(block), F.col("length") - F.col("b") * block)
     got = F.least(whole, F.col("most") - F.col("at"))

@@ -88,3 +88,12 @@ def test_apply_mix_takes_that_many_words(odd):
     for r in out.collect():
         words[r.doc_id] = words.get(r.doc_id, 0) + len(WORD.findall(r.text))
     assert {k: v for k, v in words.items() if k != 14} == {k: v for k, v in takes.items() if v}
+
+
+def test_small_sources_get_their_whole_target(spark):
+    small = [1, 10, 50, 100, 130, 260, 1000, 2000]
+    df = spark.range(50).selectExpr("id as doc_id", "repeat('w ', 20000) as text", "'big' as source")
+    df = df.unionByName(spark.createDataFrame([(100 + n, "w " * n, f"s{n}") for n in small], "doc_id long, text string, source string"))
+    out = got(mixing.mix(df))
+    assert out == brute([(r.doc_id, r.text, r.source) for r in df.collect()])
+    assert [r[4] for r in out if r[0] >= 100] == [3 * n for n in small]
