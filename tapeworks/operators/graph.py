@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +31,19 @@ def sizes(arcs: DataFrame, finals: DataFrame) -> DataFrame:
 
 
 def reachable(arcs: DataFrame, spark=None) -> DataFrame:
-    """(fst_id, state) reachable from state 0, by a recursive query."""
-    spark = arcs.sparkSession
-    arcs.select("fst_id", "src", "dst").distinct().createOrReplaceTempView("_reach_arcs")
-    return spark.sql(
-        "WITH RECURSIVE r(fst_id, state, depth) AS (SELECT DISTINCT fst_id, 0, 0 FROM _reach_arcs UNION ALL "
-        "SELECT a.fst_id, a.dst, r.depth + 1 FROM r JOIN _reach_arcs a ON a.fst_id = r.fst_id AND a.src = r.state WHERE r.depth < 40) SELECT DISTINCT fst_id, state FROM r"
-    )
+    """(fst_id, state) reachable from state 0, however many arcs away. One transducer's arcs are a grammar's, so one task follows them."""
+    return arcs.select("fst_id", "src", "dst").distinct().groupBy("fst_id").applyInArrow(_reached, "fst_id string, state int")
+
+
+def _reached(table: pa.Table) -> pa.Table:
+    after: dict[int, list[int]] = {}
+    for s, d in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
+        after.setdefault(s, []).append(d)
+    seen, front = {0}, [0]
+    while front:
+        front = list({d for s in front for d in after.get(s, ())} - seen)
+        seen.update(front)
+    return pa.table({"fst_id": pa.array([table["fst_id"][0].as_py()] * len(seen), pa.string()), "state": pa.array(sorted(seen), pa.int32())})
 
 
 END, STAY, DONE = "@_END_@", "@_STAY_@", -1

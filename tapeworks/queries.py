@@ -552,7 +552,7 @@ def summarize(spark, sf_dir):
 
 @query("WITH w AS (SELECT DISTINCT p_name AS word FROM part), p AS (SELECT DISTINCT word[1:k] AS pre FROM w, range(1, 60) r(k) WHERE k <= length(word)) SELECT count(*) + 1 AS states FROM p")
 def reachable_states(spark, sf_dir):
-    """Reachability over the arc table by a recursive query."""
+    """Reachability over the arc table, without a bound of depth."""
     f = from_words(sorted(r[0] for r in table(spark, sf_dir, "part").select("p_name").distinct().collect()))
     return G.reachable(S.to_tables(spark, {"parts": f})["arcs"]).agg(F.count("*").alias("states"))
 

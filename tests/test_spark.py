@@ -166,3 +166,9 @@ def test_the_rest_stands_without_the_training_data_operators():
     )
     assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
     assert not [p for p in (root / "tapeworks").rglob("*.py") if "llm" not in p.parts and "tapeworks.llm" in p.read_text()]
+
+
+def test_reachable_states_however_far(spark):
+    rows = [("a", k, k + 1) for k in range(300)] + [("a", 300, 0), ("a", 500, 501), ("b", 0, 0), ("b", 1, 0)]
+    arcs = spark.createDataFrame(rows, "fst_id string, src int, dst int")
+    assert sorted(map(tuple, G.reachable(arcs).collect())) == [("a", k) for k in range(301)] + [("b", 0)]
