@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 A curve projects the vectors on a few random directions, shifts them by a random offset, and orders them along the Hilbert curve of the projected space. Each
-of several curves, with directions and offset of its own, is range-partitioned and cut into chunks of CHUNK vectors. On each curve a query's window reaches from its
+of several curves, with directions and offset of its own, orders vectors of one place by a further direction of its own, is range-partitioned and cut into chunks of CHUNK vectors. On each curve a query's window reaches from its
 own chunk over neighbouring chunks on either side, as far as holds ``reach`` of all vectors; what the windows hold is merged and ranked by the exact inner product.
 """
 
@@ -56,8 +56,13 @@ def curve(dim: int, number: int, directions: int) -> tuple[np.ndarray, np.ndarra
     return rng.normal(size=(dim, directions)), rng.uniform(-0.5, 0.5, directions)
 
 
+def tie_direction(dim: int, number: int) -> np.ndarray:
+    """The direction by which a curve orders vectors of one place, so that the curves order near copies differently."""
+    return np.random.default_rng([dim, number, 1]).normal(size=dim)
+
+
 def placed(batches: Iterator[pa.RecordBatch], scales: dict, curves: int, directions: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Each vector once for each curve: (dim, curve, place, vec_id, vector)."""
+    """Each vector once for each curve: (dim, curve, place, tie, vec_id, vector)."""
     for batch in batches:
         dims, vectors = batch.column(1).to_numpy(), batch.column(2).to_pylist()
         for dim in np.unique(dims).tolist():
@@ -70,27 +75,27 @@ def placed(batches: Iterator[pa.RecordBatch], scales: dict, curves: int, directi
                 cells = np.clip((np.clip(y, -4, 4) + 4) / 8 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
                 key = hilbert_keys(cells, bits).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), dim, np.int32)), pa.array(np.full(len(rows), c, np.int32)), pa.array(key), batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["dim", "curve", "place", "vec_id", "vector"]
+                    [pa.array(np.full(len(rows), dim, np.int32)), pa.array(np.full(len(rows), c, np.int32)), pa.array(key), pa.array((x - mean) @ tie_direction(dim, c)), batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["dim", "curve", "place", "tie", "vec_id", "vector"]
                 )
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted along the curves; each run of at most ``size`` of one curve is a chunk: (dim, curve, place of its first, its first id, ids, vectors)."""
+    """Rows come sorted along the curves; each run of at most ``size`` of one curve is a chunk: (dim, curve, place and tie of its first, its first id, ids, vectors)."""
     now, ids, vectors = None, [], []
 
     def chunk():
         return pa.RecordBatch.from_arrays(
-            [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([now[2]], pa.int64()), pa.array([ids[0]], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(vectors)], pa.binary())],
-            names=["dim", "curve", "place", "head", "ids", "vectors"],
+            [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([now[2]], pa.int64()), pa.array([now[3]], pa.float64()), pa.array([ids[0]], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(vectors)], pa.binary())],
+            names=["dim", "curve", "place", "tie", "head", "ids", "vectors"],
         )
 
     for batch in batches:
-        for d, c, p, i, v in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for d, c, p, t, i, v in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             if ids and ((d, c) != now[:2] or len(ids) >= size):
                 yield chunk()
                 ids, vectors = [], []
             if not ids:
-                now = (d, c, p)
+                now = (d, c, p, t)
             ids.append(i)
             vectors.append(v)
     if ids:
@@ -186,16 +191,16 @@ def neighbours(rows: DataFrame, k: int = K, every: int = EVERY, curves: int = CU
     total = sum(counts.values())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, min(parts, -(-total * curves // (8 * chunk))))
-    order = ["dim", "curve", "place", "vec_id"]
-    along = few.mapInArrow(lambda it: placed(it, scales, curves, directions, bits), "dim int, curve int, place long, vec_id long, vector binary")
+    order = ["dim", "curve", "place", "tie", "vec_id"]
+    along = few.mapInArrow(lambda it: placed(it, scales, curves, directions, bits), "dim int, curve int, place long, tie double, vec_id long, vector binary")
     along = along.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    cut = scratch.keep(along.mapInArrow(lambda it: chunks(it, chunk), "dim int, curve int, place long, head long, ids binary, vectors binary"), "chunks")
+    cut = scratch.keep(along.mapInArrow(lambda it: chunks(it, chunk), "dim int, curve int, place long, tie double, head long, ids binary, vectors binary"), "chunks")
     # chunks in order along each curve; one row for each chunk is all that this window holds
-    numbers = cut.select("dim", "curve", "place", "head", (F.octet_length("ids") / 8).alias("n"))
-    turn = Window.partitionBy("dim", "curve").orderBy("place", "head")
-    numbers = numbers.select(*(F.col(c).alias(f"_{c}") for c in ("dim", "curve", "place", "head")), (F.row_number().over(turn) - 1).cast("int").alias("number"), F.count("*").over(Window.partitionBy("dim", "curve")).alias("of"), F.sum("n").over(Window.partitionBy("dim", "curve")).alias("all"))
+    numbers = cut.select("dim", "curve", "place", "tie", "head", (F.octet_length("ids") / 8).alias("n"))
+    turn = Window.partitionBy("dim", "curve").orderBy("place", "tie", "head")
+    numbers = numbers.select(*(F.col(c).alias(f"_{c}") for c in ("dim", "curve", "place", "tie", "head")), (F.row_number().over(turn) - 1).cast("int").alias("number"), F.count("*").over(Window.partitionBy("dim", "curve")).alias("of"), F.sum("n").over(Window.partitionBy("dim", "curve")).alias("all"))
     same = F.lit(True)
-    for c in ("dim", "curve", "place", "head"):
+    for c in ("dim", "curve", "place", "tie", "head"):
         same = same & (F.col(c) == F.col(f"_{c}"))
     numbered = scratch.keep(cut.join(numbers, same).select("dim", "curve", "number", "of", "all", "ids", "vectors"), "numbered")
     scratch.drop(cut)

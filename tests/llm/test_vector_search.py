@@ -95,6 +95,7 @@ def test_windows_prune_clustered_vectors(spark):
     centres = rng.normal(size=(40, 8)) * 10
     x = centres[np.arange(8000) % 40] + rng.normal(size=(8000, 8)) * 0.1
     x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = hilbert.neighbours(df, every=200, reach=0.02, least=128, chunk=64).collect()
     found = {}
@@ -120,3 +121,21 @@ def test_hilbert_curve_steps_by_one():
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mtree.top_k(none).count() == 0 and hilbert.neighbours(none).count() == 0
+
+
+def test_recall_of_queries_in_a_hot_cluster(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    hot = rng.permutation(6000)[:2000]
+    x[hot] = x[hot[0]] + 1e-4 * rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = hilbert.neighbours(df, every=40, chunk=32, least=32).toPandas()
+    hits = []
+    for q, g in got.groupby("query_id"):
+        if q in set(hot.tolist()):
+            s = x @ x[q]
+            s[q] = -9
+            hits.append(len(set(g.vec_id) & set(np.argsort(-s, kind="stable")[:20].tolist())) / 20)
+    print("recall", np.mean(hits), len(hits))
+    assert np.mean(hits) >= 0.9
