@@ -14,31 +14,31 @@ OFF = "set need-separators off "
 @pytest.mark.parametrize(
     ("script", "text", "want"),
     [
-        (OFF + "Define T0 [Alpha+ EndTag(A)]; Define TOP T0;", "0abc1", "0<A>abc</A>1"),
-        (OFF + "Define TOP [{;}] EndTag(X);", "a;b", "a<X>;</X>b"),
-        ("Define TOP [? - Whitespace]+ EndTag(A);", "ab c  de", "<A>ab</A> <A>c</A>  <A>de</A>"),
-        (OFF + "Define TOP {a} RC({b}) EndTag(AB);", "aba b", "<AB>a</AB>ba b"),
-        ("Define name [ Alpha+ ] EndTag(A) ; Define TOP [ Ins(name) ] ;", "abc", "<A>abc</A>"),
-        (OFF + "Define TOP {a} [[RC({b}) EndTag(AB)] | [RC({c}) EndTag(AC)]];", "ab ac", "<AB>a</AB>b <AC>a</AC>c"),
-        ("Define TOP Define( [{a} EndTag(A)] ) {bcd} Define( [{e} EndTag(B)] );", "abcde", "<A>a</A>bcd<B>e</B>"),
-        ("Define TOP UpCase({abc}) EndTag(U);", "ABC abc", "<U>ABC</U> abc"),
-        ("Define TOP OptCap({abc}) EndTag(U);", "Abc abc aBc", "<U>Abc</U> <U>abc</U> aBc"),
-        ("Define TOP LC({x }) Alpha+ EndTag(L);", "x ab cd", "x <L>ab</L> cd"),
-        ("Define TOP NLC({x }) {ab} EndTag(L);", "x ab ab", "x ab <L>ab</L>"),
-        ("Define TOP {ab} NRC({ x}) EndTag(L);", "ab x ab y", "ab x <L>ab</L> y"),
-        ("DefFun F(a) a {-} a ; Define TOP F({x}) EndTag(D);", "x-x", "<D>x-x</D>"),
-        ('Define W Alpha+ ; Define TOP [W EndTag(A)] | ["0-9"+ EndTag(N)];', "ab 12", "<A>ab</A> <N>12</N>"),
-        ("Define P [ {(} Ins(P)* {)} ] ; Define TOP P EndTag(T);", "(()(())) x", "<T>(()(()))</T> x"),
-        ("Define TOP [Alpha+ Capture(a)] {-} Captured(a) EndTag(R);", "ab-ab ab-cd", "<R>ab-ab</R> ab-cd"),
-        ("Define TOP Interpolate({, }, {a}, {b}, {c}) EndTag(L);", "a, b, c", "<L>a, b, c</L>"),
-        ("Define TOP [{a}|{b}].t(X);", "a b", "<X>a</X> <X>b</X>"),
-        ("Define TOP # Alpha+ EndTag(F);", "ab cd", "<F>ab</F> cd"),
-        ("Define TOP Lst({a}|{b})+ EndTag(E);", "ab xy", "<E>ab</E> xy"),
+        (OFF + 'Define Digits "0-9"+; Define TOP [Digits {px}] EndTag(SIZE);', "w12px 7 px40px", "w<SIZE>12px</SIZE> 7 px<SIZE>40px</SIZE>"),
+        (OFF + "Define TOP [{::}] EndTag(SCOPE);", "std::map:x", "std<SCOPE>::</SCOPE>map:x"),
+        ("Define TOP [? - Whitespace]+ EndTag(WORD);", "go on  now", "<WORD>go</WORD> <WORD>on</WORD>  <WORD>now</WORD>"),
+        (OFF + "Define TOP {km} RC({/h}) EndTag(SPEED);", "9km/h 9km", "9<SPEED>km</SPEED>/h 9km"),
+        ("Define year [ {19} | {20} ] \"0-9\" \"0-9\"; Define TOP Ins(year) EndTag(YEAR);", "in 1987 or 2187", "in <YEAR>1987</YEAR> or 2187"),
+        (OFF + "Define TOP [LC({ }) {-} EndTag(MINUS)] | [{+} RC({ }) EndTag(PLUS)];", " -4+ 3-1", " <MINUS>-</MINUS>4<PLUS>+</PLUS> 3-1"),
+        ("Define TOP Define([{mr} | {ms}] EndTag(TITLE)) {. } Define(Alpha+ EndTag(NAME));", "ms. Reed", "<TITLE>ms</TITLE>. <NAME>Reed</NAME>"),
+        ("Define TOP UpCase({iso}) EndTag(CODE);", "ISO iso", "<CODE>ISO</CODE> iso"),
+        ("Define TOP OptCap({monday}) EndTag(DAY);", "Monday monday mOnday", "<DAY>Monday</DAY> <DAY>monday</DAY> mOnday"),
+        ("Define TOP LC({no. }) \"0-9\"+ EndTag(NUMBER);", "no. 7 or 8", "no. <NUMBER>7</NUMBER> or 8"),
+        ("Define TOP NLC({not }) {here} EndTag(PLACE);", "not here here", "not here <PLACE>here</PLACE>"),
+        ("Define TOP {may} NRC({ not}) EndTag(MODAL);", "may not, may be", "may not, <MODAL>may</MODAL> be"),
+        ("DefFun twice(part) part {, } part ; Define TOP twice({knock}) EndTag(JOKE);", "knock, knock", "<JOKE>knock, knock</JOKE>"),
+        ('Define W Alpha+ ; Define TOP [W EndTag(WORD)] | ["0-9"+ EndTag(NUM)];', "route 66", "<WORD>route</WORD> <NUM>66</NUM>"),
+        ("Define L [ {[} [Ins(L) | Alpha]* {]} ] ; Define TOP L EndTag(LIST);", "[a[b][[c]]] d", "<LIST>[a[b][[c]]]</LIST> d"),
+        ("Define TOP [Alpha+ Capture(one)] {=} Captured(one) EndTag(SAME);", "x=x y=z", "<SAME>x=x</SAME> y=z"),
+        ("Define TOP Interpolate({; }, {red}, {green}) EndTag(PAIR);", "red; green", "<PAIR>red; green</PAIR>"),
+        ("Define TOP [{yes}|{no}].t(REPLY);", "yes no", "<REPLY>yes</REPLY> <REPLY>no</REPLY>"),
+        ("Define TOP # Alpha+ EndTag(FIRST);", "one two", "<FIRST>one</FIRST> two"),
+        ("Define TOP Lst({u}|{v})+ EndTag(UV);", "uvvu xu", "<UV>uvvu</UV> xu"),
         (OFF + "set unicode-character-classes on Define TOP Alpha+ EndTag(A);", "1жы2", "1<A>жы</A>2"),
-        ("regex [{a} EndTag(A)];", "a", "<A>a</A>"),
-        ("Define TOP AnyCase({ab}) EndTag(A);", "aB Ab x", "<A>aB</A> <A>Ab</A> x"),
-        (OFF + "Define TOP [{a}|{ab}|{abc}] EndTag(A);", "abcab", "<A>abc</A><A>ab</A>"),
-        ("! a comment\nDefine TOP {a} EndTag(A) ;", "a", "<A>a</A>"),
+        ("regex [{stop} EndTag(END)];", "stop", "<END>stop</END>"),
+        ("Define TOP AnyCase({ok}) EndTag(OK);", "oK Ok no", "<OK>oK</OK> <OK>Ok</OK> no"),
+        (OFF + "Define TOP [{i}|{ii}|{iii}] EndTag(ROMAN);", "iiiii", "<ROMAN>iii</ROMAN><ROMAN>ii</ROMAN>"),
+        ("! a comment\nDefine TOP {go} EndTag(GO) ;", "go", "<GO>go</GO>"),
     ],
 )
 def test_match(script, text, want):
@@ -93,30 +93,32 @@ def test_picking():
         T.Printer("other")
 
 
+# Stems with endings; a stem joined to further words, with a part mark in the analysis; a verb and its particle over a blank; and a name that may also be read word by word.
 LEXICON = """Multichar_Symbols
-% N % V % Cmp % Es @PMATCH_INPUT_MARK@ @PMATCH_BACKTRACK@
++Noun +Plural +Verb +Adv +Name @PMATCH_INPUT_MARK@ @PMATCH_BACKTRACK@
 LEXICON Root
-fox% N:fox # ;
-den% N% Cmp%#:den FOX ;
-go% V:go SPACED ;
-gofox% V:go% fox # ;
-ring% N:ring # ;
-rings% V:ring # ;
-hut% N:hut # ;
-< {hut} "@PMATCH_BACKTRACK@":0 "@PMATCH_INPUT_MARK@":" " {ring} " N":0 " Es":0 > # ;
-LEXICON FOX
-fox% N:fox # ;
-LEXICON SPACED
-@PMATCH_INPUT_MARK@:%  FOX ;
+Word ;
+turn+Verb:turn Particle ;
+< {lamp} "@PMATCH_BACKTRACK@":0 "@PMATCH_INPUT_MARK@":" " {oil} "+Name":0 > # ;
+LEXICON Word
+lamp Noun ;
+post Noun ;
+oil Noun ;
+oil+Verb:oil # ;
+lamp%#:lamp Word ;
+LEXICON Noun
++Noun:0 # ;
++Noun+Plural:s # ;
+LEXICON Particle
+# ;
+@PMATCH_INPUT_MARK@:%  Off ;
+LEXICON Off
+off+Adv:off # ;
 """
-SCRIPT = """Define morphology @bin"m" ;
-Define blank Whitespace | Punct ;
-Define known morphology LC([blank | #]) RC([blank | #]) ;
-Define word ["a-z"]+ ;
-Define form [[word].u - [morphology].u] ;
-Define unknown form:0 LC([blank | #]) RC([blank | #]) ;
-Define token [known | unknown] EndTag(token) ;
-Define TOP token ;"""
+SCRIPT = """Define words @bin"lexicon" ;
+Define letters Alpha+ ;
+Define strange [letters - [words].u]:0 ;
+Define TOP [words | strange] EndTag(word) ;"""
 
 
 @pytest.fixture(scope="module")
@@ -127,33 +129,55 @@ def analyser():
     return Matcher.of(c)
 
 
-TEXT = "test fox go fox denfox жук"
-
-
 def test_lines_and_columns(analyser):
-    show = lambda form, text=TEXT, **o: T.Printer(form, **o).text(analyser, text)
-    assert show("tokenize") == "test\nfox\ngo fox\ndenfox\n\n" and show("space_separated") == "test fox go fox denfox "
-    assert show("tokenize", "fox", weights=True) == "fox\t0\n\n" and show("tokenize", "fox !", everything=True) == "fox\n !\n\n"
-    assert show("cg", "test go fox") == '"<test>"\n\t\n\n"<go fox>"\n\tgo Vfox N\n\tgofox V\n\n' and show("cg", "fox") == '"<fox>"\n\t"fox" N\n\n'
-    assert show("xerox", "test go fox") == "test\t\n\ngo fox\tgo Vfox N\ngo fox\tgofox V\n\n\n"
-    assert show("finnpos", "go fox") == "go fox\t_\tgofox\tN V\t_\n\n"
-    assert show("conllu", "fox fox") == "1\tfox\t_\t_\t_\t_\t_\t_\t_\tfox N\n2\tfox\t_\t_\t_\t_\t_\t_\t_\tfox N\n"
+    show = lambda form, text, **o: T.Printer(form, **o).text(analyser, text)
+    assert show("tokenize", "turn off lamps ab") == "turn off\nlamps\nab\n\n" and show("space_separated", "turn off lamps ab") == "turn off lamps ab "
+    assert show("tokenize", "post", weights=True) == "post\t0\n\n" and show("tokenize", "post ?", everything=True) == "post\n ?\n\n"
+    assert show("cg", "ab posts") == '"<ab>"\n\t\n\n"<posts>"\n\tpost+Noun+Plural\n\n' and show("cg", "post") == '"<post>"\n\t"post"+Noun\n\n'
+    assert show("xerox", "ab oil") == "ab\t\n\noil\toil+Noun\noil\toil+Verb\n\n\n"
+    spaced = T.Printer("finnpos").group([loc("lamp N Pl", text="lamps"), loc("lamp V", text="lamps")], analyser)
+    assert spaced == "lamps\t_\tlamp\tPl V\t_\n"
+    assert show("conllu", "post oil") == "1\tpost\t_\t_\t_\t_\t_\t_\t_\tpost+Noun\n2\toil\t_\t_\t_\t_\t_\t_\t_\toil+Noun\n"
     x = loc("x[UPOS=NOUN][XPOS=N][WORD_ID=w][NUM=SG][CASE=NOM]", 1.0)
     assert T.Printer("conllu").group([x], analyser) == "1\tabc\tw\tNOUN\tN\tCase=NOM|Number=SG\t_\t_\t_\tx\n"
     assert T.Printer("xerox", beam=0.5).group([loc("p", 1.0), loc("q", 2.0)], analyser) == "abc\tp\n\n" and T.Printer("xerox").group([loc("abc")], analyser) == "abc\tabc\n\n"
 
 
+def cohort(form, *readings):
+    return f'"<{form}>"\n' + "".join("\t" * (1 + k) + part + "\n" for r in readings for k, part in enumerate(r))
+
+
 def test_cohorts(analyser):
     show = lambda text, **o: T.Printer("giellacg", **o).text(analyser, text)
-    assert show("test fox") == '"<test>"\n\t"test" ?\n: \n"<fox>"\n\t"fox" N <W:0.0>\n'
-    assert show("go fox") == '"<go fox>"\n\t"fox" N <W:0.0> "<fox>"\n\t\t"go" V <W:0.0> "<go >"\n\t"gofox" V <W:0.0>\n'
-    assert show("denfox жук\n") == '"<denfox>"\n\t"fox" N <W:0.0>\n\t\t"den" N Cmp <W:0.0>\n: жук\\n\n'
-    assert show("hut ring") == '"<hut ring>"\n\t"hutring" N Es <W:0.0>\n\t"rings" V <W:0.0> "<ring>"\n\t\t"hut" N <W:0.0> "<hut >"\n\t"ring" N <W:0.0> "<ring>"\n\t\t"hut" N <W:0.0> "<hut >"\n'
-    assert show("fox", weights=False) == '"<fox>"\n\t"fox" N\n' and T.Printer()._line(1, ("a", "+N"), 0.25, None) == '\t"a"+N\n'
-    blanks = 'fox[\\\n<\\\\>]ring !fox \nfox[][\n]'
-    want = '"<fox>"\n\t"fox" N <W:0.0>\n:[\\\\n<\\\\>]\n"<ring>"\n\t"ring" N <W:0.0>\n\t"rings" V <W:0.0>\n: !\n"<fox>"\n\t"fox" N <W:0.0>\n: \\n\n"<fox>"\n\t"fox" N <W:0.0>\n:[][\\n]\n'
-    assert show(blanks, superblanks=True) == want and show("fox\0", superblanks=True).endswith("\n<STREAMCMD:FLUSH>\n")
-    assert T.Printer("visl").text(analyser, "fox ") == '"<fox>"\n\t"fox" N <W:0.0>\n \n'
+    post, oil, oils = ['"post"+Noun <W:0.0>'], ['"oil"+Noun <W:0.0>'], ['"oil"+Verb <W:0.0>']
+    assert show("post") == cohort("post", post) and show("oil") == cohort("oil", oil, oils) and show("ab") == cohort("ab", ['"ab" ?'])
+    # what stands between tokens is a line of its own
+    assert show("post ab\n") == cohort("post", post) + ": \n" + cohort("ab", ['"ab" ?']) + ":\\n\n"
+    # part marks cut the analysis, the last part first
+    assert show("lampposts") == cohort("lampposts", ['"post"+Noun+Plural <W:0.0>', '"lamp" <W:0.0>'])
+    assert show("lamplamppost") == cohort("lamplamppost", ['"post"+Noun <W:0.0>', '"lamp" <W:0.0>', '"lamp" <W:0.0>'])
+    # input marks cut the form too
+    assert show("turn off") == cohort("turn off", ['"off"+Adv <W:0.0> "<off>"', '"turn"+Verb <W:0.0> "<turn >"'])
+    # behind a backtracking mark the form is read again in stretches
+    again = [[f'{o[0]} "<oil>"', '"lamp"+Noun <W:0.0> "<lamp >"'] for o in (oil, oils)]
+    assert show("lamp oil") == cohort("lamp oil", ['"lampoil"+Name <W:0.0>'], again[1], again[0])
+    assert show("post", weights=False) == cohort("post", ['"post"+Noun']) and T.Printer()._part(T.Part(("a", "+N"), 0.25)) == '"a"+N\n'
+    assert show("post[\\\n<x>]post", superblanks=True) == cohort("post", post) + ":[\\\\n<x>]\n" + cohort("post", post)
+    assert show("post\0", superblanks=True).endswith("\n<STREAMCMD:FLUSH>\n")
+    assert T.Printer("visl").text(analyser, "post ") == cohort("post", post) + " \n"
+
+
+def test_parts_of_readings():
+    def reading(output, form, marks=(), back=()):
+        symbols = tuple(T.BACKTRACK if c == "|" else c for c in output)
+        return Location(0, len(form), form, output, "", 0.5, tuple(at for at, _ in marks), tuple(o for _, o in marks), symbols)
+
+    show = lambda x, **o: [("".join(p.symbols), p.form) for p in T.sub_readings(x, **o)]
+    assert show(reading("ab#c", "abc")) == [("c", None), ("ab", None)] and show(reading("ab#c", "abc"), named=True) == [("c", "abc"), ("ab", None)]
+    assert show(reading("ab#cd", "x y", [(2, 2)])) == [("#cd", "y"), ("ab", "x ")]
+    assert show(reading("abc#d", "x yz", [(2, 2)])) == [("d", None), ("c", "yz"), ("ab", "x ")]
+    back = reading("ab|cd", "x yz", [(2, 3)])
+    assert T.form_cuts(back) == (0, 2, 4) and len(T.sub_readings(back)) == 1 and T.form_cuts(reading("ab", "ab")) == ()
 
 
 def test_stored_networks():
