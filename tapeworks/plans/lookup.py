@@ -13,7 +13,10 @@ from dataclasses import dataclass
 from tapeworks.plans import algebra as A
 from tapeworks.plans.fst import DEFAULT, EPSILON, IDENTITY, SPECIAL, UNKNOWN, Fst, f32, is_flag
 
-MAX_DEPTH = 5000
+#: Silent steps in a row that a search takes at least before it gives a branch up; a transducer with more states gets as many as it has. Only cycles without input need more.
+MOST_SILENT = 5000
+#: Texts from which a search first finds the states that can reach the text's end.
+LONG = 256
 
 
 @dataclass
@@ -50,17 +53,21 @@ def compile_fst(f: Fst) -> Compiled:
     return Compiled(arcs, silent, dict(f.finals), frozenset(f.alphabet), pattern)
 
 
-def lookup(c: Compiled, text: str | list[str], obey_flags: bool = True, most: int | None = None, max_depth: int = MAX_DEPTH, max_weight: float | None = None, cycles: int | None = None, seconds: float | None = None, pairs: bool = False, show_flags: bool = False) -> list[tuple[float, tuple]]:
+def lookup(c: Compiled, text: str | list[str], obey_flags: bool = True, most: int | None = None, max_depth: int | None = None, max_weight: float | None = None, cycles: int | None = None, seconds: float | None = None, pairs: bool = False, show_flags: bool = False) -> list[tuple[float, tuple]]:
     """All (weight, outputs) for an input, as a set ordered by weight, then outputs; with most, the best so many.
 
-    Depth-first with an explicit stack. ``max_depth`` drops deeper branches; ``cycles`` is how often a state may come again without a symbol read. A flag loop is cut at
-    the same state and registers. A default arc is taken only where nothing else was followed from the state, epsilon arcs included.
+    Depth-first with an explicit stack, for texts of any length. ``max_depth`` drops branches with more steps; ``cycles`` is how often a state may come again without a symbol read. A flag
+    loop is cut at the same state and registers; a loop that gives output for no input is followed for MOST_SILENT steps, or as many as there are states. A default arc is taken only where
+    nothing else was followed from the state, epsilon arcs included. In long texts, ways that can't reach the end aren't followed.
     """
     tape = c.split(text) if isinstance(text, str) else list(text)
     known = [s in c.alphabet for s in tape]
     n, found = len(tape), set()
+    alive = _alive(c, tape, known) if n >= LONG else None
     stop = time.process_time() + seconds if seconds else None
-    stack = [(0, 0, 0.0, (), (), (), 0)]
+    most_silent = max(MOST_SILENT, len(c.arcs))
+    # outputs are linked from the last to the first, so that a step costs the same anywhere in a text
+    stack: list[tuple] = [(0, 0, 0.0, None, (), (), 0)] if alive is None or 0 in alive[0] else []
     count = 0
     while stack:
         state, at, w, out, registers, trail, depth = stack.pop()
@@ -72,8 +79,8 @@ def lookup(c: Compiled, text: str | list[str], obey_flags: bool = True, most: in
         if at == n and state in c.finals:
             total = f32(w + c.finals[state])
             if max_weight is None or total <= max_weight:
-                found.add((total, out))
-        if depth >= max_depth:
+                found.add((total, _unlinked(out)))
+        if (max_depth is not None and depth >= max_depth) or len(trail) >= most_silent:
             continue
         followed = False
         here = (state, registers)
@@ -91,9 +98,14 @@ def lookup(c: Compiled, text: str | list[str], obey_flags: bool = True, most: in
             if flag is None and cycles is None and (d, after) in trail and o == EPSILON and v >= 0:
                 continue
             followed = True
-            shown = (flag,) if flag is not None and show_flags else ()
-            extra = ((EPSILON, o),) if pairs and o != EPSILON else (o,) if o != EPSILON else ()
-            stack.append((d, at, w + v, out + shown + extra, after, (*trail, here), depth + 1))
+            if alive is not None and d not in alive[at]:
+                continue
+            given = out
+            if flag is not None and show_flags:
+                given = (given, flag)
+            if o != EPSILON:
+                given = (given, (EPSILON, o) if pairs else o)
+            stack.append((d, at, w + v, given, after, (*trail, here), depth + 1))
         if at >= n:
             continue
         s = tape[at]
@@ -101,13 +113,68 @@ def lookup(c: Compiled, text: str | list[str], obey_flags: bool = True, most: in
         if not moves and not followed:
             moves = c.arcs[state].get(DEFAULT, [])
         for o, v, d in moves:
+            if alive is not None and d not in alive[at + 1]:
+                continue
             o = s if o in (IDENTITY, UNKNOWN, DEFAULT) else o
-            extra = ((s, o),) if pairs else () if o == EPSILON else (o,)
-            stack.append((d, at + 1, w + v, out + extra, registers, (), depth + 1))
+            given = (out, (s, o)) if pairs else out if o == EPSILON else (out, o)
+            stack.append((d, at + 1, w + v, given, registers, (), depth + 1))
     result = sorted(found)
     return result if most is None else result[:most]
 
 
+def _unlinked(out: tuple | None) -> tuple:
+    symbols = []
+    while out is not None:
+        out, symbol = out
+        symbols.append(symbol)
+    return tuple(reversed(symbols))
+
+
+def _alive(c: Compiled, tape: list[str], known: list[bool]) -> list[frozenset[int]]:
+    """For each place of a tape the states that lie on a way from its beginning to its end, where flags refuse nothing and default arcs are always taken."""
+    kept: dict[tuple, tuple] = {}
+
+    def moves(layer: frozenset[int], s: str, is_known: bool) -> tuple[frozenset[int], dict[int, set[int]]]:
+        key = (layer, s if is_known else None)
+        if key not in kept:
+            to = {x: {d for i in ((s, DEFAULT) if is_known else (IDENTITY, UNKNOWN, DEFAULT)) for _, _, d in c.arcs[x].get(i, ())} for x in layer}
+            kept[key] = (closed(frozenset().union(*to.values())), to)
+        return kept[key]
+
+    def closed(states: frozenset[int]) -> frozenset[int]:
+        seen, todo = set(states), list(states)
+        while todo:
+            for _, _, _, d in c.silent[todo.pop()]:
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        return frozenset(seen)
+
+    layers, steps = [closed(frozenset([0]))], []
+    for s, is_known in zip(tape, known, strict=True):
+        after, to = moves(layers[-1], s, is_known)
+        layers.append(after)
+        steps.append(to)
+
+    def back(layer: frozenset[int], good: set[int]) -> frozenset[int]:
+        """States of a layer from which silent steps lead to good ones."""
+        good, grown = set(good), True
+        while grown:
+            more = {s for s in layer - good if any(d in good for _, _, _, d in c.silent[s])}
+            grown = bool(more)
+            good |= more
+        return frozenset(good)
+
+    alive = [back(layers[-1], {s for s in layers[-1] if s in c.finals})]
+    past: dict[tuple, frozenset[int]] = {}
+    for k in range(len(tape) - 1, -1, -1):
+        key = (layers[k], tape[k] if known[k] else None, alive[-1])
+        if key not in past:
+            past[key] = back(layers[k], {s for s, to in steps[k].items() if not to.isdisjoint(alive[-1])})
+        alive.append(past[key])
+    return alive[::-1]
+
+
 def lookup_tags(c: Compiled, text: str, diacritics: bool, seconds: float | None = None) -> list[str]:
     """The outputs, flags only or everything but flags, joined; in order of weight and symbols, equal strings kept."""
     return ["".join(s for s in out if is_flag(s) == diacritics) for _, out in lookup(c, text, seconds=seconds, show_flags=True)]

@@ -353,93 +353,106 @@ class Matcher:
 
     # one network from one place
 
-    def ends(self, table: list, text: str, at: int, step: int = 1, depth: int = 0) -> list[tuple[int, float, tuple]]:
-        """(end, weight, output) of all ways from a place; output symbols, with beginnings, ends and tags between."""
+    def ends(self, table: list, text: str, at: int, step: int = 1) -> list[tuple[int, float, tuple]]:
+        """(end, weight, output) of all ways from a place; output symbols, with beginnings, ends and tags between.
+
+        Calls and conditions are searches of their own. They wait for one another on a stack here, not on Python's, so that they nest as deep as max-recursion says; what a call finds at
+        a place is found once.
+        """
+        found: dict[tuple, list] = {}
+        asked = [(table, at, step, 0)]
+        running = [self._ways(table, text, at, step, 0)]
+        answer = None
+        while True:
+            try:
+                ask = running[-1].send(answer)
+            except StopIteration as done:
+                running.pop()
+                inner, *rest = asked.pop()
+                if not running:
+                    return done.value
+                found[id(inner), *rest] = answer = done.value
+                continue
+            answer = found.get((id(ask[0]), *ask[1:]))
+            if answer is None:
+                asked.append(ask)
+                running.append(self._ways(ask[0], text, *ask[1:]))
+
+    def _ways(self, table: list, text: str, at: int, step: int, depth: int):
+        """ends() as a coroutine: it yields (table, place, step, depth) for each search that it needs and is sent what that finds.
+
+        Places are taken in the order of reading; a call or a captured text puts its ways at the place where it ends. A state comes once only on a way that reads nothing.
+        """
         arcs, silent, finals, known = table
-        found: dict[tuple, float] = {}
-        layer: dict[tuple, float] = {(0, (), (), ()): 0.0}
         limit = int(self.options["max-recursion"])
-        while layer:
-            todo, closed = list(layer.items()), dict(layer)
+        found: dict[tuple, float] = {}
+        places: dict[int, dict[tuple, float]] = {at: {(0, (), (), ()): 0.0}}
+        while places:
+            at = min(places) if step > 0 else max(places)
+            closed = places.pop(at)
+            todo = [(key, w, frozenset()) for key, w in closed.items()]
             while todo:
-                (state, out, registers, caps), w = todo.pop()
+                (state, out, registers, caps), w, seen = todo.pop()
                 if closed.get((state, out, registers, caps), w) < w:
                     continue
+                seen = seen | {(state, registers, caps)}
                 for label, o, v, d in silent[state]:
-                    for jump, extra, regs, cs in self._act(label, o, text, at, step, out, registers, caps, depth, limit):
-                        key = (d, out + extra, regs, cs)
-                        if jump == at:
-                            if closed.get(key, float("inf")) > w + v and len(key[1]) < 4 * len(text) + 1000:
-                                closed[key] = w + v
-                                todo.append((key, w + v))
-                        else:
-                            found_inner = self._from(table, text, jump, step, depth, key, w + v)
-                            for e, ww, oo in found_inner:
-                                found[e, oo] = min(ww, found.get((e, oo), float("inf")))
+                    kind, _, name = label[len(MARKER) : -1].partition(":") if label is not None and label.startswith(MARKER) else (None, None, None)
+                    if kind == "INS":
+                        inner = (yield self.networks[name], at, step, depth + 1) if depth < limit else ()
+                        ways = [(e, given, registers, caps, more) for e, more, given in inner]
+                    elif kind == "IF":
+                        way, guard = self.guards[int(name)]
+                        met = yield guard, at, -1 if way in ("LC", "NLC") else 1, depth + 1
+                        ways = [(at, (), registers, caps, 0.0)] if bool(met) != way.startswith("N") else []
+                    else:
+                        ways = self._act(label, kind, name, o, text, at, out, registers, caps)
+                    for to, extra, regs, cs, more in ways:
+                        key, total = (d, out + extra, regs, cs), w + v + more
+                        if to != at:
+                            later = places.setdefault(to, {})
+                            later[key] = min(total, later.get(key, float("inf")))
+                        elif closed.get(key, float("inf")) > total and (d, regs, cs) not in seen:
+                            closed[key] = total
+                            todo.append((key, total, seen))
             for (state, out, _, _), w in closed.items():
                 if state in finals:
                     total = w + finals[state]
                     found[at, out] = min(total, found.get((at, out), float("inf")))
             place = at if step > 0 else at - 1
             if not 0 <= place < len(text):
-                break
-            c, layer = text[place], {}
+                continue
+            c, layer = text[place], places.setdefault(at + step, {})
             for (state, out, registers, caps), w in closed.items():
                 for o, v, d in arcs[state].get(c, []) if c in known else arcs[state].get(IDENTITY, []) + arcs[state].get(UNKNOWN, []):
                     o = c if o in (IDENTITY, UNKNOWN) else o
                     key = (d, out + _given(o, at + step), registers, caps)
-                    if layer.get(key, float("inf")) > w + v:
-                        layer[key] = w + v
+                    layer[key] = min(w + v, layer.get(key, float("inf")))
                 for label, o, v, d in silent[state]:
                     if label is not None and _reads(label, c):
                         key = (d, (*out, c), registers, caps)
-                        if layer.get(key, float("inf")) > w + v:
-                            layer[key] = w + v
-            at += step
+                        layer[key] = min(w + v, layer.get(key, float("inf")))
+            if not layer:
+                del places[at + step]
         return [(e, w, o) for (e, o), w in found.items()]
 
-    def _from(self, table: list, text: str, at: int, step: int, depth: int, key: tuple, w: float) -> list[tuple[int, float, tuple]]:
-        """Goes on in the middle of a network, after a call or a captured text."""
-        state, out, registers, caps = key
-        arcs, silent, finals, known = table
-        moved = [list(arcs), list(silent), finals, known]
-        # a start state that stands for where the way goes on
-        moved = [[arcs[state], *arcs], [[(x, o, v, d + 1) for x, o, v, d in silent[state]], *[[(x, o, v, d + 1) for x, o, v, d in row] for row in silent]], {s + 1: f for s, f in finals.items()} | ({0: finals[state]} if state in finals else {}), known]
-        moved[0] = [{i: [(o, v, d + 1) for o, v, d in to] for i, to in row.items()} for row in moved[0]]
-        return [(e, w + ww, out + oo) for e, ww, oo in self.ends(moved, text, at, step, depth)]
-
-    def _act(self, label, o, text, at, step, out, registers, caps, depth, limit):
-        """What an action does: (place, output, registers, captures) for each way that it allows."""
+    def _act(self, label, kind, name, o, text, at, out, registers, caps):
+        """What an action without a search of its own does: (place, output, registers, captures, weight) for each way that it allows."""
         if label is None:
-            yield at, _given(o, at), registers, caps
-            return
+            return [(at, _given(o, at), registers, caps, 0.0)]
         if is_flag(label):
             got = A.apply_flag(label, dict(registers))
-            if got is not None:
-                yield at, (), tuple(sorted(got.items())), caps
-            return
-        kind, _, name = label[len(MARKER) : -1].partition(":")
+            return [] if got is None else [(at, (), tuple(sorted(got.items())), caps, 0.0)]
         if kind in ("ENTRY", "EXIT", "TAG", "COUNT"):
-            yield at, ((kind, name),), registers, caps
-        elif kind == "EDGE":
-            if at in (0, len(text)):
-                yield at, (), registers, caps
-        elif kind == "IF":
-            way, table = self.guards[int(name)]
-            back = way in ("LC", "NLC")
-            if bool(self.ends(table, text, at, -1 if back else 1, depth + 1)) != way.startswith("N"):
-                yield at, (), registers, caps
-        elif kind == "INS":
-            if depth < min(limit, 200):
-                for e, _, inner in self.ends(self.networks[name], text, at, step, depth + 1):
-                    yield e, inner, registers, caps
-        elif kind == "CAP":
-            begin = _capture_start(out)
-            yield at, (("CAP", name),), registers, tuple(sorted((dict(caps) | {name: begin}).items()))
-        elif kind == "SAME":
+            return [(at, ((kind, name),), registers, caps, 0.0)]
+        if kind == "EDGE":
+            return [(at, (), registers, caps, 0.0)] if at in (0, len(text)) else []
+        if kind == "CAP":
+            return [(at, (("CAP", name),), registers, tuple(sorted((dict(caps) | {name: _capture_start(out)}).items())), 0.0)]
+        if kind == "SAME":
             same = dict(caps).get(name)
-            if same is not None and text.startswith(same, at):
-                yield at + len(same), tuple(same), registers, caps
+            return [(at + len(same), tuple(same), registers, caps, 0.0)] if same is not None and text.startswith(same, at) else []
+        return []
 
     # scanning
 

@@ -119,6 +119,19 @@ def test_lookup_details():
     assert correct(lexicon, compile_fst(edit_model(1, "catrdog")), "act") == [(2.0, "cat")]
 
 
+def test_lookup_of_long_texts():
+    rule, optional = compile_fst(regex("a -> b || c _")), compile_fst(regex("x (->) y"))
+    text = "ca" * 20_000 + "a"
+    assert [(w, "".join(out)) for w, out in lookup(rule, text)] == [(0.0, "cb" * 20_000 + "a")]
+    assert ["".join(out).count("y") for _, out in lookup(optional, "a" * 3000 + "x")] == [0, 1]
+    flags = compile_fst(regex('"@P.F.X@" a* "@R.F.X@" b | "@P.F.Y@" a* "@R.F.X@" b'))
+    assert len(lookup(flags, "a" * 6000 + "b")) == 1 and lookup(flags, "a" * 6000) == [] and lookup(rule, "ca" * 3000, max_depth=50) == []
+    late = compile_fst(regex("[a:x | a:y]* b | a* c"))
+    assert [out[-1] for _, out in lookup(late, "a" * 5000 + "c")] == ["c"]
+    loop = compile_fst(regex("a [0:x]*"))
+    assert 2 <= len(lookup(loop, "a", cycles=3)) <= 5
+
+
 def test_default_arcs():
     att = "0\t1\ta\tx\n0\t1\t@_DEFAULT_SYMBOL_@\t@_DEFAULT_SYMBOL_@\n1\n"
     c = compile_fst(formats.read_att(att)[0])

@@ -180,6 +180,21 @@ def test_parts_of_readings():
     assert T.form_cuts(back) == (0, 2, 4) and len(T.sub_readings(back)) == 1 and T.form_cuts(reading("ab", "ab")) == ()
 
 
+def test_calls_nest_as_deep_as_texts_do():
+    m = compile_script("Define P {(} Ins(P)* {)}; Define TOP P EndTag(T);")
+    deep, wide = "(" * 1000 + ")" * 1000, "(" + "()" * 600 + ")"
+    assert m.tag_counts(deep) == {"T": 1} and m.match(wide) == f"<T>{wide}</T>" and m.tag_counts("(" * 300) == {}
+    shallow = compile_script("Define P {(} Ins(P)* {)}; Define TOP P EndTag(T);", max_recursion="3")
+    assert shallow.match("(((())))") == "<T>(((())))</T>" and shallow.match("((((()))))") == "(<T>(((())))</T>)"
+
+
+def test_long_outputs_and_weights_of_calls():
+    m = compile_script('set need-separators off Define TOP [a:{' + "x" * 2000 + '}]+ EndTag(T);', mark_patterns="off")
+    assert m.match("aaa") == "x" * 6000
+    called = compile_script("Define W [{a}::2 | {a}:{b}::1]; Define TOP Ins(W) EndTag(T);").locate("a")[0]
+    assert [(x.output, x.weight) for x in called] == [("b", 1.0), ("a", 2.0)]
+
+
 def test_stored_networks():
     def net(name, expression):
         f = regex(expression)
