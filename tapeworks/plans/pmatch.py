@@ -384,7 +384,7 @@ class Matcher:
         Places are taken in the order of reading; a call or a captured text puts its ways at the place where it ends. A state comes once only on a way that reads nothing.
         """
         arcs, silent, finals, known = table
-        limit = int(self.options["max-recursion"])
+        limit, loops = int(self.options["max-recursion"]), self._loops(table)
         found: dict[tuple, float] = {}
         places: dict[int, dict[tuple, float]] = {at: {(0, (), (), ()): 0.0}}
         while places:
@@ -395,7 +395,8 @@ class Matcher:
                 (state, out, registers, caps), w, seen = todo.pop()
                 if closed.get((state, out, registers, caps), w) < w:
                     continue
-                seen = seen | {(state, registers, caps)}
+                if state in loops:
+                    seen = seen | {(state, registers, caps)}
                 for label, o, v, d in silent[state]:
                     kind, _, name = label[len(MARKER) : -1].partition(":") if label is not None and label.startswith(MARKER) else (None, None, None)
                     if kind == "INS":
@@ -436,6 +437,20 @@ class Matcher:
                 del places[at + step]
         return [(e, w, o) for (e, o), w in found.items()]
 
+    def _loops(self, table: list) -> set[int]:
+        """The states that lie on cycles of silent arcs, or between such."""
+        known = self.__dict__.setdefault("_cycles", {})
+        if id(table) not in known:
+            to = {s: {d for _, _, _, d in row} for s, row in enumerate(table[1]) if row}
+            shrunk = True
+            while shrunk:
+                reached = set().union(*to.values())
+                left = {s: {d for d in ds if d in to} for s, ds in to.items() if s in reached}
+                left = {s: ds for s, ds in left.items() if ds}
+                shrunk, to = left != to, left
+            known[id(table)] = set(to)
+        return known[id(table)]
+
     def _act(self, label, kind, name, o, text, at, out, registers, caps):
         """What an action without a search of its own does: (place, output, registers, captures, weight) for each way that it allows."""
         if label is None:
@@ -457,7 +472,7 @@ class Matcher:
     # scanning
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_fast"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_fast", "_cycles")}
 
     def fast(self) -> _Automaton | None:
         """The automaton of a plain pattern, built on first use in each process; None for others."""
