@@ -46,8 +46,7 @@ def joined(outputs: Sequence[str]) -> str:
     return "".join(s for s in outputs if s != EPSILON and not is_flag(s))
 
 
-def analyses(f: Fst, most: int | None = None, max_weight: float | None = None, obey_flags: bool = True, beam: float | None = None, **limits) -> Callable[[Column | str], Column]:
-    """The results for each text, as a set ordered by weight, then output; an unknown word has an empty array."""
+def _analyser(f: Fst, most: int | None = None, max_weight: float | None = None, obey_flags: bool = True, beam: float | None = None, **limits) -> Callable[[str], list[dict]]:
     c = L.compile_fst(f)
 
     def run(text: str) -> list[dict]:
@@ -60,7 +59,18 @@ def analyses(f: Fst, most: int | None = None, max_weight: float | None = None, o
             found = [x for x in found if x[0] <= found[0][0] + beam]
         return [{"weight": w, "output": s} for w, s in found[:most]]
 
-    return _by_value(run, ANALYSES)
+    return run
+
+
+def analyses(f: Fst, **options) -> Callable[[Column | str], Column]:
+    """The results for each text, as a set ordered by weight, then output; an unknown word has an empty array. ``most``, ``max_weight`` and ``beam`` keep the lightest."""
+    return _by_value(_analyser(f, **options), ANALYSES)
+
+
+def first_analyses(fsts: Sequence[Fst], **options) -> Callable[[Column | str], Column]:
+    """The results of the first of several transducers that has any."""
+    runs = [_analyser(f, **options) for f in fsts]
+    return _by_value(lambda text: next(filter(None, (run(text) for run in runs)), []), ANALYSES)
 
 
 def generations(f: Fst, **options) -> Callable[[Column | str], Column]:
@@ -104,15 +114,13 @@ def cascade(df: DataFrame, text: str, fsts: Sequence[Fst], how: str = "union", *
         for f in fsts:
             out = lookup(out, "_now", f, **options).withColumn("_w", (F.col("_w") + F.col("weight")).cast("float")).withColumn("_now", F.col("output")).drop("output", "weight")
         return out.select(*df.columns, F.col("_now").alias("output"), F.col("_w").alias("weight"))
-    columns = [analyses(f, **options)(text) for f in fsts]
-    staged = df
-    for k, c in enumerate(columns):
-        staged = staged.withColumn(f"_f{k}", c)
-    names = [F.col(f"_f{k}") for k in range(len(fsts))]
     if how == "union":
+        names = [f"_f{k}" for k in range(len(fsts))]
+        staged = df.select("*", *(analyses(f, **options)(text).alias(n) for f, n in zip(fsts, names, strict=True)))
         merged = F.array_sort(F.array_distinct(F.concat(*names)))
     elif how == "priority-union":
-        merged = F.coalesce(*(F.when(F.size(n) > 0, n) for n in names), names[0])
+        # one column for all, so that a text goes to the next transducer only if none before has any result
+        staged, merged = df, first_analyses(fsts, **options)(text)
     else:
         raise ValueError(f"unknown cascade {how}")
     return staged.withColumn("_one", F.explode(merged)).select(*df.columns, F.col("_one.output").alias("output"), F.col("_one.weight").alias("weight"))

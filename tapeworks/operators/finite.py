@@ -86,6 +86,25 @@ def substitute(a: DataFrame, names: dict[str, str], side: str = "both") -> DataF
     return least(a.select((turn("upper") if side != "lower" else F.col("upper")).alias("upper"), (turn("lower") if side != "upper" else F.col("lower")).alias("lower"), "weight"))
 
 
+def corrections_by_joins(words: DataFrame, word: str, lexicon: DataFrame, entry: str, distance: int = 1) -> DataFrame:
+    """(word, output, weight): for each distinct word the lexicon's words at up to so many insertions, deletions and replacements, and how many.
+
+    Two words at that distance have a common rest after as many deletions from either, so rests are what is joined; the distance itself is then computed. Words of n symbols
+    have n rests at distance 1, n * n / 2 at distance 2.
+    """
+
+    def rests(df: DataFrame, name: str) -> DataFrame:
+        now = every = df.select(F.col(name).alias(f"_{name}"), F.col(name).alias("_rest")).where(F.col(name).isNotNull()).distinct()
+        for _ in range(distance):
+            cut = F.transform(F.sequence(F.lit(1), F.length("_rest")), lambda k: F.concat(F.substring("_rest", F.lit(1), k - 1), F.substring("_rest", k + 1, F.length("_rest"))))
+            now = now.where("_rest <> ''").select(f"_{name}", F.explode(cut).alias("_rest")).distinct()
+            every = every.unionByName(now)
+        return every.distinct()
+
+    pairs = rests(words, word).join(rests(lexicon, entry).withColumnRenamed(f"_{entry}", "_entry"), "_rest").select(F.col(f"_{word}").alias(word), F.col("_entry").alias("output")).distinct()
+    return pairs.withColumn("weight", F.levenshtein(word, "output").cast("float")).where(F.col("weight") <= distance)
+
+
 def path_sizes(a: DataFrame) -> DataFrame:
     size = F.greatest(F.length("upper"), F.length("lower"))
     return a.groupBy(size.alias("size")).agg(F.count("*").alias("n"))

@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.plans.fst import EPSILON, IDENTITY, UNKNOWN
+from tapeworks.plans.fst import EPSILON, IDENTITY, UNKNOWN, CyclicError
+from tapeworks.shared import Scratch, small
 
 SPECIAL = (EPSILON, IDENTITY, UNKNOWN)
 
@@ -22,17 +23,35 @@ def symbol_tally(arcs: DataFrame) -> DataFrame:
 
 
 def sizes(arcs: DataFrame, finals: DataFrame) -> DataFrame:
-    """(fst_id, states, arcs, finals, label_pairs, epsilon_arcs, acceptor)."""
-    states = arcs.select("fst_id", F.explode(F.array("src", "dst")).alias("s")).unionByName(finals.select("fst_id", F.col("state").alias("s")))
-    n = states.groupBy("fst_id").agg((F.max("s") + 1).alias("states"))
+    """(fst_id, states, arcs, finals, label_pairs, epsilon_arcs, acceptor); the states are those that arcs and finals name, and the first."""
+    named = arcs.select("fst_id", F.explode(F.array("src", "dst", F.lit(0))).alias("s")).unionByName(finals.select("fst_id", F.explode(F.array("state", F.lit(0))).alias("s")))
+    n = named.distinct().groupBy("fst_id").agg(F.count("*").alias("states"))
     a = arcs.groupBy("fst_id").agg(F.count("*").alias("arcs"), F.countDistinct("isym", "osym").alias("label_pairs"), F.sum(F.when((F.col("isym") == EPSILON) & (F.col("osym") == EPSILON), 1).otherwise(0)).alias("epsilon_arcs"), F.min(F.col("isym") == F.col("osym")).alias("acceptor"))
     f = finals.groupBy("fst_id").agg(F.count("*").alias("finals"))
     return n.join(a, "fst_id", "left").join(f, "fst_id", "left").na.fill(0)
 
 
-def reachable(arcs: DataFrame, spark=None) -> DataFrame:
-    """(fst_id, state) reachable from state 0, however many arcs away. One transducer's arcs are a grammar's, so one task follows them."""
-    return arcs.select("fst_id", "src", "dst").distinct().groupBy("fst_id").applyInArrow(_reached, "fst_id string, state int")
+#: Arcs of all transducers up to which reachable() gives each transducer to one task.
+ONE_TASK = 1_000_000
+
+
+def reachable(arcs: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(fst_id, state) reachable from state 0, however many arcs away.
+
+    Where there are few arcs, one task follows those of one transducer. Beyond that each round joins the states found last with the arcs, until no state is new.
+    """
+    edges = arcs.select("fst_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
+    if edges.limit(one_task + 1).count() <= one_task:
+        return edges.groupBy("fst_id").applyInArrow(_reached, "fst_id string, state long")
+    scratch = Scratch(arcs.sparkSession, "reachable")
+    edges = scratch.keep(edges, "edges")
+    front = seen = scratch.keep(edges.select("fst_id").distinct().withColumn("state", F.lit(0).cast("long")), "seen")
+    while True:
+        after = front.join(edges, (front.fst_id == edges.fst_id) & (front.state == edges.src)).select(edges.fst_id, F.col("dst").alias("state")).distinct()
+        front = scratch.keep(after.join(seen, ["fst_id", "state"], "left_anti"), "front")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
 
 
 def _reached(table: pa.Table) -> pa.Table:
@@ -43,30 +62,75 @@ def _reached(table: pa.Table) -> pa.Table:
     while front:
         front = list({d for s in front for d in after.get(s, ())} - seen)
         seen.update(front)
-    return pa.table({"fst_id": pa.array([table["fst_id"][0].as_py()] * len(seen), pa.string()), "state": pa.array(sorted(seen), pa.int32())})
+    return pa.table({"fst_id": pa.array([table["fst_id"][0].as_py()] * len(seen), pa.string()), "state": pa.array(sorted(seen), pa.int64())})
 
 
 END, STAY, DONE = "@_END_@", "@_STAY_@", -1
+#: Joins between two written tables.
+ROUNDS = 6
 
 
-def lookup_by_joins(words: DataFrame, arcs: DataFrame, finals: DataFrame, alphabet: DataFrame, most_rounds: int, word: str = "word") -> DataFrame:
-    """(word, output, weight) of every result, for transducers without flags: each round is one join of the frontier with the arcs.
+def lookup_by_joins(words: DataFrame, arcs: DataFrame, finals: DataFrame, alphabet: DataFrame, word: str = "word") -> DataFrame:
+    """(word, output, weight) of every result, for transducers without flags: each round is one join of the frontier with the arcs, until nothing is left to be read.
 
-    A final state is an arc that is taken at the end of the word to a state that stays. A symbol that the alphabet lacks takes identity and unknown arcs. So many rounds read as
-    many symbols and input epsilons, less one for the end; words should be short. Arcs are a grammar's, so they are broadcast.
+    A final state is an arc that is taken at the end of the word to a state that stays. A symbol that the alphabet lacks takes identity and unknown arcs. Arcs that read nothing are followed
+    as often in a row as there are states, so that only cycles of them are cut. The frontier is written every ROUNDS rounds. Arcs are broadcast where they are few.
     """
-    known = F.broadcast(alphabet.select(F.col("sym").alias("_sym")).distinct())
-    moves = arcs.select("src", "dst", "isym", "osym", F.col("weight").alias("_w"))
-    ends = finals.select(F.col("state").alias("src"), F.lit(DONE).alias("dst"), F.lit(END).alias("isym"), F.lit(EPSILON).alias("osym"), F.col("weight").alias("_w"))
-    stay = moves.sparkSession.createDataFrame([(DONE, DONE, STAY, EPSILON, 0.0)], "src int, dst int, isym string, osym string, _w float")
-    moves = F.broadcast(moves.unionByName(ends).unionByName(stay))
-    front = words.select(word).where(F.col(word).isNotNull()).distinct().select(F.col(word), F.lit(0).alias("state"), F.lit(0).alias("pos"), F.lit("").alias("output"), F.lit(0.0).cast("float").alias("weight"))
+    scratch = Scratch(words.sparkSession, "lookup")
+    known = small(alphabet.select(F.col("sym").alias("_sym")).distinct())
+    moves = arcs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "isym", "osym", F.col("weight").alias("_w"))
+    states = moves.select(F.explode(F.array("src", "dst")).alias("s")).distinct().count()
+    ends = finals.select(F.col("state").cast("long").alias("src"), F.lit(DONE).cast("long").alias("dst"), F.lit(END).alias("isym"), F.lit(EPSILON).alias("osym"), F.col("weight").alias("_w"))
+    stay = moves.sparkSession.createDataFrame([(DONE, DONE, STAY, EPSILON, 0.0)], "src long, dst long, isym string, osym string, _w float")
+    moves = small(moves.unionByName(ends).unionByName(stay))
+    front = words.select(word).where(F.col(word).isNotNull()).distinct().select(F.col(word), F.lit(0).cast("long").alias("state"), F.lit(0).alias("pos"), F.lit("").alias("output"), F.lit(0.0).cast("float").alias("weight"), F.lit(0).alias("quiet"))
     here, inside = F.col("isym"), F.col("pos") < F.length(word)
-    for _ in range(most_rounds + 1):
-        c = front.withColumn("_c", F.expr(f"substring({word}, pos + 1, 1)")).join(known, F.col("_c") == F.col("_sym"), "left")
-        read = inside & F.when(F.col("_sym").isNotNull(), here == F.col("_c")).otherwise(here.isin(IDENTITY, UNKNOWN))
-        step = c.join(moves, (F.col("state") == F.col("src")) & (here.isin(EPSILON, STAY) | ((here == END) & ~inside) | read))
-        silent = here.isin(EPSILON, STAY, END)
-        out = F.when(F.col("osym") == EPSILON, F.lit("")).when(F.col("osym").isin(IDENTITY, UNKNOWN), F.col("_c")).otherwise(F.col("osym"))
-        front = step.select(word, F.col("dst").alias("state"), (F.col("pos") + F.when(silent, 0).otherwise(1)).alias("pos"), F.concat("output", out).alias("output"), (F.col("weight") + F.col("_w")).cast("float").alias("weight"))
-    return front.where(F.col("state") == DONE).groupBy(word, "output").agg(F.min("weight").alias("weight"))
+    found = []
+    while True:
+        for _ in range(ROUNDS):
+            c = front.withColumn("_c", F.expr(f"substring({word}, pos + 1, 1)")).join(known, F.col("_c") == F.col("_sym"), "left")
+            read = inside & F.when(F.col("_sym").isNotNull(), here == F.col("_c")).otherwise(here.isin(IDENTITY, UNKNOWN))
+            quiet = (here == EPSILON) & (F.col("quiet") < states)
+            step = c.join(moves, (F.col("state") == F.col("src")) & (quiet | (here == STAY) | ((here == END) & ~inside) | read))
+            out = F.when(F.col("osym") == EPSILON, F.lit("")).when(F.col("osym").isin(IDENTITY, UNKNOWN), F.col("_c")).otherwise(F.col("osym"))
+            silent = here.isin(EPSILON, STAY, END)
+            front = step.select(word, F.col("dst").alias("state"), (F.col("pos") + F.when(silent, 0).otherwise(1)).alias("pos"), F.concat("output", out).alias("output"), (F.col("weight") + F.col("_w")).cast("float").alias("weight"), F.when(silent, F.col("quiet") + 1).otherwise(0).alias("quiet"))
+        front = scratch.keep(front, "front")
+        found.append(front.where(F.col("state") == DONE))
+        front = front.where(F.col("state") != DONE)
+        if front.isEmpty():
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(word, "output").agg(F.min("weight").alias("weight"))
+
+
+def strings_by_joins(arcs: DataFrame, finals: DataFrame) -> DataFrame:
+    """(fst_id, upper, lower, weight) of every path of acyclic transducers without flags, by joins of the paths so far with the arcs. A cyclic one raises an error."""
+    scratch = Scratch(arcs.sparkSession, "strings")
+    text = lambda c: F.when(F.col(c) == EPSILON, F.lit("")).otherwise(F.col(c))
+    moves = arcs.select(F.col("fst_id").alias("_f"), F.col("src").cast("long").alias("_src"), F.col("dst").cast("long").alias("_dst"), text("isym").alias("_i"), text("osym").alias("_o"), F.col("weight").alias("_w"))
+    ends = small(finals.select(F.col("fst_id").alias("_f"), F.col("state").cast("long").alias("_s"), F.col("weight").alias("_v")))
+    most = moves.select("_f", F.explode(F.array("_src", "_dst"))).distinct().groupBy("_f").count().agg(F.max("count")).first()[0] or 0
+    moves = small(moves)
+    none = F.lit(0.0).cast("float")
+    ids = arcs.select("fst_id").union(finals.select("fst_id")).distinct()
+    front = scratch.keep(ids.select("fst_id", F.lit(0).cast("long").alias("state"), F.lit("").alias("upper"), F.lit("").alias("lower"), none.alias("weight")), "front")
+    done, rounds = [], 0
+    while not front.isEmpty():
+        if rounds > most:
+            raise CyclicError("a cyclic transducer has endlessly many paths")
+        met = []
+        for _ in range(ROUNDS):
+            met.append(front.join(ends, (F.col("fst_id") == F.col("_f")) & (F.col("state") == F.col("_s"))).select("fst_id", "upper", "lower", (F.col("weight") + F.col("_v")).cast("float").alias("weight")))
+            front = front.join(moves, (F.col("fst_id") == F.col("_f")) & (F.col("state") == F.col("_src"))).select("fst_id", F.col("_dst").alias("state"), F.concat("upper", "_i").alias("upper"), F.concat("lower", "_o").alias("lower"), (F.col("weight") + F.col("_w")).cast("float").alias("weight"))
+        rounds += ROUNDS
+        for more in met[1:]:
+            met[0] = met[0].unionByName(more)
+        done.append(scratch.keep(met[0], "strings"))
+        front = scratch.keep(front, "front")
+    out = done[0] if done else front.select("fst_id", "upper", "lower", "weight")
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("fst_id", "upper", "lower").agg(F.min("weight").alias("weight"))

@@ -33,10 +33,10 @@ def penalties(counts: DataFrame, given: Sequence[str]) -> DataFrame:
     return counts.withColumn("weight", -F.log(F.col("n") / total))
 
 
-def train(tokens: DataFrame, sequence: str, position: str, word: str, tag: str, most_tags: int = 1000) -> dict:
-    """The statistics as a model for the driver: tags are few; of words only those seen more than once, and affix counts for the rest, stay in the model."""
+def train(tokens: DataFrame, sequence: str, position: str, word: str, tag: str) -> dict:
+    """The statistics as a model: tag counts, which are as few as the tag set's pairs, for the driver; words and their tags as a table."""
     stats = tag_statistics(tokens, sequence, position, tag)
-    tags = {r.t1: r.n for r in stats["unigrams"].orderBy(F.col("n").desc()).limit(most_tags).collect()}
+    tags = {r.t1: r.n for r in stats["unigrams"].collect()}
     bigrams = {(r.t1, r.t2): r.n for r in stats["bigrams"].collect() if r.t2 in tags}
     words = word_statistics(tokens, word, tag)
     return {"tags": tags, "bigrams": bigrams, "words": words, "total": sum(tags.values())}

@@ -344,7 +344,7 @@ class Shell:
         f = f or self.top()
         n = self._limit(rest)
         cycles = None if not A.is_cyclic(f) else int(self.variables["print-words-cycle-cutoff"])
-        found = P.paths(f, n or 100_000, cycles, self.variables["obey-flags"] == "ON")
+        found = P.paths(f, n, cycles, self.variables["obey-flags"] == "ON")
         for s in dict.fromkeys(self._show(p, side) for _, p in found):
             self.say(s)
 
@@ -381,7 +381,7 @@ class Shell:
     def do_print_label_tally(self, rest): self._tally(self._show([(i, o)]) or "0" for _, i, o, _, _ in self.top())
     def do_print_arc_tally(self, rest): self._tally(self._show([(i, o)]) or "0" for _, i, o, _, _ in self.top())
     def do_print_sigma_tally(self, rest): self._tally(s for _, i, o, _, _ in self.top() for s in {i, o} if s not in (EPSILON,))
-    def do_print_sigma_word_tally(self, rest): self._tally(s for _, p in P.paths(self.top(), 100_000, 1) for x in p for s in set(x) if s != EPSILON)
+    def do_print_sigma_word_tally(self, rest): self._tally(s for _, p in P.paths(self.top(), None, 1) for x in p for s in set(x) if s != EPSILON)
     def do_print_labels(self, rest): self.say("Labels: " + " ".join(sorted({self._show([(i, o)]) or "0" for _, i, o, _, _ in self.top()})))
     do_print_label_maps = do_print_labels
     def do_print_flags(self, rest): self.say(" ".join(sorted(self.top().flags())))
@@ -441,8 +441,8 @@ class Shell:
     def do_write_att(self, rest): self._put(rest, formats.write_att(self.top(), self.top().has_weights()))
     def do_write_dot(self, rest): self._put(rest, formats.write_dot(self.top()))
     def do_write_prolog(self, rest): self._put(rest, formats.write_prolog(self.top()))
-    def do_write_text(self, rest): self._put(rest, formats.write_words(self.top(), 100_000, 5 if A.is_cyclic(self.top()) else None))
-    def do_write_spaced_text(self, rest): self._put(rest, formats.write_words(self.top(), 100_000, 5 if A.is_cyclic(self.top()) else None, spaced=True))
+    def do_write_text(self, rest): self._put(rest, formats.write_words(self.top(), None, 5 if A.is_cyclic(self.top()) else None))
+    def do_write_spaced_text(self, rest): self._put(rest, formats.write_words(self.top(), None, 5 if A.is_cyclic(self.top()) else None, spaced=True))
     def do_write_definition(self, rest): name, _, to = rest.partition(" "); self._put(to, formats.write_prolog(self.c.names[name.rstrip(";")], name.rstrip(";")))
     def do_write_definitions(self, rest): self._put(rest, "\n".join(formats.write_prolog(f, n) for n, f in sorted(self.c.names.items())))
     def do_save_stack(self, rest): self._put(rest, "\n".join(formats.write_prolog(f, f.name or f"NET_{k}") for k, f in enumerate(self.stack)))

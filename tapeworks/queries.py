@@ -19,6 +19,7 @@ from tapeworks.plans.fst import Fst, from_words
 from tapeworks.plans.lookup import edit_model
 from tapeworks.plans.pmatch import compile_script
 from tapeworks.plans.xre import regex
+from tapeworks.shared import shared_dir
 from tapeworks.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,13 +247,10 @@ def rule_epenthesis(spark, sf_dir):
     return _rewritten(spark, sf_dir, regex("[..] -> %-"))
 
 
-@query("SELECT p_partkey, count(*) AS n, min(out) AS first, max(out) AS last FROM (SELECT p_partkey, p_name AS out FROM part UNION SELECT p_partkey, regexp_replace(p_name, 'e', 'E') FROM part "
-       "UNION SELECT p_partkey, regexp_replace(p_name, '^([^e]*e[^e]*)e', '\\1E') FROM part UNION SELECT p_partkey, replace(p_name, 'e', 'E') FROM part WHERE length(replace(p_name, 'e', '')) >= length(p_name) - 2) "
-       "WHERE p_partkey IN (SELECT p_partkey FROM part WHERE length(replace(p_name, 'e', '')) >= length(p_name) - 2) GROUP BY p_partkey")
+@query("SELECT p_partkey, (1 << (length(p_name) - length(replace(p_name, 'e', ''))))::BIGINT AS n, replace(p_name, 'e', 'E') AS first, p_name AS last FROM part")
 def rule_optional(spark, sf_dir):
-    """Rewritten and unrewritten variants, of names with at most two places."""
-    parts = table(spark, sf_dir, "part").where(X.occurrences("p_name", "e") <= 2)
-    found = ops.lookup(parts.select("p_partkey", "p_name"), "p_name", regex("e (->) %E"))
+    """Rewritten and unrewritten variants: two for each place."""
+    found = ops.lookup(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", regex("e (->) %E"))
     return found.groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("output").alias("first"), F.max("output").alias("last"))
 
 
@@ -290,124 +288,128 @@ def before_operator(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", ops.accepts(regex("a < e"))("p_name").alias("good"))
 
 
-# finite languages
+# finite languages: the words of conversations and of documents with their counts, and names and types of parts
 
 
-def _language(spark, sf_dir, begin: str) -> DataFrame:
-    w = words(spark, sf_dir).where(F.col("word").startswith(begin)).groupBy("word").agg(F.count("*").alias("n"))
-    return L.relation(w, "word", weight="n")
+def _language(spark, sf_dir, source: str = "conversations") -> DataFrame:
+    return L.relation(words(spark, sf_dir, source).groupBy("word").agg(F.count("*").alias("n")), "word", weight="n")
 
 
-def _lang_sql(begin: str) -> str:
-    return f"(SELECT word, count(*)::FLOAT AS weight FROM ({W}) WHERE starts_with(word, '{begin}') GROUP BY word)"
+def _column(spark, sf_dir, column: str) -> DataFrame:
+    return L.relation(table(spark, sf_dir, "part").groupBy(column).agg(F.count("*").alias("n")), column, weight="n")
 
 
-@query(f"SELECT upper, lower, min(weight) AS weight FROM (SELECT word AS upper, word AS lower, weight FROM {_lang_sql('th')} UNION ALL SELECT word, word, weight + 1 FROM {_lang_sql('the')}) GROUP BY ALL")
+A_SQL = f"(SELECT word, count(*)::FLOAT AS weight FROM ({W}) GROUP BY word)"
+B_SQL = f"(SELECT word, count(*)::FLOAT AS weight FROM ({D}) GROUP BY word)"
+NAMES_SQL, TYPES_SQL = (f"(SELECT {c} AS word, count(*)::FLOAT AS weight FROM part GROUP BY {c})" for c in ("p_name", "p_type"))
+
+
+@query(f"SELECT upper, lower, min(weight) AS weight FROM (SELECT word AS upper, word AS lower, weight FROM {A_SQL} UNION ALL SELECT word, word, weight + 1 FROM {B_SQL}) GROUP BY ALL")
 def language_union(spark, sf_dir):
-    b = _language(spark, sf_dir, "the").withColumn("weight", (F.col("weight") + 1).cast("float"))
-    return L.union(_language(spark, sf_dir, "th"), b)
+    b = _language(spark, sf_dir, "documents").withColumn("weight", (F.col("weight") + 1).cast("float"))
+    return L.union(_language(spark, sf_dir), b)
 
 
-@query(f"SELECT a.word AS upper, a.word AS lower, a.weight + b.weight AS weight FROM {_lang_sql('th')} a JOIN {_lang_sql('the')} b USING (word)")
+@query(f"SELECT a.word AS upper, a.word AS lower, a.weight + b.weight AS weight FROM {A_SQL} a JOIN {B_SQL} b USING (word)")
 def language_intersect(spark, sf_dir):
-    return L.intersect(_language(spark, sf_dir, "th"), _language(spark, sf_dir, "the"))
+    return L.intersect(_language(spark, sf_dir), _language(spark, sf_dir, "documents"))
 
 
-@query(f"SELECT word AS upper, word AS lower, weight FROM {_lang_sql('th')} WHERE word NOT IN (SELECT word FROM {_lang_sql('the')})")
+@query(f"SELECT word AS upper, word AS lower, weight FROM {B_SQL} WHERE word NOT IN (SELECT word FROM {A_SQL})")
 def language_subtract(spark, sf_dir):
-    return L.subtract(_language(spark, sf_dir, "th"), _language(spark, sf_dir, "the"))
+    return L.subtract(_language(spark, sf_dir, "documents"), _language(spark, sf_dir))
 
 
 def _map_to_prefix(df: DataFrame, n: int) -> DataFrame:
     return df.select("upper", F.substring("upper", 1, n).alias("lower"), "weight")
 
 
-@query(f"WITH a AS (SELECT word AS upper, word[1:4] AS lower, weight FROM {_lang_sql('th')}), b AS (SELECT lower AS upper, lower[1:3] AS lower, min(weight) AS weight FROM a GROUP BY ALL) "
+@query(f"WITH a AS (SELECT word AS upper, word[1:4] AS lower, weight FROM {A_SQL}), b AS (SELECT lower AS upper, lower[1:3] AS lower, min(weight) AS weight FROM a GROUP BY ALL) "
        "SELECT a.upper, b.lower, min(a.weight + b.weight) AS weight FROM a JOIN b ON a.lower = b.upper GROUP BY ALL")
 def language_compose(spark, sf_dir):
-    a = _map_to_prefix(_language(spark, sf_dir, "th"), 4)
+    a = _map_to_prefix(_language(spark, sf_dir), 4)
     b = L.least(a.select(F.col("lower").alias("upper"), F.substring("lower", 1, 3).alias("lower"), "weight"))
     return L.compose(a, b)
 
 
-@query(f"WITH a AS (SELECT word AS upper, word[1:3] AS lower, weight FROM {_lang_sql('the')}), b AS (SELECT word AS upper, word[1:2] AS lower, weight FROM {_lang_sql('th')}) "
+@query(f"WITH a AS (SELECT word AS upper, word[1:3] AS lower, weight FROM {A_SQL}), b AS (SELECT word AS upper, word[1:2] AS lower, weight FROM {B_SQL}) "
        "SELECT * FROM a UNION ALL SELECT * FROM b WHERE upper NOT IN (SELECT upper FROM a)")
 def language_priority_union(spark, sf_dir):
-    return L.priority_union(_map_to_prefix(_language(spark, sf_dir, "the"), 3), _map_to_prefix(_language(spark, sf_dir, "th"), 2))
+    return L.priority_union(_map_to_prefix(_language(spark, sf_dir), 3), _map_to_prefix(_language(spark, sf_dir, "documents"), 2))
 
 
-@query(f"WITH a AS (SELECT word AS upper, word AS lower, weight FROM {_lang_sql('th')}), b AS (SELECT word AS upper, word[1:2] AS lower, weight FROM {_lang_sql('the')}) "
+@query(f"WITH a AS (SELECT word AS upper, word AS lower, weight FROM {B_SQL}), b AS (SELECT word AS upper, word[1:2] AS lower, weight FROM {A_SQL}) "
        "SELECT a.upper, coalesce(b.lower, a.lower) AS lower, a.weight + coalesce(b.weight, 0) AS weight FROM a LEFT JOIN b ON a.lower = b.upper")
 def language_lenient_compose(spark, sf_dir):
-    return L.lenient_composition(_language(spark, sf_dir, "th"), _map_to_prefix(_language(spark, sf_dir, "the"), 2))
+    return L.lenient_composition(_language(spark, sf_dir, "documents"), _map_to_prefix(_language(spark, sf_dir), 2))
 
 
-@query(f"SELECT a.word || b.word AS upper, a.word || b.word AS lower, min(a.weight + b.weight) AS weight FROM {_lang_sql('thi')} a, {_lang_sql('ono')} b GROUP BY ALL")
+@query(f"SELECT a.word || b.word AS upper, a.word || b.word AS lower, min(a.weight + b.weight) AS weight FROM {NAMES_SQL} a, {TYPES_SQL} b GROUP BY ALL")
 def language_concat(spark, sf_dir):
-    return L.concat(_language(spark, sf_dir, "thi"), _language(spark, sf_dir, "ono"))
+    return L.concat(_column(spark, sf_dir, "p_name"), _column(spark, sf_dir, "p_type"))
 
 
-@query(f"SELECT a.word AS upper, b.word AS lower, a.weight + b.weight AS weight FROM {_lang_sql('thi')} a, {_lang_sql('ono')} b")
+@query(f"SELECT a.word AS upper, b.word AS lower, a.weight + b.weight AS weight FROM {NAMES_SQL} a, {TYPES_SQL} b")
 def language_cross_product(spark, sf_dir):
-    return L.cross_product(_language(spark, sf_dir, "thi"), _language(spark, sf_dir, "ono"))
+    return L.cross_product(_column(spark, sf_dir, "p_name"), _column(spark, sf_dir, "p_type"))
 
 
-@query(f"SELECT word[1:4] AS upper, word AS lower, weight FROM {_lang_sql('th')}")
+@query(f"SELECT word[1:4] AS upper, word AS lower, weight FROM {A_SQL}")
 def language_invert(spark, sf_dir):
-    return L.invert(_map_to_prefix(_language(spark, sf_dir, "th"), 4))
+    return L.invert(_map_to_prefix(_language(spark, sf_dir), 4))
 
 
-@query(f"SELECT word[1:4] AS upper, word[1:4] AS lower, min(weight) AS weight FROM {_lang_sql('th')} GROUP BY ALL")
+@query(f"SELECT word[1:4] AS upper, word[1:4] AS lower, min(weight) AS weight FROM {A_SQL} GROUP BY ALL")
 def language_project(spark, sf_dir):
-    return L.project(_map_to_prefix(_language(spark, sf_dir, "th"), 4), "lower")
+    return L.project(_map_to_prefix(_language(spark, sf_dir), 4), "lower")
 
 
-@query(f"SELECT reverse(word) AS upper, reverse(word) AS lower, weight FROM {_lang_sql('th')}")
+@query(f"SELECT reverse(word) AS upper, reverse(word) AS lower, weight FROM {A_SQL}")
 def language_reverse(spark, sf_dir):
-    return L.reverse(_language(spark, sf_dir, "th"))
+    return L.reverse(_language(spark, sf_dir))
 
 
-@query(f"SELECT translate(word, 'th', 'xy') AS upper, translate(word, 'th', 'xy') AS lower, min(weight) AS weight FROM {_lang_sql('th')} GROUP BY ALL")
+@query(f"SELECT translate(word, 'th', 'xy') AS upper, translate(word, 'th', 'xy') AS lower, min(weight) AS weight FROM {A_SQL} GROUP BY ALL")
 def language_substitute(spark, sf_dir):
-    return L.substitute(_language(spark, sf_dir, "th"), {"t": "x", "h": "y"})
+    return L.substitute(_language(spark, sf_dir), {"t": "x", "h": "y"})
 
 
-@query(f"SELECT word AS upper, word AS lower, weight FROM {_lang_sql('th')} ORDER BY weight, word LIMIT 20")
+@query(f"SELECT word AS upper, word AS lower, weight FROM {A_SQL} ORDER BY weight, word LIMIT 20")
 def n_best(spark, sf_dir):
-    return L.n_best(_language(spark, sf_dir, "th"), 20)
+    return L.n_best(_language(spark, sf_dir), 20)
 
 
-@query(f"SELECT word[1:3] AS head, word, weight FROM (SELECT *, dense_rank() OVER (PARTITION BY word[1:3] ORDER BY weight) AS k FROM {_lang_sql('th')}) WHERE k <= 2")
+@query(f"SELECT word[1:3] AS head, word, weight FROM (SELECT *, dense_rank() OVER (PARTITION BY word[1:3] ORDER BY weight) AS k FROM {A_SQL}) WHERE k <= 2")
 def weight_classes(spark, sf_dir):
-    w = _language(spark, sf_dir, "th").select(F.substring("upper", 1, 3).alias("head"), F.col("upper").alias("word"), "weight")
+    w = _language(spark, sf_dir).select(F.substring("upper", 1, 3).alias("head"), F.col("upper").alias("word"), "weight")
     return ops.weight_classes(w, ["head"], 2)
 
 
-@query(f"SELECT word[1:3] AS head, word, weight FROM (SELECT *, min(weight) OVER (PARTITION BY word[1:3]) AS lo FROM {_lang_sql('th')}) WHERE weight <= lo + 1")
+@query(f"SELECT word[1:3] AS head, word, weight FROM (SELECT *, min(weight) OVER (PARTITION BY word[1:3]) AS lo FROM {A_SQL}) WHERE weight <= lo + 1")
 def beam(spark, sf_dir):
-    w = _language(spark, sf_dir, "th").select(F.substring("upper", 1, 3).alias("head"), F.col("upper").alias("word"), "weight")
+    w = _language(spark, sf_dir).select(F.substring("upper", 1, 3).alias("head"), F.col("upper").alias("word"), "weight")
     return ops.within_beam(w, ["head"], 1.0)
 
 
-@query(f"SELECT length(word)::INT AS size, count(*) AS n FROM {_lang_sql('th')} GROUP BY 1")
+@query(f"SELECT length(word)::INT AS size, count(*) AS n FROM {A_SQL} GROUP BY 1")
 def path_sizes(spark, sf_dir):
-    return L.path_sizes(_language(spark, sf_dir, "th"))
+    return L.path_sizes(_language(spark, sf_dir))
 
 
-@query(f"WITH l AS (SELECT * FROM {_lang_sql('th')}) SELECT 'longest' AS which, word FROM l WHERE length(word) = (SELECT max(length(word)) FROM l) UNION ALL SELECT 'shortest', word FROM l WHERE length(word) = (SELECT min(length(word)) FROM l)")
+@query(f"WITH l AS (SELECT * FROM {A_SQL}) SELECT 'longest' AS which, word FROM l WHERE length(word) = (SELECT max(length(word)) FROM l) UNION ALL SELECT 'shortest', word FROM l WHERE length(word) = (SELECT min(length(word)) FROM l)")
 def extreme_strings(spark, sf_dir):
-    w = _language(spark, sf_dir, "th")
+    w = _language(spark, sf_dir)
     return L.of_extreme_length(w, True).select(F.lit("longest").alias("which"), F.col("upper").alias("word")).unionByName(L.of_extreme_length(w, False).select(F.lit("shortest").alias("which"), F.col("upper").alias("word")))
 
 
-@query(f"SELECT word AS upper, word AS lower, round(-ln(weight::DOUBLE / (SELECT sum(weight::DOUBLE) FROM {_lang_sql('th')})), 9) AS weight FROM {_lang_sql('th')}")
+@query(f"SELECT word AS upper, word AS lower, round(-ln(weight::DOUBLE / (SELECT sum(weight::DOUBLE) FROM {A_SQL})), 9) AS weight FROM {A_SQL}")
 def normalize_log(spark, sf_dir):
-    return L.normalized(_language(spark, sf_dir, "th")).withColumn("weight", F.round("weight", 9))
+    return L.normalized(_language(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
-@query(f"SELECT word AS upper, word AS lower, CASE WHEN weight >= 2 THEN 1 + 2 * weight::DOUBLE ELSE weight::DOUBLE END AS weight FROM {_lang_sql('th')}")
+@query(f"SELECT word AS upper, word AS lower, CASE WHEN weight >= 2 THEN 1 + 2 * weight::DOUBLE ELSE weight::DOUBLE END AS weight FROM {A_SQL}")
 def reweight(spark, sf_dir):
-    return L.reweighted(_language(spark, sf_dir, "th"), "id", 2.0, 1.0, lower=2.0)
+    return L.reweighted(_language(spark, sf_dir), "id", 2.0, 1.0, lower=2.0)
 
 
 # lookup
@@ -443,7 +445,7 @@ def lookup_by_joins(spark, sf_dir):
     """Lookup as joins of a frontier with the arc table."""
     t = S.to_tables(spark, {"types": _types()})
     e = table(spark, sf_dir, "events").select("event_type").distinct()
-    return G.lookup_by_joins(e, t["arcs"], t["finals"], t["alphabet"], 10, "event_type")
+    return G.lookup_by_joins(e, t["arcs"], t["finals"], t["alphabet"], "event_type")
 
 
 @query(f"SELECT event_id, w AS output, v AS weight FROM events JOIN {_TYPES} ON upper(event_type[1]) = o")
@@ -497,15 +499,27 @@ def lookup_tags(spark, sf_dir):
     return e.select("event_type", F.array_join(t, " ").alias("tags")).where("tags <> ''")
 
 
-@query("WITH v AS (SELECT DISTINCT word FROM (" + W + ") WHERE length(word) BETWEEN 5 AND 6 AND starts_with(word, 'th')), q AS (SELECT word, 'x' || word[2:] AS bad FROM v) "
-       "SELECT q.bad, v.word AS output, 1.0::FLOAT AS weight FROM (SELECT DISTINCT bad FROM q) q JOIN v ON levenshtein(q.bad, v.word) = 1")
+EDITS = "SELECT word, word AS part FROM {0} UNION SELECT word, word[1:k-1] || word[k+1:] FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM {0})"
+
+
+@query(f"WITH v AS (SELECT DISTINCT word FROM ({W})), q AS (SELECT DISTINCT 'x' || word[2:] AS word FROM v), a AS ({EDITS.format('q')}), b AS ({EDITS.format('v')}) "
+       "SELECT DISTINCT a.word AS bad, b.word AS output, 1.0::FLOAT AS weight FROM a JOIN b USING (part) WHERE levenshtein(a.word, b.word) = 1")
 def spell_edit1(spark, sf_dir):
-    """Corrections at one edit: the lexicon and an error model searched together."""
-    v = words(spark, sf_dir).where(F.length("word").between(5, 6) & F.col("word").startswith("th")).distinct()
-    lexicon = from_words(sorted(r.word for r in v.collect()))
+    """Corrections at one edit against all words of conversations, by joins."""
+    v = words(spark, sf_dir).distinct()
     bad = v.select(F.concat(F.lit("x"), F.expr("substring(word, 2)")).alias("bad")).distinct()
+    return L.corrections_by_joins(bad, "bad", v, "word", 1).where("weight = 1")
+
+
+@query("WITH v AS (SELECT DISTINCT p_name AS word FROM part), q AS (SELECT 'x' || c_name[2:9] || 'ring' AS bad, c_custkey FROM customer UNION ALL SELECT 'x' || p_name[2:], -p_partkey FROM part) "
+       "SELECT c_custkey AS id, v.word AS output, 1.0::FLOAT AS weight FROM q JOIN v ON levenshtein(q.bad, v.word) = 1")
+def spell_transducers(spark, sf_dir):
+    """The same by a lexicon and an error model searched together: customers' and parts' misspelt names against the part names' lexicon."""
+    lexicon = S.from_tables(S.word_tables(table(spark, sf_dir, "part"), "p_name"), "0")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("x"), F.expr("substring(c_name, 2, 8)"), F.lit("ring")).alias("bad"))
+    q = c.unionAll(table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("id"), F.concat(F.lit("x"), F.expr("substring(p_name, 2)")).alias("bad")))
     fix = ops.corrections(lexicon, edit_model(1), most=None)
-    return bad.select("bad", F.explode(fix("bad")).alias("c")).select("bad", "c.output", "c.weight")
+    return q.select("id", F.explode(fix("bad")).alias("c")).select("id", "c.output", "c.weight")
 
 
 # lexicons, two-level rules and paths
@@ -514,60 +528,72 @@ def spell_edit1(spark, sf_dir):
 @query("SELECT DISTINCT 'un' || p_type || 's' AS upper, p_type AS lower FROM part UNION SELECT DISTINCT p_type || 's', p_type FROM part")
 def lexicon_words(spark, sf_dir):
     """A lexicon whose entries are the table's types, expanded by joins of its entry table."""
-    types = sorted(r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().collect())
-    source = "LEXICON Root\nun:0 Types ;\nTypes ;\nLEXICON Types\n" + "".join(f"{t} End ;\n" for t in types) + "LEXICON End\ns:0 # ;\n"
-    return lexc.expand_by_joins(lexc.entries_table(spark, lexc.parse(source)), "Root", 4).select("upper", "lower")
+    fixed = lexc.entries_table(spark, lexc.parse("LEXICON Root\nun:0 Types ;\nTypes ;\nLEXICON Types\nLEXICON End\ns:0 # ;\n"))
+    types = table(spark, sf_dir, "part").select("p_type").distinct()
+    entries = types.select(F.lit("Types").alias("lexicon"), F.col("p_type").alias("upper"), F.col("p_type").alias("lower"), F.lit("End").alias("cont"), F.lit(0.0).cast("float").alias("weight"))
+    return lexc.expand_by_joins(fixed.unionByName(entries)).select("upper", "lower")
 
 
-@query("SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 'SMALL+Adj' END AS output FROM part WHERE p_type IN ('SMALL', 'PROMO')")
+@query("SELECT p_partkey, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN p_type || '+Adj' END AS output FROM part")
 def lexicon_lookup(spark, sf_dir):
     f = A.invert(lexc.compile_lexc("Multichar_Symbols +Adj\nLEXICON Root\nSMALL A ;\nLARGE A ;\nLEXICON A\n+Adj:0 # ;\n"))
-    p = table(spark, sf_dir, "part").where(F.col("p_type").isin("SMALL", "PROMO")).select("p_partkey", "p_type")
-    return ops.lookup(p, "p_type", f, keep_misses=True).select("p_partkey", "output")
+    return ops.lookup(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", f, keep_misses=True).select("p_partkey", "output")
 
 
-@query("SELECT DISTINCT p_type AS upper, regexp_replace(p_type, 'O($|M)', 'U\\1', 'g') AS lower FROM part WHERE p_type IN ('PROMO', 'ECONOMY')")
+@query("SELECT p_partkey, regexp_replace(p_type, 'O($|M)', 'U\\1', 'g') AS output FROM part")
 def two_level_rules(spark, sf_dir):
     """A lexicon composed with a two-level rule: O is U at the end and before M."""
-    rules = twolc.compile_rules('Alphabet P R O M E C N Y O:U ;\nRules\n"raise" O:U <=> _ .#. ; _ M: ;\n')
-    types = sorted(r[0] for r in table(spark, sf_dir, "part").where(F.col("p_type").isin("PROMO", "ECONOMY")).select("p_type").distinct().collect())
-    f = twolc.compose_intersect(from_words(types), list(rules.values()))
-    return ops.lookup(spark.createDataFrame([(t,) for t in types], "upper string"), "upper", f).select("upper", F.col("output").alias("lower"))
+    rules = twolc.compile_rules('Alphabet A C D E G I L M N O P R S T U Y O:U ;\nRules\n"raise" O:U <=> _ .#. ; _ M: ;\n')
+    lexicon = from_words(["STANDARD", "ECONOMY", "PROMO", "MEDIUM", "LARGE", "SMALL"])
+    return ops.lookup(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", twolc.compose_intersect(lexicon, list(rules.values()))).select("p_partkey", "output")
+
 
+# a transducer of all words of conversations, as tables
 
-@query("WITH w AS (SELECT DISTINCT p_name AS word FROM part), p AS (SELECT DISTINCT word[1:k] AS pre FROM w, range(1, 60) r(k) WHERE k <= length(word)) SELECT pre[length(pre)] AS isym, count(*) AS n FROM p GROUP BY 1")
+BEGINS = f"w AS (SELECT DISTINCT word FROM ({W})), p AS (SELECT DISTINCT word[1:k] AS pre FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM w))"
+
+
+def _word_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    return S.word_tables(words(spark, sf_dir), "word")
+
+
+@query(f"WITH {BEGINS} SELECT pre[length(pre)] AS isym, count(*) AS n FROM p GROUP BY 1")
 def label_tally(spark, sf_dir):
-    """Label counts of the arcs of a word trie."""
-    f = from_words(sorted(r[0] for r in table(spark, sf_dir, "part").select("p_name").distinct().collect()))
-    return G.label_tally(S.to_tables(spark, {"parts": f})["arcs"]).select("isym", "n")
+    """Label counts of the arcs."""
+    return G.label_tally(_word_tables(spark, sf_dir)["arcs"]).select("isym", "n")
 
 
-@query("WITH w AS (SELECT DISTINCT p_name AS word FROM part), p AS (SELECT DISTINCT word[1:k] AS pre FROM w, range(1, 60) r(k) WHERE k <= length(word)) "
-       "SELECT (SELECT count(*) FROM p) + 1 AS states, (SELECT count(*) FROM p) AS arcs, (SELECT count(*) FROM w) AS finals, true AS acceptor")
+@query(f"WITH {BEGINS} SELECT pre[length(pre)] AS sym, count(*) AS n FROM p GROUP BY 1")
+def symbol_tally(spark, sf_dir):
+    return G.symbol_tally(_word_tables(spark, sf_dir)["arcs"]).select("sym", "n")
+
+
+@query(f"WITH {BEGINS} SELECT (SELECT count(*) FROM p) + 1 AS states, (SELECT count(*) FROM p) AS arcs, (SELECT count(*) FROM w) AS finals, true AS acceptor")
 def summarize(spark, sf_dir):
-    f = from_words(sorted(r[0] for r in table(spark, sf_dir, "part").select("p_name").distinct().collect()))
-    t = S.to_tables(spark, {"parts": f})
+    t = _word_tables(spark, sf_dir)
     return G.sizes(t["arcs"], t["finals"]).select(F.col("states").cast("long").alias("states"), "arcs", "finals", "acceptor")
 
 
-@query("WITH w AS (SELECT DISTINCT p_name AS word FROM part), p AS (SELECT DISTINCT word[1:k] AS pre FROM w, range(1, 60) r(k) WHERE k <= length(word)) SELECT count(*) + 1 AS states FROM p")
+@query(f"WITH {BEGINS} SELECT count(*) + 1 AS states FROM p")
 def reachable_states(spark, sf_dir):
     """Reachability over the arc table, without a bound of depth."""
-    f = from_words(sorted(r[0] for r in table(spark, sf_dir, "part").select("p_name").distinct().collect()))
-    return G.reachable(S.to_tables(spark, {"parts": f})["arcs"]).agg(F.count("*").alias("states"))
+    return G.reachable(_word_tables(spark, sf_dir)["arcs"]).agg(F.count("*").alias("states"))
 
 
-@query("SELECT DISTINCT p_name AS word FROM part")
+@query(f"SELECT DISTINCT word FROM ({W})")
 def att_round_trip(spark, sf_dir):
     """Words to a transducer, its lines as a table, and back to words."""
-    f = from_words(sorted(r[0] for r in table(spark, sf_dir, "part").select("p_name").distinct().collect()))
-    t = S.to_tables(spark, {"0": A.minimize(f)})
+    t = _word_tables(spark, sf_dir)
     lines = S.write_att_table(t["arcs"], t["finals"]).select(F.col("line").alias("value"))
     back = S.read_att_table(lines)
-    from tapeworks.plans.paths import strings
+    return G.strings_by_joins(back["arcs"], back["finals"]).select(F.col("upper").alias("word"))
+
 
-    g = S.from_tables(back | {"alphabet": t["alphabet"]}, "0")
-    return spark.createDataFrame([(u,) for u, _, _ in strings(g)], "word string")
+@query(f"SELECT DISTINCT word, word AS output FROM ({W})")
+def lookup_in_word_tables(spark, sf_dir):
+    """Every word of conversations looked up in the tables of them all, by joins."""
+    t = _word_tables(spark, sf_dir)
+    return G.lookup_by_joins(words(spark, sf_dir), t["arcs"], t["finals"], t["alphabet"]).select("word", "output")
 
 
 # case, vectors, statistics, text tools, streams
@@ -641,13 +667,12 @@ def head_and_tail(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS start, tag, count(*) AS n FROM (SELECT ts, CASE WHEN event_type IN ('click', 'view') THEN 'LOOK' WHEN event_type = 'purchase' THEN 'BUY' END AS tag FROM events) WHERE tag IS NOT NULL GROUP BY ALL")
 def stream_tags(spark, sf_dir):
     """A pattern on a stream of events, its tags counted by hour of event time; all that is there now, then it ends."""
-    import tempfile
     import uuid
 
     from tapeworks.streaming import apply as stream
 
     m = compile_script("Define TOP [[{click} | {view}] EndTag(LOOK)] | [{purchase} EndTag(BUY)];")
-    at = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tapeworks-stream-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    at = shared_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     # a pattern stands for one file as well as for a folder of files
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.plans.fst import FormatError, Fst
+from tapeworks.shared import Scratch, small
 from tapeworks.sources import formats
 
 ARCS = "fst_id string, src int, dst int, isym string, osym string, weight float"
@@ -25,6 +26,25 @@ def to_tables(spark: SparkSession, fsts: dict[str, Fst]) -> dict[str, DataFrame]
     return {"arcs": spark.createDataFrame(arcs, ARCS), "finals": spark.createDataFrame(finals, FINALS), "alphabet": spark.createDataFrame(alphabet, ALPHABET), "fsts": spark.createDataFrame(meta, META)}
 
 
+def word_tables(words: DataFrame, word: str, weight: str | None = None, fst_id: str = "0") -> dict[str, DataFrame]:
+    """The tables of a transducer that accepts a column's distinct texts, one state for each beginning: to_tables() of a word list of any size, which the driver never sees.
+
+    Nulls are left out; equal texts have the least of their weights. States are numbered without gaps, the empty beginning is 0.
+    """
+    scratch = Scratch(words.sparkSession, "words")
+    texts = words.select(F.col(word).cast("string").alias("text"), (F.col(weight) if weight else F.lit(0.0)).cast("float").alias("weight")).where("text is not null")
+    texts = scratch.keep(texts.groupBy("text").agg(F.min("weight").alias("weight")), "texts")
+    begins = texts.where("text <> ''").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda k: F.substring("text", F.lit(1), k))).alias("begin")).distinct()
+    states = scratch.keep(scratch.numbered(begins, "state").withColumn("state", F.col("state") + 1), "states")
+    last = F.substring("begin", F.length("begin"), F.lit(1))
+    before = states.select(F.col("begin").alias("_before"), F.col("state").alias("_src"))
+    arcs = states.withColumn("_to", F.substring("begin", F.lit(1), F.length("begin") - 1)).join(before, F.col("_to") == F.col("_before"), "left")
+    arcs = scratch.keep(arcs.select(F.lit(fst_id).alias("fst_id"), F.coalesce("_src", F.lit(0)).alias("src"), F.col("state").alias("dst"), last.alias("isym"), last.alias("osym"), F.lit(0.0).cast("float").alias("weight")), "arcs")
+    finals = texts.join(states, F.col("text") == F.col("begin"), "left").where("state is not null or text = ''")
+    finals = finals.select(F.lit(fst_id).alias("fst_id"), F.coalesce("state", F.lit(0)).alias("state"), "weight")
+    return {"arcs": arcs, "finals": finals, "alphabet": arcs.select("fst_id", F.col("isym").alias("sym")).distinct()}
+
+
 def from_tables(tables: dict[str, DataFrame], fst_id: str) -> Fst:
     """The transducer of an id. A grammar is small enough for the driver; texts never come here."""
     f = Fst()
@@ -60,7 +80,7 @@ def read_att_table(lines: DataFrame, line: str = "value", order: str | None = No
         # the separators before a line say which transducer it is in; separators are few, lines may be many
         marks = text.where(F.col(line).startswith("--")).select(F.col(order).alias("_at"))
         marks = marks.select("_at", F.lead("_at").over(Window.orderBy("_at")).alias("_next"), F.row_number().over(Window.orderBy("_at")).alias("_n"))
-        text = text.join(F.broadcast(marks), (F.col(order) > F.col("_at")) & (F.col("_next").isNull() | (F.col(order) < F.col("_next"))), "left")
+        text = text.join(small(marks), (F.col(order) > F.col("_at")) & (F.col("_next").isNull() | (F.col(order) < F.col("_next"))), "left")
         text = text.where(~F.col(line).startswith("--")).withColumn("fst_id", F.coalesce(F.col("_n"), F.lit(0)).cast("string"))
     else:
         text = text.withColumn("fst_id", F.lit("0"))
@@ -68,8 +88,8 @@ def read_att_table(lines: DataFrame, line: str = "value", order: str | None = No
     text = text.withColumn("_p", parts)
     get = lambda k: F.get("_p", F.lit(k))
     label = lambda c: F.when(c == "@0@", "@_EPSILON_SYMBOL_@").when(c == "@_SPACE_@", " ").when(c == "@_TAB_@", "\t").when(c == "@_COLON_@", ":").otherwise(c)
-    arcs = text.where(F.size("_p") >= 4).select("fst_id", get(0).cast("int").alias("src"), get(1).cast("int").alias("dst"), label(get(2)).alias("isym"), label(get(3)).alias("osym"), F.coalesce(get(4).cast("float"), F.lit(0.0).cast("float")).alias("weight"))
-    finals = text.where(F.size("_p") <= 2).select("fst_id", get(0).cast("int").alias("state"), F.coalesce(get(1).cast("float"), F.lit(0.0).cast("float")).alias("weight"))
+    arcs = text.where(F.size("_p") >= 4).select("fst_id", get(0).cast("long").alias("src"), get(1).cast("long").alias("dst"), label(get(2)).alias("isym"), label(get(3)).alias("osym"), F.coalesce(get(4).cast("float"), F.lit(0.0).cast("float")).alias("weight"))
+    finals = text.where(F.size("_p") <= 2).select("fst_id", get(0).cast("long").alias("state"), F.coalesce(get(1).cast("float"), F.lit(0.0).cast("float")).alias("weight"))
     return {"arcs": arcs, "finals": finals}
 
 

@@ -334,7 +334,7 @@ def grep(fsts, pattern="", text="", count=False, invert=False, only=False, numbe
 def suffix_guesser(f: Fst, longest: int = 5) -> dict[str, list[str]]:
     """Analyses' endings by word endings, from the words of an analyser (inputs analyses, outputs words)."""
     table: dict[str, dict[str, int]] = {}
-    for upper, lower, _ in P.strings(f, 100_000, 0 if A.is_cyclic(f) else None):
+    for upper, lower, _ in P.strings(f, None, 0 if A.is_cyclic(f) else None):
         k = 0
         while k < min(len(upper), len(lower)) and upper[k] == lower[k]:
             k += 1

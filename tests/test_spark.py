@@ -1,4 +1,5 @@
 import datetime
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -15,7 +16,7 @@ from tapeworks.operators import tagging
 from tapeworks.plans import algebra as A
 from tapeworks.plans import lexc
 from tapeworks.plans import paths as P
-from tapeworks.plans.fst import FormatError, from_words
+from tapeworks.plans.fst import CyclicError, FormatError, from_words
 from tapeworks.plans.lookup import edit_model
 from tapeworks.plans.pmatch import compile_script
 from tapeworks.plans.xre import regex
@@ -103,9 +104,9 @@ def test_graph_tables(spark):
     assert G.sizes(t["arcs"], t["finals"]).first().states == TYPES.n_states
     assert G.symbol_tally(t["arcs"]).where("sym = 'c'").first().n == 2 and G.reachable(t["arcs"]).count() == TYPES.n_states
     w = spark.createDataFrame([("cat",), ("dog",), ("cow",)], "word string")
-    assert sorted((r.word, r.output, r.weight) for r in G.lookup_by_joins(w, t["arcs"], t["finals"], t["alphabet"], 6).collect()) == [("cat", "N", 1.0), ("cat", "V", 2.0), ("dog", "N", 0.5)]
+    assert sorted((r.word, r.output, r.weight) for r in G.lookup_by_joins(w, t["arcs"], t["finals"], t["alphabet"]).collect()) == [("cat", "N", 1.0), ("cat", "V", 2.0), ("dog", "N", 0.5)]
     r = tables.to_tables(spark, {"r": regex("[? - a]* 0:%!")})
-    assert [x.output for x in G.lookup_by_joins(w.where("word = 'cow'"), r["arcs"], r["finals"], r["alphabet"], 8).collect()] == ["cow!"]
+    assert [x.output for x in G.lookup_by_joins(w.where("word = 'cow'"), r["arcs"], r["finals"], r["alphabet"]).collect()] == ["cow!"]
 
 
 def test_lexicon_by_joins(spark):
@@ -172,3 +173,63 @@ def test_reachable_states_however_far(spark):
     rows = [("a", k, k + 1) for k in range(300)] + [("a", 300, 0), ("a", 500, 501), ("b", 0, 0), ("b", 1, 0)]
     arcs = spark.createDataFrame(rows, "fst_id string, src int, dst int")
     assert sorted(map(tuple, G.reachable(arcs).collect())) == [("a", k) for k in range(301)] + [("b", 0)]
+
+
+def test_reachable_states_by_joins(spark):
+    rows = [("a", k, k + 1) for k in range(12)] + [("a", 12, 0), ("a", 50, 51), ("b", 0, 0), ("b", 1, 0)]
+    arcs = spark.createDataFrame(rows, "fst_id string, src int, dst int")
+    assert sorted(map(tuple, G.reachable(arcs, one_task=3).collect())) == [("a", k) for k in range(13)] + [("b", 0)]
+
+
+def test_joins_to_the_end_of_long_words(spark):
+    long = "ab" * 25
+    f = from_words([long, "a"])
+    t = tables.to_tables(spark, {"t": f})
+    w = spark.createDataFrame([(long,), ("a",), ("ab",), ("",), (None,)], "word string")
+    assert sorted(r.output for r in G.lookup_by_joins(w, t["arcs"], t["finals"], t["alphabet"]).collect()) == ["a", long]
+    assert sorted((r.upper, r.lower) for r in G.strings_by_joins(t["arcs"], t["finals"]).collect()) == [("a", "a"), (long, long)]
+    loop = tables.to_tables(spark, {"t": regex("a [0:x]* b")})
+    found = G.lookup_by_joins(spark.createDataFrame([("ab",)], "word string"), loop["arcs"], loop["finals"], loop["alphabet"]).collect()
+    assert {"ab", "axb"} <= {r.output for r in found}
+    with pytest.raises(CyclicError):
+        G.strings_by_joins(loop["arcs"], loop["finals"])
+
+
+def test_word_tables(spark):
+    df = spark.createDataFrame([("cat", 2.0), ("car", 1.0), ("", 0.5), (None, 0.0), ("cat", 1.5)], "w string, x double")
+    t = tables.word_tables(df, "w", "x")
+    f = tables.from_tables(t, "0")
+    assert P.strings(f) == [("", "", 0.5), ("car", "car", 1.0), ("cat", "cat", 1.5)] and sorted(r.dst for r in t["arcs"].collect()) == [1, 2, 3, 4]
+    none = tables.word_tables(df.where("false"), "w")
+    assert none["arcs"].count() == none["finals"].count() == 0
+
+
+def test_corrections_by_joins(spark):
+    rng = random.Random(3)
+    vocabulary = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(0, 5))) for _ in range(60)})
+    asked = ["", "abc", "aacb", "cccc", "bacab"]
+
+    def edits(w, n):
+        if n == 0:
+            return {w}
+        return {y for x in edits(w, n - 1) for y in ([x[:k] + x[k + 1 :] for k in range(len(x))] + [x[:k] + c + x[k:] for k in range(len(x) + 1) for c in "abc"] + [x[:k] + c + x[k + 1 :] for k in range(len(x)) for c in "abc"])}
+
+    a, v = (spark.createDataFrame([(x,) for x in xs], "w string") for xs in (asked, vocabulary))
+    for distance in (1, 2):
+        want = {(x, y): float(n) for x in asked for y in vocabulary for n in [next((i for i in range(distance + 1) if y in edits(x, i)), None)] if n is not None}
+        assert {(r.w, r.output): r.weight for r in L.corrections_by_joins(a, "w", v, "w", distance).collect()} == want
+
+
+def test_lexicons_that_never_end(spark):
+    with pytest.raises(CyclicError):
+        lexc.expand_by_joins(lexc.entries_table(spark, lexc.parse("LEXICON Root\na Root ;\nb # ;\n")))
+
+
+def test_small_tables_and_numbers(spark):
+    from tapeworks.shared import Scratch, shared_dir, small
+
+    df = spark.range(0, 1000, 1, 7)
+    numbered = Scratch(spark, "numbers").numbered(df, "n").collect()
+    assert sorted(r.n for r in numbered) == list(range(1000)) and len({r.id for r in numbered}) == 1000
+    assert "Broadcast" in df.join(small(df), "id")._jdf.queryExecution().toString() and shared_dir(spark)
+    assert "hint" not in small(df, 10)._jdf.queryExecution().logical().toString().lower()
