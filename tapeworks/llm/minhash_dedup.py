@@ -6,6 +6,7 @@ Such a pair must meet in the first K - MATCHES + 1 pairs of any common order (pr
 pairs, the rarest in the corpus, and skips those that no other document has. In a list everybody first meets a few hosts: the member whose pairs are
 the most common ones, and one that a hash chooses. Links so found join into components. After that the members of a list are compared in blocks, on long
 sketches, wherever they lie in different components, each pair in one of its lists only; what agrees enough is counted on the full sets, so that none is lost.
+Two blocks at a time are dealt out, so that a list of any length is spread over tasks.
 """
 
 from __future__ import annotations
@@ -95,51 +96,37 @@ def sets_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x) for x in sets], pa.binary())], names=["doc", "hashes", "sketch"])
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pair, doc, part, mask, signature, sketch) come sorted by pair and part; blocks of at most MEMBERS rows of one pair: (pair, number of the block, columns)."""
-    rows, pair, number = [], None, -1
-
-    def block():
-        docs, parts, masks, signatures, sketches = zip(*rows, strict=True)
-        data = [np.array(x, np.int64).tobytes() for x in (docs, parts, masks)] + [b"".join(signatures), b"".join(sketches)]
-        return pa.RecordBatch.from_arrays([pa.array([pair]), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], names=["pair", "block", "docs", "parts", "masks", "signatures", "sketches"])
-
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if rows and (row[0] != pair or len(rows) >= MEMBERS):
-                yield block()
-                rows = []
-            if not rows:
-                number = number + 1 if row[0] == pair else 0
-                pair = row[0]
-            rows.append(row[1:])
-    if rows:
-        yield block()
-
-
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows are two blocks of one list; the pairs (a, b) from different components whose sketches agree enough, in the first list that both are posted in."""
+    """Rows (pair, low, high, own block, doc, part, mask, signature, sketch) come sorted by pair, low and high. For each such three, the pairs (a, b) from different
+    components whose sketches agree enough, one from either block, in the first list that both are posted in."""
+
+    def links(group: tuple, rows: list) -> pa.RecordBatch:
+        pair, low, high = group
+        block, docs, parts, masks = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
+        signatures, sketches = (np.frombuffer(b"".join(r[k] for r in rows), t).reshape(len(rows), -1) for k, t in ((4, np.uint32), (5, np.uint8)))
+        x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        open_ = parts[x][:, None] != parts[y][None, :]
+        if low == high:
+            open_ &= docs[x][:, None] < docs[y][None, :]
+        p, q = (z[k] for z, k in zip((x, y), np.nonzero(open_), strict=True))
+        near = [(sketches[p[k : k + BLOCK]] == sketches[q[k : k + BLOCK]]).sum(axis=1) for k in range(0, len(p), BLOCK)]
+        good = np.concatenate(near) >= SKETCH_MATCHES if near else np.zeros(0, bool)
+        p, q = p[good], q[good]
+        both = (signatures[p] == signatures[q]) & ((masks[p] & masks[q])[:, None] >> np.arange(K) & 1 == 1)
+        first = both.argmax(axis=1) == pair >> 32
+        p, q = docs[p[first]], docs[q[first]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    now, rows = None, []
     for batch in batches:
-        for r in range(batch.num_rows):
-            pair, i, j = (batch.column(c)[r].as_py() for c in range(3))
-            x, y = ([batch.column(c)[r].as_py() for c in range(at, at + 5)] for at in (3, 8))
-            a, b = (np.frombuffer(z[0], np.int64) for z in (x, y))
-            pa_, pb = (np.frombuffer(z[1], np.int64) for z in (x, y))
-            open_ = pa_[:, None] != pb[None, :]
-            open_ &= a[:, None] < b[None, :] if i == j else True
-            if not open_.any():
-                continue
-            p, q = np.nonzero(open_)
-            sx, sy = (np.frombuffer(z[4], np.uint8).reshape(-1, SKETCH) for z in (x, y))
-            cx, cy = (np.frombuffer(z[3], np.uint32).reshape(-1, K) for z in (x, y))
-            mx, my = (np.frombuffer(z[2], np.int64) for z in (x, y))
-            good = np.concatenate([(sx[p[k : k + BLOCK]] == sy[q[k : k + BLOCK]]).sum(axis=1) for k in range(0, len(p), BLOCK)]) >= SKETCH_MATCHES
-            p, q = p[good], q[good]
-            both = (cx[p] == cy[q]) & ((mx[p] & my[q])[:, None] >> np.arange(K) & 1 == 1)
-            first = both.argmax(axis=1) == pair >> 32
-            p, q = a[p[first]], b[q[first]]
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+        for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            if row[:3] != now:
+                if rows:
+                    yield links(now, rows)
+                now, rows = row[:3], []
+            rows.append(row[3:])
+    if rows:
+        yield links(now, rows)
 
 
 def confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -207,15 +194,20 @@ class Job:
     def rest(self, lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         """Links between members of a list that lie in different components."""
         placed = lists.join(labels.withColumnRenamed("v", "doc"), "doc", "left").select("pair", "doc", "mask", F.coalesce("component", "doc").alias("part"))
-        split = placed.groupBy("pair").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("pair")
-        open_ = placed.join(split, "pair").join(self.heads, "doc").join(sets.select("doc", "sketch"), "doc")
+        # the component with most members of a list needs no comparison within itself; both it and the others are cut into blocks by a hash
+        sizes = placed.groupBy("pair", "part").agg(F.count("*").alias("n")).groupBy("pair").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+        few = F.col("all") <= MEMBERS
+        cut = lambda n: F.ceil(n / MEMBERS)
+        sizes = sizes.where("most < all").select("pair", "main", F.when(few, 0).otherwise(cut(F.col("most"))).alias("mains"), F.when(few, 1).otherwise(cut(F.col("all") - F.col("most"))).alias("others"))
+        rows = placed.join(sizes, "pair")
+        turn, is_main = F.xxhash64("doc"), (F.col("part") == F.col("main")) & (F.col("mains") > 0)
+        rows = rows.withColumn("own", F.when(is_main, F.pmod(turn, "mains")).otherwise(F.col("mains") + F.pmod(turn, "others")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("others") - 1)))
+        rows = rows.select("pair", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc", "part", "mask")
+        rows = rows.join(self.heads, "doc").join(sets.select("doc", "sketch"), "doc").select("pair", "low", "high", "own", "doc", "part", "mask", "signature", "sketch")
         n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = open_.select("pair", "doc", "part", "mask", "signature", "sketch").repartition(n, "pair").sortWithinPartitions("pair", "part", "doc")
-        blocks = self.scratch.keep(rows.mapInArrow(packed, "pair long, block long, docs binary, parts binary, masks binary, signatures binary, sketches binary"), "blocks")
-        x, y = (blocks.select(F.col("pair").alias(f"{c}_pair"), *(F.col(k).alias(f"{c}_{k}") for k in blocks.columns[1:])) for c in "xy")
-        both = x.join(y, (F.col("x_pair") == F.col("y_pair")) & (F.col("x_block") <= F.col("y_block")))
-        both = both.select(F.col("x_pair").alias("pair"), "x_block", "y_block", *(f"{c}_{k}" for c in "xy" for k in blocks.columns[2:]))
-        pairs = self.scratch.keep(both.mapInArrow(compared, "a long, b long"), "pairs")
+        rows = rows.repartition(n, "pair", "low", "high").sortWithinPartitions("pair", "low", "high")
+        pairs = self.scratch.keep(rows.mapInArrow(compared, "a long, b long"), "pairs")
         return self.confirm(pairs, sets, "rest")
 
     def merged(self, labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -246,10 +238,19 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     """(doc_id, n_shingles, component_id, kept) for each row with a key; kept on the row whose key is its component's smallest.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Texts of fewer words than a shingle have one, their whole sequence.
-    Rows that share a key should share a text; all of them are returned. Columns beside key and text are ignored.
+    Rows that share a key are one document, whose text is that which sorts first; all of them are returned. Columns beside key and text are ignored.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    return Job(docs, size, percent, matches).run().withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    shared = not again.isEmpty()
+    if shared:
+        one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        docs = docs.join(again, "doc_id", "left_anti").unionByName(one)
+    found = Job(docs, size, percent, matches).run().withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if not shared:
+        return found
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(1).cast("long"))))
+    return found.join(again, "doc_id", "left").withColumn("_copy", copies).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,66 +1,5 @@
-"""Tables that cut lineage: Parquet in the folder that driver and executors share."""
+"""Tables that cut lineage: see tapeworks.shared."""
 
-from __future__ import annotations
+from tapeworks.shared import Scratch, bounded_batches, shared_dir
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: list[str] = []
-#: Bytes of the record batches that go to Python workers. Rows may be long, so a number of rows would bound no memory.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Sets the size of record batches, where the session hasn't."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) in (None, "-1", "268435456", "9223372036854775807", "2147483647"):
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _own:
-        path = tempfile.mkdtemp(prefix="tapeworks-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _own.append("file://" + path)
-    return _own[0]
-
-
-class Scratch:
-    """The intermediate tables of one operator run. A table stays until drop() or the end of the folder."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        bounded_batches(spark)
-        self.spark, self.home = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def path(self, name: str) -> str:
-        self.count += 1
-        return f"{self.home}/{self.count:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes the rows and returns a frame that reads them; the shuffle files behind them go once nothing refers to them."""
-        path = self.path(name)
-        cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(cleanup, None)
-        self.spark.conf.set(cleanup, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.unset(cleanup) if before is None else self.spark.conf.set(cleanup, before)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Deletes tables that keep() made and that nothing reads any more."""
-        for frame in frames:
-            for path in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-                if path.split("://")[-1].lstrip("/").startswith(self.home.split("://")[-1].split(":", 1)[-1].lstrip("/")):
-                    where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                    where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["Scratch", "bounded_batches", "shared_dir"]

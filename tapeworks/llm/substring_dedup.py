@@ -6,7 +6,8 @@ have anchors of one name. Documents are posted under their anchors' names, with
 name, sorted by document, every window hash that came from a smaller document is a verified repeat.
 
 A name that many documents have is dealt to several groups by document. Each group settles all but the first document of each
-window there; those firsts, as few as the windows differ, meet in a second round.
+window there; those firsts, at most one for each group, meet in a second round that is dealt by name and window hash, so that however many
+documents and windows a name has, no more than HOT_GROUPS rows come together.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.llm.recompression import anchors
@@ -29,6 +30,7 @@ SAMPLE, HOT_SHARE, HOT_GROUPS = 4000, 0.01, 64
 HASH_BYTES = 6
 POSTS = "grp long, name long, doc long, places binary, hashes binary"
 MARKS = "doc long, places binary, bits binary, open boolean, name long, hashes binary"
+FIRSTS = "name long, hash long, doc long, places binary"
 
 
 def rounds_for(window: int) -> int:
@@ -132,6 +134,22 @@ def settle(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.Re
         )
 
 
+def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each window that isn't marked: its name and hash, the document, and where it begins."""
+    for batch in batches:
+        for doc, places, bits, name, hashes in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            left = np.flatnonzero(np.frombuffer(bits, np.uint8) == 0)
+            at = np.frombuffer(places, np.int32)
+            wide = np.zeros((len(left), 8), np.uint8)
+            wide[:, :HASH_BYTES] = np.frombuffer(hashes, np.uint8).reshape(-1, HASH_BYTES)[left]
+            begins = (left[:, None].astype(np.int32) + at[None, :]).astype(np.int32)
+            cuts = (np.arange(len(left) + 1) * 4 * len(at)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(left), name)), pa.array(wide.view(np.int64)[:, 0]), pa.array(np.full(len(left), doc)), pa.Array.from_buffers(pa.binary(), len(left), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(begins))])],
+                names=["name", "hash", "doc", "places"],
+            )
+
+
 def hot_names(docs: DataFrame, window: int, key: str, text: str) -> np.ndarray:
     """Names that at least HOT_SHARE of a bounded sample of documents have. They decide how work is dealt, never what comes out."""
     total = docs.count()
@@ -166,10 +184,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: st
     marks = scratch.keep(marks, "marks")
     settled = marks.select("doc", "places", "bits")
     if len(hot):
-        none = np.zeros(0, np.uint64)
-        late = marks.where("open").select(F.col("name").alias("grp"), "name", "doc", "places", "hashes")
-        again = late.repartition(n, "grp").sortWithinPartitions("grp", "doc").mapInArrow(lambda it: settle(it, none), MARKS)
-        settled = settled.unionByName(again.select("doc", "places", "bits"))
+        firsts = marks.where("open").select("doc", "places", "bits", "name", "hashes").mapInArrow(unmarked, FIRSTS)
+        least = F.min("doc").over(Window.partitionBy("name", "hash"))
+        again = firsts.withColumn("least", least).where("doc > least").select("doc", "places", F.lit(b"\x01").alias("bits"))
+        settled = settled.unionByName(again)
     return settled.groupBy("doc").agg(F.collect_list(F.struct("places", "bits")).alias("marks"))
 
 
