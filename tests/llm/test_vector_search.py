@@ -63,20 +63,58 @@ def test_large_components_are_exact(spark):
     assert sorted(tuple(r) for r in mtree.top_k(df, 7, 10, 4).collect()) == want
 
 
+def test_components_beyond_64_bits(spark):
+    rows = [(0, [1e15, 2.0]), (10, [-1e15, 1.0]), (20, [1e300, 1.7e308]), (3, [5e14, 1.0]), (4, [0.5, -0.5]), (5, [2.0**70, 0.0]), (6, [-(2.0**70), 3.0])]
+    largest = int(np.finfo(float).max)
+    whole = {i: [math.floor(x * 1024) if abs(x) < 1e305 else largest for x in v] for i, v in rows}
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = brute(whole, 10, 4, lambda v, w: clip(sum(a * b for a, b in zip(v, w, strict=True))))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in mtree.top_k(df, 4, 10).collect()) == want
+
+
+def stored(ids, x):
+    """A page of integer vectors, in the space of its own."""
+    x = np.asarray(x, float)
+    power = int(np.frexp(np.abs(x).max())[1])
+    space = mtree.Space(power, float((np.ldexp(x, -power) ** 2).sum(1).max()), np.zeros((1, x.shape[1] + 1)))
+    row = mtree.page_row(x.shape[1], 0, list(ids), [v.tobytes() for v in x], space).to_pylist()[0]
+    return mtree.Page(x.shape[1], *(row[n] for n in ("centre", "radius", "ids", "vectors", "heads", "starts", "radii", "parents", "gaps"))), space
+
+
 def test_page_bounds_spare_work():
     x = np.vstack([np.full((200, 4), 1000), np.full((200, 4), -1000)]) + np.random.default_rng(1).integers(-9, 9, (400, 4))
-    norm = float((x.astype(float) ** 2).sum(1).max())
-    page = mtree.Page(np.arange(400), x, norm)
+    page, space = stored(range(400), x)
     seen = []
     old = mtree.products
     try:
         mtree.products = lambda a, q: seen.append(len(a)) or old(a, q)
-        top = []
-        page.search(np.full(4, 900), -1, top, 3, norm)
+        top = page.search(np.full(4, 900.0), -1, 3, space)
     finally:
         mtree.products = old
     assert sum(seen) < 400
-    assert sorted(s for s, _ in top)[::-1] == sorted((x @ np.full(4, 900)).tolist())[::-1][:3]
+    best = sorted((x @ np.full(4, 900)).tolist())[::-1]
+    assert sorted(s for s, _ in top)[::-1] == best[:3]
+    assert sorted(s for s, _ in page.search(np.full(4, 900.0), -1, 9, space, best[2])) == sorted(b for b in best if b >= best[2])[-9:] and page.search(np.full(4, 900.0), -1, 3, space, best[0] + 1) == []
+
+
+def test_pages_are_spared_on_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "PAGE", 64)
+    monkeypatch.setattr(mtree, "LEAF", 16)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 12))
+    x = centres[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    report = {}
+    got = sorted(tuple(r) for r in mtree.top_k(df, report=report).collect())
+    y = np.floor(1024 * x)
+    want = []
+    for q in range(0, 4000, 100):
+        s = (y @ y[q]).astype(int)
+        order = [i for i in np.lexsort((np.arange(4000), -s)).tolist() if i != q][:10]
+        want += [(q, n + 1, i, int(s[i])) for n, i in enumerate(order)]
+    assert got == want and report["pages"] >= 60 and report["visits"] < 0.3 * report["possible"], report
 
 
 def test_neighbours_recall_and_scores(table):
@@ -90,23 +128,29 @@ def test_neighbours_recall_and_scores(table):
     assert len(got) == len(want)
 
 
-def test_windows_prune_clustered_vectors(spark):
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(40, 8)) * 10
-    x = centres[np.arange(8000) % 40] + rng.normal(size=(8000, 8)) * 0.1
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = hilbert.neighbours(df, every=200, reach=0.02, least=128, chunk=64).collect()
+def recall_of(got, x, queries, k=20):
     found = {}
     for r in got:
         found.setdefault(r.query_id, set()).add(r.vec_id)
     hits = []
-    for q, ids in found.items():
+    for q in queries:
         s = x @ x[q]
         s[q] = -9
-        hits.append(len(ids & set(np.argsort(-s)[:20].tolist())) / 20)
-    assert np.mean(hits) >= 0.8
+        hits.append(len(found[q] & set(np.argsort(-s, kind="stable")[:k].tolist())) / k)
+    return np.mean(hits)
+
+
+def test_windows_prune_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(1000, 64))
+    x = centres[rng.integers(0, 1000, 30_000)] + 0.2 * rng.normal(size=(30_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    report = {}
+    got = hilbert.neighbours(df, every=200, cuts=400, report=report).collect()
+    assert recall_of(got, x, range(0, 30_000, 200)) >= 0.9
+    assert report[64]["chunks"] >= 50 and report[64]["compared"] < 0.1 and report[64]["recall"] >= 0.95, report
+
 
 
 def test_hilbert_curve_steps_by_one():
@@ -130,12 +174,7 @@ def test_recall_of_queries_in_a_hot_cluster(spark):
     x[hot] = x[hot[0]] + 1e-4 * rng.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = hilbert.neighbours(df, every=40, chunk=32, least=32).toPandas()
-    hits = []
-    for q, g in got.groupby("query_id"):
-        if q in set(hot.tolist()):
-            s = x @ x[q]
-            s[q] = -9
-            hits.append(len(set(g.vec_id) & set(np.argsort(-s, kind="stable")[:20].tolist())) / 20)
-    print("recall", np.mean(hits), len(hits))
-    assert np.mean(hits) >= 0.9
+    report = {}
+    got = hilbert.neighbours(df, every=40, report=report).collect()
+    mine = [q for q in range(0, 6000, 40) if q in set(hot.tolist())]
+    assert report[64]["chunks"] >= 50 and recall_of(got, x, mine) >= 0.9 and recall_of(got, x, range(0, 6000, 40)) >= 0.9, report
