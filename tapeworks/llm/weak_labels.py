@@ -1,8 +1,9 @@
 """A quality classifier from weak labels.
 
 Overlapping heuristic labellers look at a text and vote good, bad or nothing. Expectation-maximisation over the counts of all documents' vote patterns
-estimates how often each labeller's votes are good and bad for good and for bad texts (a vote for nothing says nothing), and from that each pattern's posterior. The posteriors of a bounded sample
-of documents (about SAMPLE, by a hash of the key) train a linear scorer on hashed character-class trigrams, which scores every whole text. No
+estimates how often each labeller's votes are good and bad for good texts and for each kind of bad ones (a vote for nothing says nothing), and from that each pattern's posterior. Bad texts are bad
+in different ways, each of which some labellers see together; so there may be several kinds, as many as the votes bear out. The posteriors of a bounded sample
+of documents (about SAMPLE, by a hash of the key) train a linear scorer on hashed words, byte trigrams and character-class trigrams, which scores every whole text. No
 given label is read.
 """
 
@@ -20,9 +21,12 @@ from tapeworks.llm.words import Words, mix, steps
 
 SAMPLE, SLOTS, THRESHOLD = 20000, 1 << 14, 0.5
 GOOD, BAD, NOTHING = 1, 0, 2
-#: The labellers are built to vote bad on good texts hardly ever; the estimate of that rate stays below this.
-FALSE_ALARMS = 0.002
+#: The labellers are built to vote bad on good texts hardly ever: the expected rate, and the weight of this belief as a share of all texts and in texts. A kind of bad texts below a share of EMPTY
+#: counts as none, and a rate as the good texts' own that is within DIFFERS of it.
+FALSE_ALARMS, SURE, SURE_TEXTS, EMPTY, DIFFERS = 0.002, 0.02, 500, 0.002, 0.05
 BINS = 10
+#: How much words and byte trigrams weigh beside character classes.
+WORD_SCALE = 0.3
 LABELLERS = ("symbols", "capitals", "exclamations", "repeats", "sentences", "letterless", "word_length", "length")
 
 
@@ -97,9 +101,16 @@ def votes(words: Words) -> np.ndarray:
     return np.stack(out, axis=1).astype(np.int8)
 
 
+def _damped(slots: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    at, count = np.unique(slots, return_counts=True)
+    value = np.log1p(count)
+    return at, scale * value / max(1e-9, float(np.sqrt((value * value).sum())))
+
+
 def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's (slots, values): hashed trigrams of character classes, runs of one class as one, their counts damped and scaled to length 1; and one
-    slot of weight 1 for how much of the text repeats itself."""
+    """Each text's (slots, values): hashed words, byte trigrams, and trigrams of character classes (runs of one class as one), each sort's counts damped and scaled to
+    one length; and one slot of weight 1 for how much of the text repeats itself."""
+    data = byte_lower(words.data).astype(np.uint64)
     classes = CLASSES[words.data]
     new = np.ones(len(classes), bool)
     new[1:] = classes[1:] != classes[:-1]
@@ -107,43 +118,80 @@ def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     new[cuts] = True
     kept = classes[new].astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(new)])[words.offsets]
-    codes = kept[:-2] * np.uint64(4096) + kept[1:-1] * np.uint64(64) + kept[2:] if len(kept) > 2 else np.zeros(0, np.uint64)
-    slots = (mix(codes) % np.uint64(SLOTS)).astype(np.int64)
+
+    def three(x: np.ndarray, salt: int) -> np.ndarray:
+        codes = x[:-2] * np.uint64(1 << 16) + x[1:-1] * np.uint64(1 << 8) + x[2:] if len(x) > 2 else np.zeros(0, np.uint64)
+        return (mix(codes + np.uint64(salt << 32)) % np.uint64(SLOTS)).astype(np.int64)
+
+    of_classes, of_bytes, of_words = three(kept, 0), SLOTS + three(data, 1), 2 * SLOTS + (mix(words.hash) % np.uint64(SLOTS)).astype(np.int64)
     share = np.minimum(BINS - 1, distinct_share(words) * BINS).astype(np.int64)
     out = []
-    for a, b, bin_ in zip(first[:-1].tolist(), first[1:].tolist(), share.tolist(), strict=True):
-        at, count = np.unique(slots[a : max(a, b - 2)], return_counts=True)
-        value = np.log1p(count)
-        value = value / max(1e-9, float(np.sqrt((value * value).sum())))
-        out.append((np.append(at, SLOTS + bin_), np.append(value, 1.0)))
+    spans = zip(first[:-1].tolist(), first[1:].tolist(), words.offsets[:-1].tolist(), words.offsets[1:].tolist(), words.first[:-1].tolist(), words.first[1:].tolist(), share.tolist(), strict=True)
+    for a, b, c, d, e, f, bin_ in spans:
+        parts = [_damped(of_classes[a : max(a, b - 2)], 1.0), _damped(of_bytes[c : max(c, d - 2)], WORD_SCALE), _damped(of_words[e:f], WORD_SCALE)]
+        out.append((np.concatenate([*(p[0] for p in parts), [3 * SLOTS + bin_]]), np.concatenate([*(p[1] for p in parts), [1.0]])))
     return out
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Each pattern's probability of good, and tables[labeller, class, vote], by expectation-maximisation. No labeller's false alarms are put above FALSE_ALARMS."""
-    m = patterns.shape[1] if patterns.size else len(LABELLERS)
-    tables = np.empty((m, 2, 3))
-    tables[:, GOOD], tables[:, BAD] = [FALSE_ALARMS, 1 - FALSE_ALARMS, 1.0], [0.3, 0.7, 1.0]
-    prior = 0.8
-    posterior = np.full(len(patterns), prior)
+def byte_lower(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= 65) & (data < 91), data + 32, data).astype(np.uint8)
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, kinds: int, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
+    """Each pattern's probability of good, tables[labeller, class, vote], and the fit by the criterion of Hannan and Quinn, by expectation-maximisation with one class of good texts (the first) and so many kinds of bad ones.
+
+    Within a class labellers vote independently. With several kinds each begins with the texts that one labeller calls bad. That labellers rarely accuse good texts is a
+    prior belief of the weight of SURE_TEXTS and SURE of all texts, which the votes can overrule.
+    """
+    m, n = patterns.shape[1], max(1.0, float(counts.sum()))
+    bad = patterns == BAD
+    resp = np.zeros((len(patterns), kinds + 1))
+    if kinds == 1:
+        resp[:, 0] = np.where(bad.any(1), 0.5 ** bad.sum(1), 0.95)
+        resp[:, 1] = 1 - resp[:, 0]
+    else:
+        resp[:, 0] = np.where(bad.any(1), 0.3, 0.95)
+        resp[:, 1:] = np.where(bad[:, np.arange(kinds) % m], 0.7, 0.0) + 0.05 / kinds
+        resp /= resp.sum(1, keepdims=True)
+    belief = np.array([FALSE_ALARMS, 1 - FALSE_ALARMS]) * (SURE * n + SURE_TEXTS) + 0.5
+    tables, before = np.ones((m, kinds + 1, 3)), -np.inf
     for _ in range(rounds):
-        log = np.array([[np.log(tables[np.arange(m), c, p]).sum() for c in (BAD, GOOD)] for p in patterns]).reshape(-1, 2) + np.log([1 - prior, prior])  # a vote for nothing adds log 1
-        posterior = 1 / (1 + np.exp(np.clip(log[:, BAD] - log[:, GOOD], -500, 500)))
-        weight = np.stack([counts * (1 - posterior), counts * posterior])
+        weight = resp * counts[:, None]
+        total = 0.0
         for j in range(m):
-            for c in (BAD, GOOD):
-                votes_ = np.bincount(patterns[:, j], weights=weight[c], minlength=3)[:2] + 1
-                tables[j, c] = [*(votes_ / votes_.sum()), 1.0]
-        over = np.maximum(0, tables[:, GOOD, BAD] - FALSE_ALARMS)
-        tables[:, GOOD, BAD] -= over
-        tables[:, GOOD, GOOD] += over
-        prior = float(np.clip(weight[GOOD].sum() / max(1e-9, counts.sum()), 0.01, 0.99))
+            for c in range(kinds + 1):
+                prior = belief if c == 0 else np.array([0.5, 0.5])
+                votes_ = np.bincount(patterns[:, j], weights=weight[:, c], minlength=3)[:2] + prior
+                tables[j, c, :2] = votes_ / votes_.sum()
+                total += float((prior * np.log(tables[j, c, :2])).sum())
+        shares = (weight.sum(0) + 1) / (n + kinds + 1)
+        log = np.stack([np.log(tables[np.arange(m), c, patterns]).sum(1) for c in range(kinds + 1)], axis=1) + np.log(shares)  # a vote for nothing adds log 1
+        top = log.max(1, keepdims=True)
+        parts = np.exp(log - top)
+        likelihood = float((counts * (top[:, 0] + np.log(parts.sum(1)))).sum())
+        total += likelihood
+        resp = parts / parts.sum(1, keepdims=True)
+        if abs(total - before) < 1e-9 * abs(total):
+            break
+        before = total
+    # parameters: the good texts' rates, each kind's share, and those of its rates that differ from the good texts'
+    used = 1 + np.flatnonzero(shares[1:] > EMPTY)
+    differ = np.abs(tables[:, used, BAD] - tables[:, :1, BAD]) > DIFFERS
+    return resp[:, 0], tables, likelihood - np.log(np.log(n + 2)) * (m + len(used) + int(differ.sum()))
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pattern's probability of good, and tables[labeller, class, vote] with class 0 the good texts: of fits with one, two, and as many kinds of bad texts as labellers the one of the best fit."""
+    m = patterns.shape[1] if patterns.size else len(LABELLERS)
+    if not len(patterns):
+        return np.zeros(0), np.ones((m, 2, 3))
+    posterior, tables, _ = max((fit(patterns, counts, kinds) for kinds in (1, 2, m)), key=lambda x: x[2])
     return posterior, tables
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, rate: float = 0.5) -> np.ndarray:
     """Weights of logistic regression on soft labels, by stochastic steps with per-slot rates; the last weight is the constant."""
-    weights, seen = np.zeros(SLOTS + BINS + 1), np.full(SLOTS + BINS + 1, 1e-6)
+    weights, seen = np.zeros(3 * SLOTS + BINS + 1), np.full(3 * SLOTS + BINS + 1, 1e-6)
     rng = np.random.default_rng(11)
     good, bad = max(1e-9, labels.sum()), max(1e-9, (1 - labels).sum())
     balance = labels * (len(labels) / (2 * good)) + (1 - labels) * (len(labels) / (2 * bad))
