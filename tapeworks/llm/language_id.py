@@ -7,11 +7,11 @@ the means over its windows, weighted by their bytes. Text alone is read; languag
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +19,11 @@ from tapeworks.llm import byte_cnn
 from tapeworks.llm.scratch import Scratch, bounded_batches
 from tapeworks.llm.words import steps
 
-#: Bounds of the training sample: documents of each language, windows of each document.
-DOCS_EACH, WINDOWS_EACH = 500, 12
+#: Bounds of the training sample: documents of each language, and of all languages, windows of each document.
+DOCS_EACH, DOCS_ALL, WINDOWS_EACH = 500, 20_000, 12
 UNKNOWN = "und"
-#: The score below which keep_languages() rejects a document; 0: only what has no letter, or none of the wanted languages, goes. Short clean texts have low scores.
-LEAST = 0.0
-_LETTER = re.compile(r"[^\W\d_]")
+#: keep_languages() rejects a text of at least LONG characters with a score below LEAST. The score of a shorter one says little, so that only what has no letter goes.
+LEAST, LONG = 0.5, 400
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -55,6 +54,7 @@ def train(labelled: DataFrame, docs_each: int = DOCS_EACH, windows_each: int = W
     labelled = labelled.where("lang is not null and text is not null")
     # a table of one row for each language: its size is known before the texts are read, so no text is dealt out to meet it
     counts = Scratch(labelled.sparkSession, "languages").keep(labelled.groupBy("lang").count(), "counts")
+    docs_each = min(docs_each, max(1, DOCS_ALL // max(1, counts.count())))
     share = F.least(F.lit(1.0), F.lit(float(docs_each)) / F.col("count"))
     chosen = labelled.join(counts, "lang").where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     rows = chosen.select("doc_id", "text", "lang").mapInArrow(lambda it: examples(it, windows_each), "doc_id long, lang string, place long, cut binary").toArrow()
@@ -71,7 +71,7 @@ def predictions(batches: Iterator[pa.RecordBatch], net: byte_cnn.Network | None,
     tables = net.tables() if net else None
     for batch in steps(batches):
         n = batch.num_rows
-        has_letter = np.array([bool(t and _LETTER.search(t)) for t in batch.column(1).to_pylist()], bool)
+        has_letter = np.array([bool(t) and any(c.isalpha() for c in t) for t in batch.column(1).to_pylist()], bool)
         chosen, score = np.full(n, -1), np.zeros(n)
         if net:
             cut, text, own = byte_cnn.windows(*_bytes(batch.column(1)))
@@ -96,19 +96,28 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, key: str = "doc
     return rows.mapInArrow(lambda it: predictions(it, net, languages), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_languages(docs: DataFrame, languages: list[str] | None = None, least: float = LEAST, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs, unchanged, whose text is predicted to be in one of the languages (None: any learned one) with a score of at least ``least``."""
+def keep_languages(docs: DataFrame, languages: list[str] | None = None, least: float = LEAST, long: int = LONG, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs whose text is predicted to be in one of the languages (None: any learned one), a null language replaced by the prediction.
+
+    What has no letter goes, and texts of at least ``long`` characters with a score below ``least``.
+    """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     net, learned = train(source.where(~held_out()))
-    wanted, place = set(learned if languages is None else languages), docs.columns.index(text)
+    wanted, place, named = set(learned if languages is None else languages), docs.columns.index(text), docs.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             begin = 0
-            bare = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(place).cast(pa.string()), pa.nulls(batch.num_rows, pa.bool_())], names=["doc_id", "text", "held_out"])
+            texts = batch.column(place).cast(pa.string())
+            sizes = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+            bare = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), texts, pa.nulls(batch.num_rows, pa.bool_())], names=["doc_id", "text", "held_out"])
             for found in predictions(iter([bare]), net, learned):
-                good = [p in wanted and s >= least for p, s in zip(found.column(2).to_pylist(), found.column(3).to_pylist(), strict=True)]
-                yield batch.slice(begin, found.num_rows).filter(pa.array(good, pa.bool_()))
+                names, scores = found.column(2), found.column(3).to_numpy()
+                sure = (scores >= least) | (sizes[begin : begin + found.num_rows] < long)
+                good = [bool(s) and n in wanted for n, s in zip(names.to_pylist(), sure, strict=True)]
+                rows = batch.slice(begin, found.num_rows)
+                columns = [c if k != named else pc.coalesce(c, names.cast(c.type)) if pa.types.is_string(c.type) else c for k, c in enumerate(rows.columns)]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(good, pa.bool_()))
                 begin += found.num_rows
 
     return docs.mapInArrow(run, docs.schema)

@@ -63,3 +63,20 @@ def test_windows_cover_every_byte():
     cut, owner, own = byte_cnn.windows(data, np.array([0, 0, 300, 300, 750]))
     assert own.sum() == 750 and np.bincount(owner, minlength=4).tolist() == [0, 2, 0, 2]
     assert np.array_equal(np.concatenate([c[:n] for c, n in zip(cut, own, strict=True)]), byte_cnn.LOWER[data])
+
+
+def test_number_signs_are_no_letters(spark, labelled):
+    odd = spark.createDataFrame([(1, "\u00bd \u00b2 \u2460", None), (2, "_ 12", None), (3, "\u0436", None)], labelled.schema)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(odd, labelled).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und"
+
+
+def test_stage_rejects_long_unsure_texts_and_names_languages(spark, labelled):
+    rng = random.Random(9)
+    known = labelled.where("lang is not null and doc_id < 1000")
+    mixed = [(2000, "12 34 !!", None), (2001, text("de", rng), None), (2002, "zz", None), (2003, text("en", rng), "es")]
+    docs = known.unionByName(spark.createDataFrame(mixed, labelled.schema))
+    kept = {r.doc_id: r.lang for r in language_id.keep_languages(docs).collect()}
+    assert 2000 not in kept and kept[2001] == "de" and 2002 in kept and kept[2003] == "es" and len(kept) == 403
+    strict = {r.doc_id for r in language_id.keep_languages(docs, least=1.01, long=5).collect()}
+    assert strict == {2002}
