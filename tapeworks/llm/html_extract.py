@@ -181,18 +181,21 @@ def mark(path: str, text: str) -> int:
 
 
 def blocks_of(page: str | None) -> list[tuple[bool, str, str]]:
-    """(in a marked article, path, text) of each block without the roles that no article holds; white space is one space."""
-    blocks: list[tuple[bool, str, str]] = []
+    """(in a marked article, path, text) of each block without the roles that no article holds; white space is one space.
+
+    A class or id that names such a role counts unless its element holds what the page is about: the only marked articles, or, where nothing else is left, most of the page's text.
+    """
+    found: list[tuple[int, str, str, tuple[int, ...], tuple[int, ...]]] = []
     walk, text, hidden = Walk(), [], []
 
     def flush():
         if text and (t := _tidy("".join(text))):
-            blocks.append((walk.in_main(), walk.path(), t))
+            found.append((walk.main(), walk.path(), t, *walk.named()))
         text.clear()
 
     for kind, name, part in tokens(page):
         if kind == "text":
-            if not walk.outside() and not hidden:
+            if not hidden and not walk.outside(named=False):
                 text.append(name)
         elif name in INLINE:
             hidden = _hide(hidden, kind, name, part)
@@ -201,7 +204,27 @@ def blocks_of(page: str | None) -> list[tuple[bool, str, str]]:
             hidden = []
             walk.step(kind, name, part)
     flush()
-    return blocks
+    spared = _spared(found)
+    return [(main > 0, path, t) for main, path, t, around, inner in found if not inner and spared.issuperset(around)]
+
+
+def _spared(found: list[tuple[int, str, str, tuple[int, ...], tuple[int, ...]]]) -> set[int]:
+    """The elements whose class or id doesn't count: those around the longest marked article, if all are in such; without one, those with half of the text, if nothing else is left."""
+    if any(main and not around and not inner for main, _, _, around, inner in found):
+        return set()
+    sizes: dict[int, int] = {}
+    for main, _, t, _, inner in found:
+        if main and not inner:
+            sizes[main] = sizes.get(main, 0) + len(t)
+    if sizes:
+        longest = max(sizes, key=sizes.get)
+        return next(set(around) for main, _, _, around, _ in found if main == longest)
+    if any(not around for _, _, _, around, _ in found):
+        return set()
+    for _, _, t, around, _ in found:
+        for n in around:
+            sizes[n] = sizes.get(n, 0) + len(t)
+    return {n for n, size in sizes.items() if 2 * size >= sum(len(t) for _, _, t, *_ in found)}
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
@@ -225,7 +248,7 @@ def chosen(blocks: list[tuple[bool, str, str]], marks: list[int], root: str | No
 
 def _hide(hidden: list[str], kind: str, name: str, part: str) -> list[str]:
     """The inline elements open now that no article shows."""
-    if kind == "open" and part == "out":
+    if kind == "open" and part in ("out", "named"):
         return [*hidden, name]
     return hidden[:-1] if kind == "close" and hidden and hidden[-1] == name else hidden
 

@@ -23,6 +23,9 @@ _WORDS = re.compile(
     r"|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|breadcrumbs?|popup|modal|overlay|login|signup|paywall|disclaimer|widget|pagination|pager|skip-?link|toolbar"
 )
 _CONTENT = {"article", "post", "entry", "content", "story"}
+#: Parts of class names that tell how a page is laid out, not what an element holds.
+_LAYOUT = {"no", "not", "has", "have", "with", "without", "enabled", "disabled", "fixed", "sticky", "collapsed"}
+_WRAPS = {"wrap", "wrapper", "container", "layout", "area", "inner", "outer"}
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _QUOTE = re.compile(r"[\"'>]")
@@ -46,7 +49,7 @@ def _tag_end(page: str, at: int) -> int:
 
 
 def tokens(page: str | None) -> Iterator[tuple[str, str, str]]:
-    """("open" or "close", element, role) and ("text", characters decoded, ""). role is "out" for what no article holds, "main", or empty."""
+    """("open" or "close", element, role) and ("text", characters decoded, ""). role is "out" for what no article holds, "named" where only a class or id says so, "main", "header", or empty."""
     page = page or ""
     at, n = 0, len(page)
     while at < n:
@@ -91,7 +94,7 @@ def role(name: str, attributes: str) -> str:
     if name in MAIN or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody":
         return "main"
     if name not in INLINE and name not in ("html", "body") and any(_named_out(word) for k in ("class", "id") for word in found.get(k, "").split()):
-        return "out"
+        return "named"
     return "header" if name == "header" else ""
 
 
@@ -99,14 +102,17 @@ def _named_out(word: str) -> bool:
     """Whether a class or id names something that no article holds, as a whole or by a part; the header of an article is a part of it."""
     parts = re.split(r"[-_]+", word)
     own = not _CONTENT.isdisjoint(parts)
+    if not _LAYOUT.isdisjoint(parts) or (own and not _WRAPS.isdisjoint(parts)):
+        return False
     return any(_WORDS.fullmatch(p) and not (own and p == "header") for p in {word, *parts})
 
 
 class Walk:
-    """The open elements of a page while its tokens go by; each is (element, role)."""
+    """The open elements of a page while its tokens go by; each is (element, role, number)."""
 
     def __init__(self):
-        self.open: list[tuple[str, str]] = []
+        self.open: list[tuple[str, str, int]] = []
+        self.count = 0
 
     def step(self, kind: str, name: str, part: str) -> None:
         if kind == "open" and name not in INLINE and name not in VOID:
@@ -114,7 +120,8 @@ class Walk:
             while self.open and (self.open[-1][0] in ENDED_BY_ANY or self.open[-1][0] == name in LOOSE):
                 self.open.pop()
             if name not in LOOSE or part:
-                self.open.append((name, part))
+                self.count += 1
+                self.open.append((name, part, self.count))
         elif kind == "close" and name not in INLINE:
             self._close(name)
 
@@ -125,16 +132,22 @@ class Walk:
                 return
 
     def path(self) -> str:
-        return "/".join(name for name, _ in self.open)
+        return "/".join(name for name, *_ in self.open)
 
-    def outside(self) -> bool:
-        """Whether this place is in no article: below an element with such a role, or in a header that isn't an article's own."""
+    def outside(self, named: bool = True) -> bool:
+        """Whether this place is in no article: below an element with such a role, or in a header that isn't an article's own. Without named, classes and ids don't count."""
         main = False
-        for _, part in self.open:
-            if part == "out" or (part == "header" and not main):
+        for _, part, _ in self.open:
+            if part == "out" or (named and part == "named") or (part == "header" and not main):
                 return True
             main |= part == "main"
         return False
 
-    def in_main(self) -> bool:
-        return any(part == "main" for _, part in self.open)
+    def main(self) -> int:
+        """The number of the outermost marked article here; 0: none."""
+        return next((n for _, part, n in self.open if part == "main"), 0)
+
+    def named(self) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The numbers of the elements that their class or id puts outside of articles: around the outermost marked article, and in it."""
+        at = next((k for k, (_, part, _) in enumerate(self.open) if part == "main"), len(self.open))
+        return tuple(n for _, part, n in self.open[:at] if part == "named"), tuple(n for _, part, n in self.open[at:] if part == "named")

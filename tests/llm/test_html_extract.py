@@ -87,3 +87,42 @@ def test_rare_templates_and_many_fixed_texts(spark):
     got = _pages(spark, [often.format(k) for k in range(60)] + [rare.format(k) for k in range(60, 64)])
     assert all(got[k] == f"A{k}\n" + " ".join([f"words {k} of the first template"] * 3) for k in range(60))
     assert all(got[k] == f"B{k}\n" + " ".join([f"words {k} of the second template"] * 3) for k in range(60, 64))
+
+
+LAYOUTS = ["content-sidebar-wrap", "no-sidebar", "has-header", "page-with-comments", "content header-fixed", "share-enabled", "sidebar", "menu"]
+
+
+def test_layout_classes_around_an_article_keep_it():
+    for name in LAYOUTS:
+        page = f'<body><div class="menu">Home</div><div class="{name}"><article><h1>T</h1><p>Some text</p><div class="comments">no</div></article><div class="sidebar">Side</div></div></body>'
+        assert extract(page, None) == "T\nSome text", name
+        bare = f'<body><div class="{name}"><h1>T</h1><p>Some text of this page</p><div class="sidebar">Side</div></div></body>'
+        assert extract(bare, None) == "T\nSome text of this page", name
+    comments = '<article><p>Text</p></article><div id="comments"><article>A reader</article></div>'
+    assert extract(comments, None) == "Text" and extract('<div class="notice">x</div><p>y</p>', None) == "y"
+
+
+def test_unmarked_pages_of_many_templates(spark):
+    """Ten templates of one host without any marks, hosts of one page, and equal pages, against what was put in."""
+    import random
+
+    rng, rows, want = random.Random(5), [], {}
+    for k in range(200):
+        t = k % 10
+        words = [" ".join(rng.choice("ab cd ef gh ij kl".split()) + str(rng.randrange(99)) for _ in range(rng.randint(8, 20))) for _ in range(rng.randint(1, 4))]
+        lines = [f"Head {k}", *words]
+        inner = f"<h2>{lines[0]}</h2>" + "".join(f"<p>{w}</p>" for w in words)
+        top, low = f"<div><ul><li>Start {t}<li>News {t}</ul></div>", f"<div><span>All rights of {t}</span></div>"
+        rows.append((k, f"http://many.example/{k}", f"<html><body>{'<div>' * t}{top}<section><div>{inner}</div></section>{low}{'</div>' * t}</body></html>"))
+        want[k] = "\n".join(lines)
+    for k in range(300, 310):
+        rows.append((k, f"http://single{k}.example/", f"<body><div><h1>One {k}</h1><p>words of {k}</p></div></body>"))
+        want[k] = f"One {k}\nwords of {k}"
+    for k in range(400, 406):
+        rows.append((k, "http://equal.example/x", "<body><div><p>Only this</p></div></body>"))
+        want[k] = "Only this"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_texts(df).collect()}
+    assert got == want
+    bare = {k: extract(p, None) for k, _, p in rows}
+    assert sum(got[k] != bare[k] for k in got) == 200
