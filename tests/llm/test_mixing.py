@@ -59,7 +59,7 @@ def test_block_size_changes_nothing(spark, block):
 
 
 def test_schedule_is_even(spark):
-    df = spark.createDataFrame([("a", 5.0), ("b", 2.0), (None, 1.0)], "source string, target double")
+    df = spark.createDataFrame([("a", 500), ("b", 200), (None, 100)], "source string, needs long")
     rows = mixing.schedule(spark, df, 800).orderBy("slot").collect()
     assert [r.slot for r in rows] == list(range(800))
     seen = {}
@@ -97,3 +97,73 @@ def test_small_sources_get_their_whole_target(spark):
     out = got(mixing.mix(df))
     assert out == brute([(r.doc_id, r.text, r.source) for r in df.collect()])
     assert [r[4] for r in out if r[0] >= 100] == [3 * n for n in small]
+
+
+def brute_slots(rows, block=128, golden=2654435769):
+    """The first slot of each document, from the schedule written out slot by slot."""
+    made = brute(rows)
+    target = {}
+    for (_, _, s), size in zip(rows, (len(WORD.findall(t or "")) for _, t, _ in rows), strict=True):
+        target[s] = target.get(s, 0) + size
+    length = dict(target)
+    aim = {s: int(t) for s, t in aims(length).items()}
+    order = [s for s in sorted(length, key=lambda s: (s is None, (s or "").encode())) if length[s]]
+    blocks = {s: -(-length[s] // block) for s in order}
+    needs = {s: aim[s] // length[s] * blocks[s] + -(-(aim[s] % length[s]) // block) for s in order}
+    total, cum, lo = sum(needs.values()), 0, []
+    for s in order:
+        lo.append(int(cum / total * 2**32))
+        cum += needs[s]
+    slots, at = {s: [] for s in order}, mixing.slots_for(total)
+    for n in range(at):
+        point = n * golden % 2**32
+        s = order[max(k for k in range(len(order)) if lo[k] <= point)]
+        slots[s].append(n)
+    for s in order:
+        slots[s] = slots[s][: needs[s]]
+        more = needs[s] - len(slots[s])
+        slots[s] += range(at, at + more)
+        at += more
+    start, first = dict.fromkeys(length, 0), {}
+    for k in sorted(range(len(rows)), key=lambda k: (hashlib.md5(f"mix{rows[k][0]}".encode()).hexdigest(), rows[k][0])):
+        doc, text, s = rows[k]
+        size = len(WORD.findall(text or ""))
+        a, start[s] = start[s], start[s] + size
+        end = a + size if length[s] and aim[s] >= length[s] else min(a + size, aim[s])
+        first[doc] = min((slots[s][b] for b in range(a // block, (end - 1) // block + 1)), default=-1) if end > a else -1
+    return first, made
+
+
+def test_first_slots_against_the_schedule_written_out(spark, monkeypatch):
+    rows = [(k, " ".join(["w"] * (k * 37 % 400)), f"s{k % 5 if k % 2 else 0}") for k in range(400)]
+    rows += [(1000, "a b c", None), (1001, None, "s0"), (1002, "x " * 3000, "t"), (1003, "y", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, made = brute_slots(rows)
+    out = mixing.mix(df)
+    assert {r.doc_id: r.first_slot for r in out.collect()} == first and got(out) == made
+    # another constant is another schedule of the same words
+    monkeypatch.setattr(mixing, "GOLDEN", 1640531527)
+    other = mixing.mix(df)
+    assert got(other) == made
+    changed = {r.doc_id: r.first_slot for r in other.collect()}
+    assert changed == brute_slots(rows, golden=1640531527)[0] and sum(changed[k] != first[k] for k in first) > 200
+
+
+def test_points_of_late_slots_stay_within_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    ids = [0, 1, 65535, 65536, 2**32 - 1, 2**32 + 5, 10**12 + 7]
+    half = F.lit(1 << 16)
+    high = F.pmod(F.pmod(F.shiftright("id", 16), half) * F.lit(mixing.GOLDEN), half) * half
+    points = spark.createDataFrame([(i,) for i in ids], "id long").select(F.pmod(F.pmod("id", half) * F.lit(mixing.GOLDEN) + high, F.lit(mixing.UNIT)).alias("p")).collect()
+    assert [r.p for r in points] == [i * mixing.GOLDEN % 2**32 for i in ids]
+
+
+def test_rows_that_share_a_key_are_separate_documents(spark):
+    rows = [(1, "a " * 30, "s"), (1, "b " * 30, "s"), (1, "c " * 500, "t"), (None, "d " * 40, "s"), (None, "e " * 40, "s"), (None, "f", None), (2, "g " * 900, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    takes = sorted((r.doc_id is None, r.size, r.taken) for r in mixing.mix(df).collect())
+    words = {}
+    for r in mixing.apply_mix(df).collect():
+        words[r.text.split()[0]] = words.get(r.text.split()[0], 0) + len(r.text.split())
+    assert sorted(words.values()) == sorted(t for _, _, t in takes if t)
