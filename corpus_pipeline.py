@@ -10,13 +10,13 @@ from tapeworks.llm.scratch import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network learned from these documents' own labels; the others go."""
+    """Documents in a language that the network learned from these documents' own labels, a missing language filled in; texts without a letter and long unsure ones go."""
     return language_id.keep_languages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows without an id stay."""
-    gone = minhash_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    """One document of each group of near-duplicates by shingles of five words; rows without an id stay."""
+    gone = minhash_dedup.near_duplicates(docs, size=5).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
 
 
