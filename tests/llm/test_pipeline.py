@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         outs[name] = docs.collect()
     assert {r.doc_id for r in outs["language_id"]} == {r[0] for r in rows} - {200, 201, 202}
-    kept = {d for d, _, _, k in near_brute([(r.doc_id, r.text) for r in outs["language_id"]]) if k}
+    kept = {d for d, _, _, k in near_brute([(r.doc_id, r.text) for r in outs["language_id"]], size=5) if k}
     assert {r.doc_id for r in outs["minhash_near_dedup"]} == kept
     seen = {}
     for r in outs["minhash_near_dedup"]:
