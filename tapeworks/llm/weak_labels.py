@@ -3,7 +3,7 @@
 Overlapping heuristic labellers look at a text and vote good, bad or nothing. Expectation-maximisation over the counts of all documents' vote patterns
 estimates how often each labeller's votes are good and bad for good texts and for each kind of bad ones (a vote for nothing says nothing), and from that each pattern's posterior. Bad texts are bad
 in different ways, each of which some labellers see together; so there may be several kinds, as many as the votes bear out. The posteriors of a bounded sample
-of documents (about SAMPLE, by a hash of the key) train a linear scorer on hashed words, byte trigrams and character-class trigrams, which scores every whole text. No
+of documents (about SAMPLE, by a hash of the key) train a linear scorer on hashed words and character-class trigrams, which scores every whole text. No
 given label is read.
 """
 
@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from tapeworks.llm.scratch import bounded_batches
 from tapeworks.llm.words import Words, mix, steps
 
-SAMPLE, SLOTS, THRESHOLD = 20000, 1 << 14, 0.5
+SAMPLE, SLOTS, THRESHOLD = 10000, 1 << 14, 0.5
 GOOD, BAD, NOTHING = 1, 0, 2
 #: The labellers are built to vote bad on good texts hardly ever: the expected rate, and the weight of this belief as a share of all texts and in texts. A kind of bad texts below a share of EMPTY
 #: counts as none, and a rate as the good texts' own that is within DIFFERS of it.
 FALSE_ALARMS, SURE, SURE_TEXTS, EMPTY, DIFFERS = 0.002, 0.02, 500, 0.002, 0.05
 BINS = 10
-#: How much words and byte trigrams weigh beside character classes.
+#: How much words weigh beside character classes.
 WORD_SCALE = 0.3
 LABELLERS = ("symbols", "capitals", "exclamations", "repeats", "sentences", "letterless", "word_length", "length")
 
@@ -108,9 +108,8 @@ def _damped(slots: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's (slots, values): hashed words, byte trigrams, and trigrams of character classes (runs of one class as one), each sort's counts damped and scaled to
+    """Each text's (slots, values): hashed words, and trigrams of character classes (runs of one class as one), each sort's counts damped and scaled to
     one length; and one slot of weight 1 for how much of the text repeats itself."""
-    data = byte_lower(words.data).astype(np.uint64)
     classes = CLASSES[words.data]
     new = np.ones(len(classes), bool)
     new[1:] = classes[1:] != classes[:-1]
@@ -119,24 +118,16 @@ def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     kept = classes[new].astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(new)])[words.offsets]
 
-    def three(x: np.ndarray, salt: int) -> np.ndarray:
-        codes = x[:-2] * np.uint64(1 << 16) + x[1:-1] * np.uint64(1 << 8) + x[2:] if len(x) > 2 else np.zeros(0, np.uint64)
-        return (mix(codes + np.uint64(salt << 32)) % np.uint64(SLOTS)).astype(np.int64)
-
-    of_classes, of_bytes, of_words = three(kept, 0), SLOTS + three(data, 1), 2 * SLOTS + (mix(words.hash) % np.uint64(SLOTS)).astype(np.int64)
+    codes = kept[:-2] * np.uint64(1 << 16) + kept[1:-1] * np.uint64(1 << 8) + kept[2:] if len(kept) > 2 else np.zeros(0, np.uint64)
+    of_classes, of_words = (mix(codes) % np.uint64(SLOTS)).astype(np.int64), SLOTS + (mix(words.hash) % np.uint64(SLOTS)).astype(np.int64)
     share = np.minimum(BINS - 1, distinct_share(words) * BINS).astype(np.int64)
     out = []
-    spans = zip(first[:-1].tolist(), first[1:].tolist(), words.offsets[:-1].tolist(), words.offsets[1:].tolist(), words.first[:-1].tolist(), words.first[1:].tolist(), share.tolist(), strict=True)
-    for a, b, c, d, e, f, bin_ in spans:
-        parts = [_damped(of_classes[a : max(a, b - 2)], 1.0), _damped(of_bytes[c : max(c, d - 2)], WORD_SCALE), _damped(of_words[e:f], WORD_SCALE)]
-        out.append((np.concatenate([*(p[0] for p in parts), [3 * SLOTS + bin_]]), np.concatenate([*(p[1] for p in parts), [1.0]])))
+    for a, b, c, d, bin_ in zip(first[:-1].tolist(), first[1:].tolist(), words.first[:-1].tolist(), words.first[1:].tolist(), share.tolist(), strict=True):
+        parts = [_damped(of_classes[a : max(a, b - 2)], 1.0), _damped(of_words[c:d], WORD_SCALE)]
+        out.append((np.concatenate([*(p[0] for p in parts), [2 * SLOTS + bin_]]), np.concatenate([*(p[1] for p in parts), [1.0]])))
     return out
 
 
-def byte_lower(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 65) & (data < 91), data + 32, data).astype(np.uint8)
-
-
 def fit(patterns: np.ndarray, counts: np.ndarray, kinds: int, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
     """Each pattern's probability of good, tables[labeller, class, vote], and the fit by the criterion of Hannan and Quinn, by expectation-maximisation with one class of good texts (the first) and so many kinds of bad ones.
 
@@ -191,7 +182,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, rate: float = 0.5) -> np.ndarray:
     """Weights of logistic regression on soft labels, by stochastic steps with per-slot rates; the last weight is the constant."""
-    weights, seen = np.zeros(3 * SLOTS + BINS + 1), np.full(3 * SLOTS + BINS + 1, 1e-6)
+    weights, seen = np.zeros(2 * SLOTS + BINS + 1), np.full(2 * SLOTS + BINS + 1, 1e-6)
     rng = np.random.default_rng(11)
     good, bad = max(1e-9, labels.sum()), max(1e-9, (1 - labels).sum())
     balance = labels * (len(labels) / (2 * good)) + (1 - labels) * (len(labels) / (2 * bad))
@@ -233,11 +224,11 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
             words = Words(batch.column(1))
             v = ["".join(map(str, r)) for r in votes(words).tolist()]
             f = features(words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known.get(x, 0.5) for x in v]), pa.array([a.tolist() for a, _ in f], pa.list_(pa.int32())), pa.array([b.tolist() for _, b in f], pa.list_(pa.float32()))], names=["doc_id", "label", "slots", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known.get(x, 0.5) for x in v]), pa.array([a.astype("<u2").tobytes() for a, _ in f], pa.binary()), pa.array([b.astype("<f2").tobytes() for _, b in f], pa.binary())], names=["doc_id", "label", "slots", "values"])
 
     chosen = rows.where("length(text) > 0").where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    got = chosen.mapInArrow(examples, "doc_id long, label double, slots array<int>, values array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    weights = train([(np.array(a, np.int64), np.array(b)) for a, b in zip(got.column("slots").to_pylist(), got.column("values").to_pylist(), strict=True)], got.column("label").to_numpy())
+    got = chosen.mapInArrow(examples, "doc_id long, label double, slots binary, values binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    weights = train([(np.frombuffer(a, "<u2"), np.frombuffer(b, "<f2").astype(float)) for a, b in zip(got.column("slots").to_pylist(), got.column("values").to_pylist(), strict=True)], got.column("label").to_numpy())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
