@@ -4,7 +4,7 @@ Documents with one shingle set form a class with one representative. A represent
 the pairs (coordinate, value). Two sets of similarity s agree in K * s coordinates on average; a pair is a candidate from MATCHES agreements on.
 Such a pair must meet in the first K - MATCHES + 1 pairs of any common order (prefix merging), so a document is posted only under that many of its
 pairs, the rarest in the corpus, and skips those that no other document has. In a list everybody first meets a few hosts: the member whose pairs are
-the most common ones, and one that a hash chooses. Links so found join into components. A few times a list's components then meet a member of one of them. After that the members of a list are compared in blocks, on long
+the most common ones, and one that a hash chooses. Links so found join into components. After that the members of a list are compared in blocks, on long
 sketches, wherever they lie in different components, each pair in one of its lists only; what agrees enough is counted on the full sets, so that none is lost.
 Two blocks at a time are dealt out, so that a list of any length is spread over tasks.
 """
@@ -28,9 +28,7 @@ WORDS, PERCENT = 4, 80
 K, MATCHES = 64, 38
 #: A sketch is a longer signature of bytes. At similarity 0.8, 768 of 1024 agreements are missed with probability 3e-5.
 SKETCH, SKETCH_MATCHES = 1024, 768
-BLOCK, MEMBERS, ORDERS = 4096, 128, 8
-#: How often the components of a list meet a member of one of them before blocks are compared.
-TURNS = 4
+BLOCK, MEMBERS, ORDERS = 4096, 512, 8
 _SEEDS = mix(np.arange(1, 2 * (K + SKETCH) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _SEEDS[: K + SKETCH] | np.uint64(1), _SEEDS[K + SKETCH :]
 SIGNED = "doc_id long, n_shingles long, set_name binary, signature binary"
@@ -197,17 +195,6 @@ class Job:
         """(pair, doc, mask, part): the lists with each member's component."""
         return lists.join(labels.withColumnRenamed("v", "doc"), "doc", "left").select("pair", "doc", "mask", F.coalesce("component", "doc").alias("part"))
 
-    def bridges(self, lists: DataFrame, sets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-        """Links between one component's member and the members of all others, in each list that has several. The turn's hash chooses the component and its member, for all lists alike."""
-        placed = self.placed(lists, labels)
-        first = F.min_by(F.struct("doc", "part"), F.struct(F.xxhash64(F.lit(turn), "part"), F.xxhash64(F.lit(turn), "doc")))
-        hosts = placed.groupBy("pair").agg(first.alias("host"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("pair", "host")
-        meets = placed.join(hosts, "pair").where(F.col("part") != F.col("host.part"))
-        pairs = meets.select(F.least("doc", "host.doc").alias("a"), F.greatest("doc", "host.doc").alias("b")).distinct()
-        x, y = (sets.select(F.col("doc").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
-        near = pairs.join(x, "a").join(y, "b").select("a", "b", "a_sketch", "b_sketch")
-        return self.confirm(near.mapInArrow(agreeing, "a long, b long"), sets, "bridges")
-
     def rest(self, lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         """Links between members of a list that lie in different components."""
         placed = self.placed(lists, labels)
@@ -243,11 +230,6 @@ class Job:
         sets = self.sets(lists.select("doc").distinct())
         links = self.stars(lists, sets)
         labels = components(links, self.scratch)
-        for turn in range(TURNS):
-            more = self.bridges(lists, sets, labels, turn)
-            if more.isEmpty():
-                break
-            labels = self.scratch.keep(self.merged(labels, more), "labels")
         more = self.rest(lists, sets, labels)
         if not more.isEmpty():
             labels = self.scratch.keep(self.merged(labels, more), "labels")
