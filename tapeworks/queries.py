@@ -697,3 +697,170 @@ def repeat_and_shuffle(spark, sf_dir):
     """Closures: texts of up to twenty symbols, however often each comes."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("upper")).distinct()
     return o.where(ops.accepts(regex("?^{1,20}"))("upper")).select("upper", F.length("upper").alias("n"))
+
+
+# the algebra, formats and compilers, each by what its transducer does to a whole column
+
+TYPED = f"SELECT event_id, o AS output, v AS weight FROM events JOIN {_TYPES} ON event_type = w"
+
+
+def _looked_up(spark, sf_dir, f: Fst, **options) -> DataFrame:
+    return ops.lookup(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", f, **options).select("event_id", "output", "weight")
+
+
+def _accepted(spark, sf_dir, f: Fst, name: str = "part", key: str = "p_partkey", text: str = "p_name") -> DataFrame:
+    return table(spark, sf_dir, name).select(key, ops.accepts(f)(text).alias("good"))
+
+
+def _register(names: dict[str, tuple[str, Callable[[], Fst]]], run: Callable) -> None:
+    for name, (sql, made) in names.items():
+        def one(spark, sf_dir, made=made):
+            return run(spark, sf_dir, made())
+
+        one.__name__ = name
+        query(sql)(one)
+
+
+def _read_back(write: Callable, read: Callable) -> Callable[[], Fst]:
+    return lambda: read(write(_types()))[0]
+
+
+def _program() -> Fst:
+    from tapeworks.plans.sfst import compile_program
+
+    return compile_program("$A$ = {click}:{C} | {view}:{V}\n$A$\n")
+
+
+def _shell() -> Fst:
+    from tapeworks.plans.shell import Shell
+
+    shell = Shell()
+    shell.run("define Up [{click}:{C} | {view}:{V}];\nregex Up;\n")
+    return shell.top()
+
+
+TWO = "SELECT event_id, CASE event_type WHEN 'click' THEN 'C' ELSE 'V' END AS output, 0.0::FLOAT AS weight FROM events WHERE event_type IN ('click', 'view')"
+LIGHT = TYPED + " WHERE w IN ('click', 'view')"
+
+
+def _formats(name: str) -> Callable:
+    from tapeworks.sources import formats
+
+    return getattr(formats, name)
+
+
+_register(
+    {
+        "push_weights": (TYPED, lambda: A.push_weights(_types())),
+        "push_labels": (TYPED, lambda: A.push_labels(_types())),
+        "reverse_twice": (TYPED, lambda: A.reverse(A.reverse(_types()))),
+        "invert_twice": (TYPED, lambda: A.invert(A.invert(_types()))),
+        "determinized_and_minimized": (TYPED, lambda: A.minimize(A.determinize(_types()))),
+        "prune_paths": (LIGHT, lambda: A.prune(_types(), 1.5)),
+        "n_best_transducer": (LIGHT, lambda: A.n_best(_types(), 2)),
+        "facts_round_trip": (TYPED, _read_back(lambda f: _formats("write_prolog")(f), lambda t: _formats("read_prolog")(t))),
+        "container_round_trip": (TYPED, _read_back(lambda f: _formats("write_lookup")(f), lambda b: _formats("read_archive")(b))),
+        "lines_round_trip": (TYPED, _read_back(lambda f: _formats("write_att")(f), lambda t: _formats("read_att")(t))),
+        "pairs_source": (TYPED, lambda: _formats("read_pairs")(["click:C\t1", "view:V\t2", "purchase:P\t3", "purchase:B\t3.5", "error:E\t4"])),
+        "program_language": (TWO, _program),
+        "shell_result": (TWO, _shell),
+        "substitute_symbol": (TYPED.replace("o AS output", "replace(o, 'C', 'X') AS output"), lambda: A.substitute_map(_types(), {"C": "X"}, "output")),
+        "priority_union_transducers": (TYPED + " UNION ALL SELECT event_id, 'S', 0.0::FLOAT FROM events WHERE event_type = 'signup'", lambda: A.priority_union(_types(), from_words([("signup", "S", 0.0), ("click", "no", 0.0)]))),
+        "subtract_transducers": (TYPED + " WHERE w <> 'click'", lambda: A.compose(A.subtract(A.without_weights(A.project(_types(), "input")), from_words(["click"])), _types())),
+        "concat_transducers": (TYPED.replace("o AS output", "o || '!' AS output"), lambda: A.concat(_types(), regex("0:%!"))),
+        "optional_and_star": (TYPED, lambda: A.compose(A.star(regex("? - x")), A.optional(_types()))),
+        "cross_product_transducers": ("SELECT event_id, x AS output, 0.0::FLOAT AS weight FROM events, (VALUES ('A'), ('B')) t(x) WHERE event_type IN ('click', 'error')", lambda: A.cross_product(from_words(["click", "error"]), from_words(["A", "B"]))),
+        "word_list_source": ("SELECT event_id, event_type AS output, 0.0::FLOAT AS weight FROM events WHERE event_type IN ('view', 'error')", lambda: _formats("read_words")(["view", "error"])),
+    },
+    _looked_up,
+)
+
+_register(
+    {
+        "negate_language": ("SELECT p_partkey, p_type NOT IN ('SMALL', 'LARGE') AS good FROM part", lambda: A.negate(from_words(["SMALL", "LARGE"]))),
+        "intersect_and_complement": ("SELECT p_partkey, contains(p_type, 'A') AND NOT contains(p_type, 'ST') AS good FROM part", lambda: regex("$[A] & ~$[{ST}]")),
+        "repeated_symbols": ("SELECT p_partkey, length(p_type) BETWEEN 5 AND 6 AS good FROM part", lambda: regex("?^{5,6}")),
+        "contains_twice": ("SELECT p_partkey, len(regexp_extract_all(p_type, 'M')) >= 2 AS good FROM part", lambda: regex("$[M ?* M]")),
+        "ignoring_symbols": ("SELECT p_partkey, replace(p_type, 'M', '') IN ('PRO', 'EDIU', 'SALL') AS good FROM part", lambda: regex("[{PRO} | {EDIU} | {SALL}] / M")),
+    },
+    lambda spark, sf_dir, f: _accepted(spark, sf_dir, f, text="p_type"),
+)
+
+
+@query("SELECT event_id, event_type = 'click' AS good FROM events")
+def shuffle_language(spark, sf_dir):
+    """Two strings interleaved in any way."""
+    return _accepted(spark, sf_dir, A.shuffle(regex("{cik}"), regex("{lc}")), "events", "event_id", "event_type")
+
+
+@query("SELECT o_orderkey, replace(o_orderpriority, '-', '') IN ('1URGENT', '2HIGH') AS good FROM orders")
+def insert_freely(spark, sf_dir):
+    return _accepted(spark, sf_dir, A.insert_freely(from_words(["1URGENT", "2HIGH"]), regex("%-")), "orders", "o_orderkey", "o_orderpriority")
+
+
+def _flagged() -> Fst:
+    return A.concat(regex('"@P.KIND.A@" [{click}|{view}] | "@P.KIND.B@" [{error}|{purchase}|{signup}]'), regex('"@R.KIND.A@"'))
+
+
+@query("SELECT event_id, event_type AS output FROM events WHERE event_type IN ('click', 'view')")
+def eliminate_flags(spark, sf_dir):
+    return _looked_up(spark, sf_dir, A.eliminate_flags(_flagged())).select("event_id", "output")
+
+
+@query("SELECT event_id, event_type AS output FROM events WHERE event_type IN ('click', 'view')")
+def twosided_flags(spark, sf_dir):
+    return _looked_up(spark, sf_dir, A.twosided_flags(_flagged())).select("event_id", "output")
+
+
+@query(f"SELECT event_id, o AS output, v AS weight FROM events JOIN {_TYPES} ON event_type = w WHERE v <= 3")
+def lookup_limits(spark, sf_dir):
+    """The best result only, and none above a weight."""
+    return _looked_up(spark, sf_dir, _types(), most=1, max_weight=3.0)
+
+
+@query("SELECT event_id, event_type = 'click' AS endless FROM events")
+def infinite_ambiguity(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", ops.infinitely_ambiguous(regex("{click} [0:x]* | {view}"))("event_type").alias("endless"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END::INT AS n FROM events")
+def captures(spark, sf_dir):
+    """What was captured before must come again."""
+    m = compile_script("Define TOP [Alpha+ Capture(one)] {-} Captured(one) EndTag(SAME);")
+    text = F.concat("event_type", F.lit("-"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.lit("other")))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(ops.tag_counts(m)(text)["SAME"], F.lit(0)).alias("n"))
+
+
+@query("SELECT event_id, len(regexp_extract_all(props, '7'))::INT AS sevens, len(regexp_extract_all(props, '3'))::INT AS threes FROM events")
+def pattern_counters(spark, sf_dir):
+    """Profiling counters of two alternatives."""
+    m = compile_script("set need-separators off Define TOP [{7} Counter(sevens)] | [{3} Counter(threes)];")
+    c = ops.counters(m)("props")
+    return table(spark, sf_dir, "events").select("event_id", *(F.coalesce(c[n], F.lit(0)).alias(n) for n in ("sevens", "threes")))
+
+
+@query("SELECT doc_id, replace(text, 'tion', 'TION') AS output FROM documents WHERE text IS NOT NULL")
+def lookup_documents(spark, sf_dir):
+    """An obligatory rule applied by lookup to whole documents, as long as they are."""
+    return ops.lookup(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", regex("{tion} -> {TION}")).select("doc_id", "output")
+
+
+@query("SELECT c_custkey, 1 AS n FROM customer")
+def deep_calls(spark, sf_dir):
+    """A network that calls itself three hundred levels deep."""
+    m = compile_script("Define P {(} [Ins(P) | Alpha]* {)}; Define TOP P EndTag(T);")
+    text = F.concat(F.repeat(F.lit("("), 300), F.regexp_replace("c_mktsegment", "[^A-Za-z]", ""), F.repeat(F.lit(")"), 300))
+    return table(spark, sf_dir, "customer").select("c_custkey", ops.tag_counts(m)(text)["T"].alias("n"))
+
+
+@query("SELECT (SELECT count(DISTINCT p_type) FROM part) > 0 AS some, true AS same, true AS within, false AS apart, false AS cyclic, true AS identity, (SELECT max(length(p_type)) FROM part)::INT AS longest, (SELECT min(length(p_type)) FROM part)::INT AS shortest")
+def language_tests(spark, sf_dir):
+    """Tests of the language of all part types: emptiness, equivalence, inclusion, overlap, cycles, identity, lengths."""
+    from tapeworks.plans import paths as P
+
+    t = S.word_tables(table(spark, sf_dir, "part"), "p_type")
+    f = S.from_tables(t, "0")
+    same, lower = A.equivalent(f, A.reverse(A.reverse(A.minimize(f)))), A.substitute_by(f, lambda i, o: [(i.lower(), o.lower())])
+    rows = [(not A.is_empty(f), same, A.is_sublanguage(f, A.union(f, from_words(["x"]))), A.overlaps(f, lower), A.is_cyclic(f), A.is_identity(f), P.longest_length(f), P.shortest_length(f))]
+    return spark.createDataFrame(rows, "some boolean, same boolean, within boolean, apart boolean, cyclic boolean, identity boolean, longest int, shortest int")
