@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterable, Sequence
 from pathlib import Path
 
@@ -149,6 +150,27 @@ def start_xfst(lines: Iterable[str]) -> Iterable[str]:
     """What the shell prints for each line, until a line ends it."""
     shell = Shell()
     for line in lines:
-        yield shell.run(line)
+        said = shell.run(line)
+        if _console and said:
+            print(said)
+        yield said
         if shell.done:
             return
+
+
+_console = False
+
+
+def set_output_to_console(value: bool) -> None:
+    """Whether shells that start_xfst() runs print to the console too, besides giving back what they say."""
+    global _console
+    _console = bool(value)
+
+
+def get_output_to_console() -> bool:
+    return _console
+
+
+def read_att_input(stream=None) -> list[Fst]:
+    """Transducers of table lines from a stream, the standard input by default, up to its end."""
+    return formats.read_att((stream or sys.stdin).read())

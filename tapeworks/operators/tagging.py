@@ -105,3 +105,72 @@ def lexicon_of(words: DataFrame, most: int = 200_000) -> dict[str, dict[str, int
     return out
 
 
+# the tagger of files: sentences are lines "word<tab>tag", a blank line ends one
+
+
+def read_sentences(text: str) -> list[list[tuple[str, str]]]:
+    out: list[list[tuple[str, str]]] = [[]]
+    for line in text.splitlines():
+        if line.strip():
+            word, _, tag = line.partition("\t")
+            out[-1].append((word, tag.strip()))
+        elif out[-1]:
+            out.append([])
+    return [s for s in out if s]
+
+
+def build(text: str) -> dict:
+    """Counts of tag trigrams, bigrams and unigrams, and of each word's and each ending's tags."""
+    model: dict = {"trigrams": {}, "bigrams": {}, "unigrams": {}, "words": {}, "endings": {}}
+
+    def count(table: dict, *keys: str) -> None:
+        for k in keys[:-1]:
+            table = table.setdefault(k, {})
+        table[keys[-1]] = table.get(keys[-1], 0) + 1
+
+    for sentence in read_sentences(text):
+        before = (EDGE, EDGE)
+        for word, tag in sentence:
+            count(model["trigrams"], " ".join(before), tag)
+            count(model["bigrams"], before[1], tag)
+            count(model["unigrams"], tag)
+            count(model["words"], word, tag)
+            for k in range(1, min(5, len(word)) + 1):
+                count(model["endings"], word[-k:], tag)
+            before = (before[1], tag)
+    return model
+
+
+def reweight_model(model: dict, factor: float = 1.0, addition: float = 0.0) -> dict:
+    """The model with every count c of words and endings as factor * c + addition."""
+    turn = lambda table: {w: {t: factor * n + addition for t, n in tags.items()} for w, tags in table.items()}
+    return model | {"words": turn(model["words"]), "endings": turn(model["endings"])}
+
+
+def tag_words(model: dict, words: Sequence[str]) -> list[str]:
+    """The best tags by trigrams, backed off to bigrams and unigrams; an unknown word has the tags of its longest known ending, or all."""
+    total = max(1, sum(model["unigrams"].values()))
+
+    def share(table: dict, key: str, tag: str) -> float:
+        found = table.get(key, {})
+        return found.get(tag, 0) / sum(found.values()) if found else 0.0
+
+    def step(a: str, b: str, tag: str) -> float:
+        return -math.log(0.6 * share(model["trigrams"], f"{a} {b}", tag) + 0.3 * share(model["bigrams"], b, tag) + 0.1 * model["unigrams"].get(tag, 0) / total + 1e-9)
+
+    ways: dict[tuple[str, str], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
+    for w in words:
+        tags = model["words"].get(w) or next((model["endings"][w[k:]] for k in range(len(w)) if w[k:] in model["endings"]), model["unigrams"])
+        size, after = sum(tags.values()), {}
+        for t, n in sorted(tags.items()):
+            cost = -math.log(max(n, 1e-9) / size) + math.log(max(1, model["unigrams"].get(t, 0)) / total)
+            for (a, b), (w0, path) in ways.items():
+                total_cost = w0 + step(a, b, t) + cost
+                if total_cost < after.get((b, t), (math.inf,))[0]:
+                    after[b, t] = (total_cost, (path, t))
+        ways = after or ways
+    path, out = min(ways.values())[1], []
+    while path:
+        path, t = path
+        out.append(t)
+    return out[::-1]

@@ -202,6 +202,28 @@ def is_infinitely_ambiguous_for(c: Compiled, text: str) -> bool:
     return False
 
 
+def is_lookdown_infinitely_ambiguous(f: Fst, text: str) -> bool:
+    """Whether a text has endlessly many inputs that give it."""
+    return is_infinitely_ambiguous_for(compile_fst(A.invert(f)), text)
+
+
+def aligned_with_flags(upper: list[str], lower: list[str]) -> list[tuple[str, str]]:
+    """Symbol pairs of two sides, a flag of either side standing on both; what is left over on the longer side has epsilons beside it."""
+    out, k, j = [], 0, 0
+    while k < len(upper) or j < len(lower):
+        u, d = upper[k] if k < len(upper) else None, lower[j] if j < len(lower) else None
+        if u is not None and is_flag(u):
+            out.append((u, u))
+            k, j = k + 1, j + (d == u)
+        elif d is not None and is_flag(d):
+            out.append((d, d))
+            j += 1
+        else:
+            out.append((EPSILON if u is None else u, EPSILON if d is None else d))
+            k, j = k + 1, j + 1
+    return out
+
+
 def accepts(c: Compiled, text: str) -> bool:
     """Whether there is any result; states only, flags obeyed."""
     tape = c.split(text)

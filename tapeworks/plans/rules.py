@@ -28,15 +28,19 @@ class Mapping:
     before: Fst | None = None
     after: Fst | None = None
     dotted: bool = False
+    #: Any relation; upper is its input side.
+    pairs: Fst | None = None
 
     def relation(self, upper: Fst) -> Fst:
+        if self.pairs is not None:
+            return A.compose(upper, self.pairs)
         if self.lower is not None:
             return A.cross_product(upper, self.lower)
         return A.concat(A.cross_product(epsilon(), self.before or epsilon()), upper, A.cross_product(epsilon(), self.after or epsilon()))
 
     def reversed(self) -> Mapping:
         turn = lambda f: None if f is None else A.reverse(f)
-        return Mapping(A.reverse(self.upper), turn(self.lower), turn(self.after), turn(self.before), self.dotted)
+        return Mapping(A.reverse(self.upper), turn(self.lower), turn(self.after), turn(self.before), self.dotted, turn(self.pairs))
 
 
 @dataclass
@@ -47,7 +51,7 @@ class Rule:
     sides: str = "||"
 
     def parts(self) -> list[Fst]:
-        out = [f for m in self.mappings for f in (m.upper, m.lower, m.before, m.after) if f is not None]
+        out = [f for m in self.mappings for f in (m.upper, m.lower, m.before, m.after, m.pairs) if f is not None]
         return out + [f for c in self.contexts for f in c]
 
 
@@ -264,3 +268,97 @@ def before(a: Fst, b: Fst) -> Fst:
 
 def after(a: Fst, b: Fst) -> Fst:
     return before(b, a)
+
+
+Contexts = Sequence[tuple[Fst, Fst]]
+
+
+def _replaced(relation: Fst, contexts: Contexts, sides: str, optional: bool, left: bool) -> Fst:
+    """A relation applied wherever its input side stands in a context; left: the inverse of that for the inverse relation."""
+    pairs = A.invert(relation) if left else relation
+    rule = Rule([Mapping(A.project(pairs, "input"), pairs=pairs)], OPTIONAL if optional else OBLIGATORY, list(contexts), sides)
+    return (replace_left if left else replace)([rule])
+
+
+def replace_up(relation: Fst, contexts: Contexts = (), optional: bool = False) -> Fst:
+    """Both contexts on the input side."""
+    return _replaced(relation, contexts, "||", optional, False)
+
+
+def replace_right(relation: Fst, contexts: Contexts = (), optional: bool = False) -> Fst:
+    """The left context on the output side."""
+    return _replaced(relation, contexts, "//", optional, False)
+
+
+def replace_left_sided(relation: Fst, contexts: Contexts = (), optional: bool = False) -> Fst:
+    """The right context on the output side."""
+    return _replaced(relation, contexts, "\\\\", optional, False)
+
+
+def replace_down(relation: Fst, contexts: Contexts = (), optional: bool = False) -> Fst:
+    """Both contexts on the output side."""
+    return _replaced(relation, contexts, "\\/", optional, False)
+
+
+def left_replace_up(relation: Fst, contexts: Contexts = (), optional: bool = False) -> Fst:
+    """Outputs rewritten to inputs, both contexts on the output side of the result."""
+    return _replaced(relation, contexts, "||", optional, True)
+
+
+def left_replace_right(relation: Fst, contexts: Contexts = (), optional: bool = False) -> Fst:
+    return _replaced(relation, contexts, "//", optional, True)
+
+
+def left_replace_left(relation: Fst, contexts: Contexts = (), optional: bool = False) -> Fst:
+    return _replaced(relation, contexts, "\\\\", optional, True)
+
+
+def left_replace_down(relation: Fst, contexts: Contexts = (), optional: bool = False) -> Fst:
+    return _replaced(relation, contexts, "\\/", optional, True)
+
+
+Pairs = Sequence[tuple[str, str]]
+
+
+def surface_restriction(centre: Pairs, contexts: Contexts, pairs: Pairs) -> Fst:
+    """Pair strings in which pairs with an output of the centre occur in the contexts only."""
+    outputs = {o for _, o in centre}
+    return pair_restriction([p for p in pairs if p[1] in outputs], contexts, pairs)
+
+
+def deep_restriction(centre: Pairs, contexts: Contexts, pairs: Pairs) -> Fst:
+    """Pair strings in which pairs with an input of the centre occur in the contexts only."""
+    inputs = {i for i, _ in centre}
+    return pair_restriction([p for p in pairs if p[0] in inputs], contexts, pairs)
+
+
+def _coerced(centre: Pairs, contexts: Contexts, pairs: Pairs, side: int) -> Fst:
+    given = {p[side] for p in centre}
+    wrong = sorted(p for p in pairs if p[side] in given and p not in set(centre))
+    every = {s for p in pairs for s in p} - SPECIAL
+    free = Fst([[(i, o, 0.0, 0) for i, o in pairs]], {0: 0.0}, set(every))
+    one = Fst([[(i, o, 0.0, 1) for i, o in wrong], []], {1: 0.0}, set(every))
+    return A.subtract(free, A.union(empty(), *(A.concat(free, a, one, b, free) for a, b in contexts)))
+
+
+def deep_coercion(centre: Pairs, contexts: Contexts, pairs: Pairs) -> Fst:
+    """Pair strings in which, in the contexts, an input of the centre is realised as the centre says."""
+    return _coerced(centre, contexts, pairs, 0)
+
+
+def surface_coercion(centre: Pairs, contexts: Contexts, pairs: Pairs) -> Fst:
+    """Pair strings in which, in the contexts, an output of the centre comes from an input that the centre says."""
+    return _coerced(centre, contexts, pairs, 1)
+
+
+def restriction_and_coercion(centre: Pairs, contexts: Contexts, pairs: Pairs) -> Fst:
+    """Both: the centre's pairs in the contexts only, and there always."""
+    return A.intersect(pair_restriction(centre, contexts, pairs), deep_coercion(centre, contexts, pairs))
+
+
+def surface_restriction_and_coercion(centre: Pairs, contexts: Contexts, pairs: Pairs) -> Fst:
+    return A.intersect(surface_restriction(centre, contexts, pairs), surface_coercion(centre, contexts, pairs))
+
+
+def deep_restriction_and_coercion(centre: Pairs, contexts: Contexts, pairs: Pairs) -> Fst:
+    return A.intersect(deep_restriction(centre, contexts, pairs), deep_coercion(centre, contexts, pairs))

@@ -36,7 +36,7 @@ ALIASES = {
 }
 NOT_AVAILABLE = {
     "apply med", "med", "ambiguous upper", "ambiguous", "cleanup net", "cleanup", "collect epsilon-loops", "epsilon-loops", "edit properties", "edit", "extract ambiguous", "extract unambiguous",
-    "print properties", "sort net", "sort", "substring net", "substring", "test functional", "functional", "tf", "test unambiguous", "tu", "inspect", "inspect net", "view net",
+    "sort net", "sort", "substring net", "substring", "test functional", "functional", "tf", "test unambiguous", "tu",
 }
 STOP_WORDS = {"quit", "exit", "bye", "stop", "au revoir", "auf wiedersehen", "hyvästi"}
 VARIABLES = {
@@ -368,6 +368,18 @@ class Shell:
         f = self.top()
         self.say(f"{f.n_states} states, {f.n_arcs} arcs, " + ("circular." if A.is_cyclic(f) else f"{sum(P.path_sizes(f).values())} paths"))
 
+    def do_print_properties(self, rest): self.say("\n".join(f"{k}: {v}" for k, v in sorted(self.top().props.items())))
+    def do_view_net(self, rest): self.say(formats.write_dot(self.top()).rstrip("\n"))
+
+    def do_inspect_net(self, rest):
+        """The arcs and states around state 0, or the one named."""
+        f, s = self.top(), int(rest.strip().rstrip(";") or 0)
+        self.say(f"State {s}{' (final)' if s in f.finals else ''}")
+        for k, (i, o, _, d) in enumerate(f.arcs[s], 1):
+            self.say(f"{k}. {self._show([(i, o)]) or '0'} -> {d}{' (final)' if d in f.finals else ''}")
+
+    do_inspect = do_inspect_net
+
     def do_print_net(self, rest): self.say(formats.write_listing(self.top()).rstrip("\n"))
     def do_print_sigma(self, rest): self.say("Sigma: " + " ".join(sorted(s for s in self.top().alphabet if not is_flag(s))) + f"\nSize: {len(self.top().alphabet)}.")
 

@@ -8,13 +8,14 @@ Files are read as tables, facts, word lists or containers by their first bytes a
 
 from __future__ import annotations
 
+import json
 import math
 import sys
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from tapeworks import api
-from tapeworks.operators import tokens
+from tapeworks.operators import tagging, tokens
 from tapeworks.plans import algebra as A
 from tapeworks.plans import lookup as L
 from tapeworks.plans import paths as P
@@ -359,6 +360,27 @@ def guess(fsts, text="", n="5", **options) -> str:
     return "\n".join(out)
 
 
+@tool("build-tagger", "train-tagger-system")
+def build_tagger(fsts, text="", **options) -> str:
+    """A model of sentences, lines of words and tags."""
+    return json.dumps(tagging.build(text), ensure_ascii=False, sort_keys=True)
+
+
+@tool("reweight-tagger")
+def reweight_tagger(fsts, model="", factor="1", addition="0", **options) -> str:
+    return json.dumps(tagging.reweight_model(json.loads(model), float(factor), float(addition)), ensure_ascii=False, sort_keys=True)
+
+
+@tool("tag")
+def tag(fsts, model="", text="", **options) -> str:
+    """Sentences, a word a line and a blank line behind each, with their tags."""
+    loaded, out = json.loads(model), []
+    for sentence in tagging.read_sentences(text):
+        words = [w for w, _ in sentence]
+        out += [f"{w}\t{t}" for w, t in zip(words, tagging.tag_words(loaded, words), strict=True)] + [""]
+    return "\n".join(out)
+
+
 @tool("traverse")
 def traverse(fsts, text="", **options) -> str:
     """What can come next after a beginning."""
@@ -392,10 +414,11 @@ def main(args: list[str]) -> int:
             options[k.replace("-", "_")] = v if v else True
         else:
             files.append(a)
-    if "script" in options:
-        options["script"] = Path(str(options["script"])).read_text()
+    for name in ("script", "model"):
+        if name in options:
+            options[name] = Path(str(options[name])).read_text()
     fsts = [f for p in files for f in read(p)]
-    needs_text = args[0] in {"lookup", "optimized-lookup", "flookup", "proc", "pmatch", "tokenize", "pair-test", "grep", "guess", "traverse", "xfst", "strings2fst", "txt2fst", "regexp2fst", "lexc", "twolc", "sfst"}
+    needs_text = args[0] in {"lookup", "optimized-lookup", "flookup", "proc", "pmatch", "tokenize", "pair-test", "grep", "guess", "traverse", "xfst", "strings2fst", "txt2fst", "regexp2fst", "lexc", "twolc", "sfst", "build-tagger", "train-tagger-system", "tag"}
     if needs_text and "text" not in options:
         options["text"] = sys.stdin.read()
     result = TOOLS[args[0]](fsts, **options)
