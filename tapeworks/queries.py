@@ -768,7 +768,7 @@ _register(
         "priority_union_transducers": (TYPED + " UNION ALL SELECT event_id, 'S', 0.0::FLOAT FROM events WHERE event_type = 'signup'", lambda: A.priority_union(_types(), from_words([("signup", "S", 0.0), ("click", "no", 0.0)]))),
         "subtract_transducers": (TYPED + " WHERE w <> 'click'", lambda: A.compose(A.subtract(A.without_weights(A.project(_types(), "input")), from_words(["click"])), _types())),
         "concat_transducers": (TYPED.replace("o AS output", "o || '!' AS output"), lambda: A.concat(_types(), regex("0:%!"))),
-        "optional_and_star": (TYPED, lambda: A.compose(A.star(regex("? - x")), A.optional(_types()))),
+        "star_and_optional": (TYPED, lambda: A.compose(A.star(regex("? - x")), A.optional(_types()))),
         "cross_product_transducers": ("SELECT event_id, x AS output, 0.0::FLOAT AS weight FROM events, (VALUES ('A'), ('B')) t(x) WHERE event_type IN ('click', 'error')", lambda: A.cross_product(from_words(["click", "error"]), from_words(["A", "B"]))),
         "word_list_source": ("SELECT event_id, event_type AS output, 0.0::FLOAT AS weight FROM events WHERE event_type IN ('view', 'error')", lambda: _formats("read_words")(["view", "error"])),
     },
