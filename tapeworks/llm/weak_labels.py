@@ -21,9 +21,8 @@ from tapeworks.llm.words import Words, mix, steps
 
 SAMPLE, SLOTS, THRESHOLD = 10000, 1 << 14, 0.5
 GOOD, BAD, NOTHING = 1, 0, 2
-#: The labellers are built to vote bad on good texts hardly ever: the expected rate, and the weight of this belief as a share of all texts and in texts. A kind of bad texts below a share of EMPTY
-#: counts as none, and a rate as the good texts' own that is within DIFFERS of it.
-FALSE_ALARMS, SURE, SURE_TEXTS, EMPTY, DIFFERS = 0.002, 0.02, 500, 0.002, 0.05
+#: The labellers are built to vote bad on good texts hardly ever: the expected rate, and the weight of this belief as a share of all texts and in texts.
+FALSE_ALARMS, SURE, SURE_TEXTS = 0.002, 0.02, 500
 BINS = 10
 #: How much words weigh beside character classes.
 WORD_SCALE = 0.3
@@ -128,11 +127,11 @@ def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, kinds: int, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
-    """Each pattern's probability of good, tables[labeller, class, vote], and the fit by the criterion of Hannan and Quinn, by expectation-maximisation with one class of good texts (the first) and so many kinds of bad ones.
+def fit(patterns: np.ndarray, counts: np.ndarray, kinds: int, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pattern's probability of good, tables[labeller, class, vote], and the classes' shares, by expectation-maximisation with one class of good texts (the first) and so many kinds of bad ones.
 
-    Within a class labellers vote independently. With several kinds each begins with the texts that one labeller calls bad. That labellers rarely accuse good texts is a
-    prior belief of the weight of SURE_TEXTS and SURE of all texts, which the votes can overrule.
+    Within a class labellers vote independently. With several kinds each begins with the texts that one labeller calls bad, the labellers with most such votes first. That labellers rarely
+    accuse good texts is a prior belief of the weight of SURE_TEXTS and SURE of all texts, which the votes can overrule.
     """
     m, n = patterns.shape[1], max(1.0, float(counts.sum()))
     bad = patterns == BAD
@@ -142,7 +141,8 @@ def fit(patterns: np.ndarray, counts: np.ndarray, kinds: int, rounds: int = 400)
         resp[:, 1] = 1 - resp[:, 0]
     else:
         resp[:, 0] = np.where(bad.any(1), 0.3, 0.95)
-        resp[:, 1:] = np.where(bad[:, np.arange(kinds) % m], 0.7, 0.0) + 0.05 / kinds
+        seeds = np.argsort(-(bad * counts[:, None]).sum(0), kind="stable")[:kinds]
+        resp[:, 1:] = np.where(bad[:, seeds], 0.7, 0.0) + 0.05 / kinds
         resp /= resp.sum(1, keepdims=True)
     belief = np.array([FALSE_ALARMS, 1 - FALSE_ALARMS]) * (SURE * n + SURE_TEXTS) + 0.5
     tables, before = np.ones((m, kinds + 1, 3)), -np.inf
@@ -159,25 +159,27 @@ def fit(patterns: np.ndarray, counts: np.ndarray, kinds: int, rounds: int = 400)
         log = np.stack([np.log(tables[np.arange(m), c, patterns]).sum(1) for c in range(kinds + 1)], axis=1) + np.log(shares)  # a vote for nothing adds log 1
         top = log.max(1, keepdims=True)
         parts = np.exp(log - top)
-        likelihood = float((counts * (top[:, 0] + np.log(parts.sum(1)))).sum())
-        total += likelihood
+        total += float((counts * (top[:, 0] + np.log(parts.sum(1)))).sum())
         resp = parts / parts.sum(1, keepdims=True)
         if abs(total - before) < 1e-9 * abs(total):
             break
         before = total
-    # parameters: the good texts' rates, each kind's share, and those of its rates that differ from the good texts'
-    used = 1 + np.flatnonzero(shares[1:] > EMPTY)
-    differ = np.abs(tables[:, used, BAD] - tables[:, :1, BAD]) > DIFFERS
-    return resp[:, 0], tables, likelihood - np.log(np.log(n + 2)) * (m + len(used) + int(differ.sum()))
+    return resp[:, 0], tables, shares
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each pattern's probability of good, and tables[labeller, class, vote] with class 0 the good texts: of fits with one, two, and as many kinds of bad texts as labellers the one of the best fit."""
+    """Each pattern's probability of good, and tables[labeller, BAD or GOOD, vote], of the fit with as many kinds of bad texts as there are labellers.
+
+    Most texts are taken to be good: a fit that calls fewer than half of them so, as where labellers accuse at random, gives way to one with fewer kinds.
+    """
     m = patterns.shape[1] if patterns.size else len(LABELLERS)
-    if not len(patterns):
-        return np.zeros(0), np.ones((m, 2, 3))
-    posterior, tables, _ = max((fit(patterns, counts, kinds) for kinds in (1, 2, m)), key=lambda x: x[2])
-    return posterior, tables
+    posterior, tables, shares = np.zeros(0), np.ones((m, 2, 3)), np.ones(2)
+    for kinds in range(m if len(patterns) else 0, 0, -1):
+        posterior, tables, shares = fit(patterns, counts, kinds)
+        if counts[posterior >= 0.5].sum() >= 0.5 * counts.sum():
+            break
+    bad = (tables[:, 1:] * shares[None, 1:, None]).sum(1) / shares[1:].sum()
+    return posterior, np.stack([bad, tables[:, 0]], axis=1)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, rate: float = 0.5) -> np.ndarray:
