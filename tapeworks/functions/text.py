@@ -131,8 +131,14 @@ def contains_at_most_once(c: Column | str, pattern: str) -> Column:
     return occurrences(c, pattern) <= 1
 
 
-def replaced(c: Column | str, pattern: str, by: str, left: str = "", right: str = "") -> Column:
-    """Obligatory replacement of matches in a context that is looked up in the text as it was."""
+def replaced(c: Column | str, pattern: str, by: str, left: str = "", right: str = "", shared: bool = True) -> Column:
+    """Obligatory replacement of matches in a context that is looked up in the text as it was.
+
+    Where contexts aren't shared, a match takes its contexts with it: the next begins behind the right context of the one before.
+    """
+    if not shared:
+        named = by.replace("\\", "\\\\").replace("$", "\\$")
+        return F.regexp_replace(c, f"(?<left>{left})(?:{pattern})(?<right>{right})", f"${{left}}{named}${{right}}")
     before = f"(?<={left})" if left else ""
     after = f"(?={right})" if right else ""
     return F.regexp_replace(c, f"{before}(?:{pattern}){after}", by.replace("\\", "\\\\").replace("$", "\\$"))
