@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.plans.fst import EPSILON, IDENTITY, UNKNOWN, CyclicError
-from tapeworks.shared import Scratch, small
+from tapeworks.shared import Scratch, joinable, small
 
 SPECIAL = (EPSILON, IDENTITY, UNKNOWN)
 
@@ -38,20 +38,27 @@ ONE_TASK = 1_000_000
 def reachable(arcs: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(fst_id, state) reachable from state 0, however many arcs away.
 
-    Where there are few arcs, one task follows those of one transducer. Beyond that each round joins the states found last with the arcs, until no state is new.
+    Where there are few arcs, one task follows those of one transducer. Beyond that each step joins the states found last with the arcs, until no state is new; states are written every ROUNDS steps.
     """
     edges = arcs.select("fst_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
     if edges.limit(one_task + 1).count() <= one_task:
         return edges.groupBy("fst_id").applyInArrow(_reached, "fst_id string, state long")
     scratch = Scratch(arcs.sparkSession, "reachable")
     edges = scratch.keep(edges, "edges")
+    moves = edges.select(F.col("fst_id").alias("_f"), F.col("src").alias("_src"), F.col("dst").alias("_dst")).hint("merge")
     front = seen = scratch.keep(edges.select("fst_id").distinct().withColumn("state", F.lit(0).cast("long")), "seen")
     while True:
-        after = front.join(edges, (front.fst_id == edges.fst_id) & (front.state == edges.src)).select(edges.fst_id, F.col("dst").alias("state")).distinct()
-        front = scratch.keep(after.join(seen, ["fst_id", "state"], "left_anti"), "front")
+        # states stay beside those that they lead to, with the step that first met them
+        after = front.withColumn("step", F.lit(0))
+        for k in range(ROUNDS):
+            after = after.join(moves, (F.col("fst_id") == F.col("_f")) & (F.col("state") == F.col("_src")) & (F.col("step") == k), "left")
+            both = F.array(F.struct("state", "step"), F.struct(F.col("_dst").alias("state"), F.lit(k + 1).alias("step")))
+            after = after.select("fst_id", F.explode(both).alias("_s")).where("_s.state is not null").groupBy("fst_id", F.col("_s.state").alias("state")).agg(F.min("_s.step").alias("step"))
+        found = scratch.keep(after.join(seen.hint("merge"), ["fst_id", "state"], "left_anti"), "front")
+        seen = seen.unionByName(found.select("fst_id", "state"))
+        front = found.where(F.col("step") == ROUNDS).select("fst_id", "state")
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front)
 
 
 def _reached(table: pa.Table) -> pa.Table:
@@ -82,7 +89,7 @@ def lookup_by_joins(words: DataFrame, arcs: DataFrame, finals: DataFrame, alphab
     states = moves.select(F.explode(F.array("src", "dst")).alias("s")).distinct().count()
     ends = finals.select(F.col("state").cast("long").alias("src"), F.lit(DONE).cast("long").alias("dst"), F.lit(END).alias("isym"), F.lit(EPSILON).alias("osym"), F.col("weight").alias("_w"))
     stay = moves.sparkSession.createDataFrame([(DONE, DONE, STAY, EPSILON, 0.0)], "src long, dst long, isym string, osym string, _w float")
-    moves = small(moves.unionByName(ends).unionByName(stay))
+    moves = joinable(moves.unionByName(ends).unionByName(stay))
     front = words.select(word).where(F.col(word).isNotNull()).distinct().select(F.col(word), F.lit(0).cast("long").alias("state"), F.lit(0).alias("pos"), F.lit("").alias("output"), F.lit(0.0).cast("float").alias("weight"), F.lit(0).alias("quiet"))
     here, inside = F.col("isym"), F.col("pos") < F.length(word)
     found = []

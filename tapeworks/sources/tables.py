@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.plans.fst import FormatError, Fst
-from tapeworks.shared import Scratch, small
+from tapeworks.shared import Scratch, joinable, small
 from tapeworks.sources import formats
 
 ARCS = "fst_id string, src int, dst int, isym string, osym string, weight float"
@@ -37,10 +37,11 @@ def word_tables(words: DataFrame, word: str, weight: str | None = None, fst_id:
     begins = texts.where("text <> ''").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda k: F.substring("text", F.lit(1), k))).alias("begin")).distinct()
     states = scratch.keep(scratch.numbered(begins, "state").withColumn("state", F.col("state") + 1), "states")
     last = F.substring("begin", F.length("begin"), F.lit(1))
-    before = states.select(F.col("begin").alias("_before"), F.col("state").alias("_src"))
+    begun = joinable(states)
+    before = begun.select(F.col("begin").alias("_before"), F.col("state").alias("_src"))
     arcs = states.withColumn("_to", F.substring("begin", F.lit(1), F.length("begin") - 1)).join(before, F.col("_to") == F.col("_before"), "left")
     arcs = scratch.keep(arcs.select(F.lit(fst_id).alias("fst_id"), F.coalesce("_src", F.lit(0)).alias("src"), F.col("state").alias("dst"), last.alias("isym"), last.alias("osym"), F.lit(0.0).cast("float").alias("weight")), "arcs")
-    finals = texts.join(states, F.col("text") == F.col("begin"), "left").where("state is not null or text = ''")
+    finals = texts.join(begun, F.col("text") == F.col("begin"), "left").where("state is not null or text = ''")
     finals = finals.select(F.lit(fst_id).alias("fst_id"), F.coalesce("state", F.lit(0)).alias("state"), "weight")
     return {"arcs": arcs, "finals": finals, "alphabet": arcs.select("fst_id", F.col("isym").alias("sym")).distinct()}
 

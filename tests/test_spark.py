@@ -181,6 +181,32 @@ def test_reachable_states_by_joins(spark):
     assert sorted(map(tuple, G.reachable(arcs, one_task=3).collect())) == [("a", k) for k in range(13)] + [("b", 0)]
 
 
+def _plans(spark, run):
+    """The physical plans of what ran meanwhile."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    newest = lambda: max((x.executionId() for x in (e.apply(k) for e in [store.executionsList()] for k in range(e.size()))), default=-1)
+    bus.waitUntilEmpty()
+    before = newest()
+    run()
+    bus.waitUntilEmpty()
+    new = [store.execution(k) for k in range(before + 1, newest() + 1)]
+    return [x.get().physicalPlanDescription().split("== Initial Plan ==")[0] for x in new if x.isDefined()]
+
+
+def test_reachable_states_send_no_table_to_the_driver(spark):
+    rows = [("a", k, k + 1) for k in range(20)] + [("a", 3, 9), ("a", 20, 2), ("a", 50, 51)]
+    arcs = spark.createDataFrame(rows, "fst_id string, src int, dst int")
+    got = []
+    plans = _plans(spark, lambda: got.extend(map(tuple, G.reachable(arcs, one_task=3).collect())))
+    assert sorted(got) == [("a", k) for k in range(21)] and plans and not [p for p in plans if "Broadcast" in p]
+
+
+def test_many_beginnings_are_joined_by_keys(spark):
+    many = spark.range(25_000).select(F.translate(F.md5(F.col("id").cast("string")), "0123456789", "ghijklmnop").alias("w"))
+    finals = tables.word_tables(many, "w")["finals"]
+    assert "Broadcast" not in finals._jdf.queryExecution().executedPlan().toString()
+
+
 def test_joins_to_the_end_of_long_words(spark):
     long = "ab" * 25
     f = from_words([long, "a"])
