@@ -4,6 +4,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from tapeworks.plans.fst import CyclicError, FormatError, from_words
 from tapeworks.plans.lookup import edit_model
 from tapeworks.plans.pmatch import compile_script
 from tapeworks.plans.xre import regex
+from tapeworks.shared import BATCH_BYTES
 from tapeworks.sources import formats, tables
 from tapeworks.streaming import apply as stream
 
@@ -207,6 +209,19 @@ def test_many_beginnings_are_joined_by_keys(spark):
     assert "Broadcast" not in finals._jdf.queryExecution().executedPlan().toString()
 
 
+def test_batches_of_long_texts_are_bounded(spark):
+    fresh = spark.newSession()
+    fresh.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    @F.pandas_udf("long")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([texts.str.len().sum()] * len(texts))
+
+    df = fresh.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), 50_000).alias("t"))
+    found = ops.lookup(df, "t", regex("x"), keep_misses=True).select(together("t").alias("n"))
+    assert found.agg(F.max("n")).first()[0] <= 2 * BATCH_BYTES and fresh.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
+
+
 def test_joins_to_the_end_of_long_words(spark):
     long = "ab" * 25
     f = from_words([long, "a"])
