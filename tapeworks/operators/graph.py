@@ -118,25 +118,26 @@ def strings_by_joins(arcs: DataFrame, finals: DataFrame) -> DataFrame:
     scratch = Scratch(arcs.sparkSession, "strings")
     text = lambda c: F.when(F.col(c) == EPSILON, F.lit("")).otherwise(F.col(c))
     moves = arcs.select(F.col("fst_id").alias("_f"), F.col("src").cast("long").alias("_src"), F.col("dst").cast("long").alias("_dst"), text("isym").alias("_i"), text("osym").alias("_o"), F.col("weight").alias("_w"))
-    ends = small(finals.select(F.col("fst_id").alias("_f"), F.col("state").cast("long").alias("_s"), F.col("weight").alias("_v")))
+    # a final state is an arc without symbols to a state below 0, one for each final state, at which the whole path stays
+    ends = finals.select(F.col("fst_id").alias("_f"), F.col("state").cast("long").alias("_src"), (-1 - F.col("state").cast("long")).alias("_dst"), F.lit("").alias("_i"), F.lit("").alias("_o"), F.col("weight").alias("_w"))
+    moves = scratch.keep(moves.unionByName(ends), "moves")
     most = moves.select("_f", F.explode(F.array("_src", "_dst"))).distinct().groupBy("_f").count().agg(F.max("count")).first()[0] or 0
-    moves = small(moves)
+    ids = moves.select(F.col("_f").alias("fst_id")).distinct()
+    moves = joinable(moves)
     none = F.lit(0.0).cast("float")
-    ids = arcs.select("fst_id").union(finals.select("fst_id")).distinct()
     front = scratch.keep(ids.select("fst_id", F.lit(0).cast("long").alias("state"), F.lit("").alias("upper"), F.lit("").alias("lower"), none.alias("weight")), "front")
     done, rounds = [], 0
     while not front.isEmpty():
         if rounds > most:
             raise CyclicError("a cyclic transducer has endlessly many paths")
-        met = []
         for _ in range(ROUNDS):
-            met.append(front.join(ends, (F.col("fst_id") == F.col("_f")) & (F.col("state") == F.col("_s"))).select("fst_id", "upper", "lower", (F.col("weight") + F.col("_v")).cast("float").alias("weight")))
-            front = front.join(moves, (F.col("fst_id") == F.col("_f")) & (F.col("state") == F.col("_src"))).select("fst_id", F.col("_dst").alias("state"), F.concat("upper", "_i").alias("upper"), F.concat("lower", "_o").alias("lower"), (F.col("weight") + F.col("_w")).cast("float").alias("weight"))
+            step = front.join(moves, (F.col("fst_id") == F.col("_f")) & (F.col("state") == F.col("_src")), "left").where("state < 0 or _src is not null")
+            grown = lambda c, more: F.concat(c, F.coalesce(more, F.lit(""))).alias(c)
+            front = step.select("fst_id", F.coalesce("_dst", "state").alias("state"), grown("upper", "_i"), grown("lower", "_o"), (F.col("weight") + F.coalesce("_w", none)).cast("float").alias("weight"))
         rounds += ROUNDS
-        for more in met[1:]:
-            met[0] = met[0].unionByName(more)
-        done.append(scratch.keep(met[0], "strings"))
         front = scratch.keep(front, "front")
+        done.append(front.where("state < 0").select("fst_id", "upper", "lower", "weight"))
+        front = front.where("state >= 0")
     out = done[0] if done else front.select("fst_id", "upper", "lower", "weight")
     for more in done[1:]:
         out = out.unionByName(more)

@@ -1,5 +1,6 @@
 import datetime
 import random
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -209,6 +210,14 @@ def test_many_beginnings_are_joined_by_keys(spark):
     assert "Broadcast" not in finals._jdf.queryExecution().executedPlan().toString()
 
 
+def test_strings_take_one_join_a_symbol(spark):
+    t = tables.to_tables(spark, {"t": from_words(["abcdefghij", "abc", ""])})
+    got = []
+    plans = _plans(spark, lambda: got.extend(r.upper for r in G.strings_by_joins(t["arcs"], t["finals"]).collect()))
+    assert sorted(got) == ["", "abc", "abcdefghij"]
+    assert 6 <= sum(len(re.findall(r"[+:]-.*Join.*\(\d+\)", p)) for p in plans) <= 2 * G.ROUNDS
+
+
 def test_batches_of_long_texts_are_bounded(spark):
     fresh = spark.newSession()
     fresh.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
